@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, pii, sharding
+from . import decontamination, mixing, near_duplicates, pii, quality, sharding
 
 QUERIES = {
     "op1_mixing": mixing.query,
+    "op3_quality": quality.query,
     "op4_sharding": sharding.query,
     "op5_decontamination": decontamination.query,
     "op7_pii": pii.query,
+    "op10_near_duplicates": near_duplicates.query,
 }
 
 ORACLES = {
