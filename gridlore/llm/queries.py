@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, near_duplicates, pii, quality, sharding
+from . import decontamination, mixing, near_duplicates, pii, quality, sharding, token_files
 
 QUERIES = {
     "op1_mixing": mixing.query,
+    "op2_token_files": token_files.query,
     "op3_quality": quality.query,
     "op4_sharding": sharding.query,
     "op5_decontamination": decontamination.query,
