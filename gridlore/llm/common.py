@@ -16,6 +16,9 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
+#: Bytes of an Arrow batch: long texts must not pile up by thousands.
+ARROW_BYTES = 16 << 20
+
 _shipped: set[str] = set()
 _written: list[tuple[SparkSession, str]] = []
 
@@ -25,8 +28,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once per application, so that they can import it."""
+    """Sends this package to the executors once per application, so that they can import it, and bounds Arrow batches."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parents[1]
