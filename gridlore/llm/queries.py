@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, embeddings, language_model, mixing, near_duplicates, pii, quality, sharding, token_files
+from . import decontamination, embeddings, language_model, mixing, near_duplicates, pii, quality, repeats, sharding, token_files
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality": quality.query,
     "op4_sharding": sharding.query,
     "op5_decontamination": decontamination.query,
+    "op6_repeats": repeats.query,
     "op7_pii": pii.query,
     "op8_embeddings": embeddings.query,
     "op9_language_model": language_model.query,
