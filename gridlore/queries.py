@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from .catalogue import ORACLES, QUERIES
+from .plans import queries_cells, queries_decision, queries_ek, queries_focal, queries_intervals, queries_spectra  # noqa: F401
+
 FLAGSHIP = "ek_equi_join"
-QUERIES: dict = {}
-ORACLES: dict = {}
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
