@@ -23,15 +23,26 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from .common import release, shared_dir, ship, stored, table
+from .shingles import U, mix, powers, table_of
 
 END = 2
 #: Ids of a block (a longer document makes a block of its own).
 BLOCK_IDS = 1 << 18
-#: Entries of a worker's memory of words.
-MEMORY = 400_000
+#: Pieces that a worker remembers.
+MEMORY = 1_000_000
 
-#: Texts of these characters only are cut at white space; ids of the parts don't depend on each other.
+#: Texts of these characters only are cut into pieces here.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7EÀ-ÖØ-öø-ÿ]*")
+#: Their UTF-8 bytes: 0 white space, 1 letters, 2 digits, 3 signs; hash values fold capitals.
+_CLASS = np.full(256, 3, np.uint8)
+_CLASS[[9, 10, 13, 32]] = 0
+_CLASS[65:91] = _CLASS[97:123] = _CLASS[128:] = 1
+_CLASS[48:58] = 2
+_FOLD = np.arange(256)
+_FOLD[65:91] += 32
+_FOLD[0x80:0x9F] += 32
+_VALUE = table_of(21)[_FOLD]
+
 
 
 # --- coding -------------------------------------------------------------------------------------
@@ -67,54 +78,106 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 class Encoder:
-    """A tokenizer of the tokenizers library with a bounded memory of white-space-separated words.
+    """A tokenizer of the tokenizers library with a bounded memory of pieces.
 
-    Only for tokenizers that drop white space and work within it (checked on the file); others,
-    and texts with other characters or special-token marks, go to the library whole.
+    Only for tokenizers that drop white space, lower-case, cut words into letter runs, digits and
+    sign runs, and mark the last token of a piece (tried on a probe); others, and texts with
+    other characters, apostrophes or special-token marks, go to the library whole.  Pieces are cut
+    and hashed (64 bits) in numpy; each new one is encoded once, many together.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end: int = END):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        probe = ["don't stop 12 times!? a--b c_d É", "x y  z\nw"]
-        parts = [sum((self._ids([w])[0] for w in t.split()), []) for t in probe]
-        self.by_word = self._ids(probe) == parts
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        size = max(max(names.values(), default=0), end) + 1
+        self.kind = "<u2" if size <= 1 << 16 else "<u4"
+        self.last = np.zeros(size, bool)
+        self.last[[i for w, i in names.items() if w.endswith("</w>")]] = True
         marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.marks = re.compile("|".join(map(re.escape, marks))) if marks else re.compile(r"(?!)")
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self._forget()
+        probe = ["Stop, 12 times!? a--b c_d\nÉs x1y. (z)", "ÀÉÿ <b> A.b\tC"]
+        try:
+            self.by_piece = self._cut(probe) == self._whole(probe)
+        except ValueError:
+            self.by_piece = False
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes, self.first, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, self.kind)
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
+        """Adds pieces: encoded side by side and told apart by their last tokens."""
+        ids = np.frombuffer(self._whole([" ".join(pieces)])[0], self.kind)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(pieces) or ends[-1] != len(ids):
+            raise ValueError("pieces can't be told apart")
+        count = np.diff(ends, prepend=0)
+        all_hashes = np.concatenate([self.hashes, hashes])
+        order = np.argsort(all_hashes, kind="stable")
+        self.hashes = all_hashes[order]
+        self.first = np.concatenate([self.first, len(self.ids) + ends - count])[order]
+        self.count = np.concatenate([self.count, count])[order]
+        self.ids = np.concatenate([self.ids, ids])
+
+    def _cut(self, texts: list[str]) -> list[bytes]:
+        """Ids of plain texts."""
+        joined = "\n".join([*texts, ""]).encode()
+        raw = np.frombuffer(joined, np.uint8)
+        kind = _CLASS[raw]
+        before = np.concatenate([[0], kind[:-1]]).astype(np.uint8)
+        edge = (kind != before) | (kind == 2)
+        at = np.flatnonzero(edge)
+        start = at[kind[at] > 0]
+        end = np.append(at[1:], len(raw))[kind[at] > 0]
+        sums = np.zeros(len(raw) + 1, U)
+        up, down = powers(len(raw) + 1)
+        np.cumsum(_VALUE[raw] * up[: len(raw)], out=sums[1:])
+        h = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U))
+        known, where, back = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.hashes) > MEMORY:
+            self._forget()
+        pos = np.searchsorted(self.hashes, known)
+        new = np.ones(len(known), bool)
+        inside = pos < len(self.hashes)
+        new[inside] = self.hashes[pos[inside]] != known[inside]
+        if new.any():
+            spans = zip(start[where[new]].tolist(), end[where[new]].tolist())
+            self._learn(known[new], [joined[a:b].decode().lower() for a, b in spans])
+            pos = np.searchsorted(self.hashes, known)
+        first, count = self.first[pos][back], self.count[pos][back]
+        ends = np.cumsum(count)
+        flat = self.ids[np.repeat(first - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)]
+        # where each text's pieces, then its ids, begin
+        borders = np.cumsum([len(t.encode()) + 1 for t in texts])
+        upto = np.concatenate([[0], ends])[np.searchsorted(start, borders)] * flat.itemsize
+        out, data, a = [], flat.tobytes(), 0
+        for b in upto.tolist():
+            out.append(data[a:b])
+            a = b
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        out: list = [None] * len(texts)
-        split = {}
-        for i, t in enumerate(texts):
-            if self.by_word and _PLAIN.fullmatch(t) and not self.marks.search(t):
-                split[i] = t.split()
-        rest = [i for i in range(len(texts)) if i not in split]
-        for i, ids in zip(rest, self._ids([texts[i] for i in rest])):
-            out[i] = np.array(ids, "<u4").tobytes()
-        new = set().union(*split.values()) - self.known.keys() if split else set()
-        if len(self.known) + len(new) > MEMORY:
-            self.known, new = {}, set().union(*split.values())
-        new = list(new)
-        for w, ids in zip(new, self._ids(new)):
-            self.known[w] = np.array(ids, "<u4").tobytes()
-        for i, ws in split.items():
-            out[i] = b"".join(map(self.known.__getitem__, ws))
-        return out
+        """Little-endian ids of each text, of self.kind."""
+        plain = [self.by_piece and "'" not in t and _PLAIN.fullmatch(t) is not None and not self.marks.search(t) for t in texts]
+        cut = iter(self._cut([t for t, p in zip(texts, plain) if p]) if any(plain) else ())
+        rest = iter(self._whole([t for t, p in zip(texts, plain) if not p]))
+        return [next(cut if p else rest) for p in plain]
 
 
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, end: int) -> Encoder:
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, end)
     return _encoders[path]
 
 
@@ -137,16 +200,15 @@ def tokenize(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text"
     ship(docs.sparkSession)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
-        kind = "<u2" if max(coder.tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else "<u4"
-        last = np.array([end], kind).tobytes()
+        coder = encoder(path, end)
+        last = np.array([end], coder.kind).tobytes()
         for part in parts:
             texts, size, a = ["" if t is None else t for t in part.column(1).to_pylist()], 0, 0
             for i, t in enumerate(texts):
                 size += len(t)
                 if size >= 1 << 21 or i == len(texts) - 1:
-                    ids = [np.frombuffer(x, "<u4").astype(kind).tobytes() + last for x in coder(texts[a : i + 1])]
-                    wide = pa.array([kind == "<u4"] * len(ids))
+                    ids = [x + last for x in coder(texts[a : i + 1])]
+                    wide = pa.array([coder.kind == "<u4"] * len(ids))
                     yield pa.RecordBatch.from_arrays([part.column(0)[a : i + 1], wide, pa.array(ids, pa.binary())], ["key", "wide", "ids"])
                     a, size = i + 1, 0
 
@@ -164,11 +226,14 @@ def rank_table(tokens: DataFrame) -> np.ndarray:
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << 16, np.int64)
         for part in parts:
-            for wide, raw in zip(part.column(0).to_pylist(), part.column(1)):
-                got = np.bincount(_values(wide, raw.as_buffer()))
-                if len(got) > len(seen):
-                    seen = np.pad(seen, (0, len(got) - len(seen)))
-                seen[: len(got)] += got
+            if not part.num_rows:
+                continue
+            _, offsets, data = part.column(1).buffers()  # all ids of the batch lie side by side
+            ends = np.frombuffer(offsets, np.int32)[part.column(1).offset :][: part.num_rows + 1]
+            got = np.bincount(np.frombuffer(data, "<u4" if part.column(0)[0].as_py() else "<u2", (int(ends[-1]) - int(ends[0])) // (4 if part.column(0)[0].as_py() else 2), int(ends[0])))
+            if len(got) > len(seen):
+                seen = np.pad(seen, (0, len(got) - len(seen)))
+            seen[: len(got)] += got
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], ["id", "n"])
 
