@@ -132,3 +132,10 @@ def set_window_arrays(spark, sf):
 def session_gaps(spark, sf):
     s = table(spark, sf, "events").groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.count("*").alias("n"))
     return s.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("n"))
+
+
+@query("events_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
+def events_tumbling(spark, sf):
+    from ..streaming.sessions import tumbling
+
+    return tumbling(table(spark, sf, "events")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
