@@ -1,0 +1,408 @@
+"""Each operator against a plain version, with nulls, empty and long texts, ties, repeats, empty tables and clashing names."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from gridlore.llm import decontamination, embeddings, language_model, mixing, near_duplicates, pii, quality, repeats, sharding, token_files
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+
+
+def prose(seed, n):
+    r = random.Random(seed)
+    return " ".join(r.choice(WORDS) + str(r.randint(0, 400)) for _ in range(n))
+
+
+def docs_of(spark, texts, sources=None):
+    return spark.createDataFrame([(k, t, "en", (sources or ["s"] * len(texts))[k], len(t or "")) for k, t in enumerate(texts)], SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def edge(spark):
+    """Nulls, empties, a very long text, ties and repeated rows, clashing column names."""
+    rows = [(0, "", "en", "a", 0), (1, None, None, None, None), (2, "One.", "en", "a", 4), (3, "One.", "en", "a", 4), (3, "One.", "en", "a", 4), (None, "no key", "en", "b", 6), (5, prose(1, 30000), "en", "b", 1), (6, "É ÿ ​ 東京 \U0001f600", "fr", "c", 3)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for c in ("row", "key", "size", "group", "shard", "score", "node", "pii", "position", "slot", "block", "text2"):
+        df = df.withColumn(c, F.lit("x"))
+    return df
+
+
+# --- 1 mixing -----------------------------------------------------------------------------------------
+
+
+def test_mixing_stays_within_one_block(spark):
+    sources = ["a"] * 600 + ["b"] * 300 + ["c"] * 100
+    df = docs_of(spark, ["t"] * 1000, sources)
+    weights = {"a": 0.5, "b": 0.3, "c": 0.2}
+    rows = mixing.mix(df, weights, block_rows=5).orderBy("position").collect()
+    assert [r.position for r in rows] == list(range(1000)) and len({r.doc_id for r in rows}) == 1000
+    done = Counter()
+    for t, slot in enumerate(sorted({r.slot for r in rows})[:100]):
+        done[next(r.source for r in rows if r.slot == slot)] += 1
+        for s, w in weights.items():
+            assert abs(done[s] - w * (t + 1)) < 1
+    for r in rows:
+        assert r.release <= r.slot < r.deadline
+
+
+def test_mixing_edges(spark, edge):
+    out = mixing.mix(edge, block_rows=2)
+    assert sorted(r.position for r in out.collect()) == list(range(edge.count()))
+    assert mixing.mix(edge.limit(0)).count() == 0
+    assert mixing.mix(edge, {"a": 1.0}).count() == edge.count()
+
+
+# --- 2 token files -------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_token_files_round_trip(spark, edge, tmp_path, name):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    path = P.path(name)
+    rows = [r for r in edge.collect()] + [(9, "don't <|endoftext|> it's 12.5 a--b", "", "", 0)]
+    df = spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id long, text string").repartition(3)
+    files = token_files.write_files(df, path, str(tmp_path / "f"))
+    got = sorted(((r.doc_id is not None, r.doc_id), r.start, r.n_tokens, r.ids_crc32, bytes(r.ids)) for r in token_files.read_files(spark, files).collect())
+    t = Tokenizer.from_file(path)
+    want, start = [], 0
+    coded = sorted(((r[0] is not None, r[0] or 0), np.array(t.encode(r[1] or "", add_special_tokens=False).ids + [2], "<u4").tobytes()) for r in rows)
+    assert [g[1] for g in sorted(got, key=lambda g: g[1])] == list(np.cumsum([0] + [len(c) // 4 for _, c in coded])[:-1])
+    assert sorted(g[4] for g in got) == sorted(c for _, c in coded)
+    assert all(g[3] == zlib.crc32(g[4]) and g[2] * 4 == len(g[4]) for g in got)
+
+
+def test_token_files_of_an_empty_table(spark, tmp_path):
+    import public_tokenizers as P
+
+    files = token_files.write_files(spark.createDataFrame([], SCHEMA), P.path("word_bpe_49k.json"), str(tmp_path / "f"))
+    assert token_files.read_files(spark, files).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_varint_coding(seed):
+    rng = np.random.default_rng(seed)
+    v = rng.integers(0, 2**32, seed * 501) >> rng.integers(0, 32, seed * 501)
+    control, data = token_files.encode(v)
+    assert len(control) == -(-len(v) // 4) and (token_files.decode(control, data, len(v)) == v).all()
+
+
+def test_piecewise_encoding_equals_the_library(spark):
+    import public_tokenizers as P
+
+    coder = token_files.Encoder(P.path("word_bpe_49k.json"))
+    assert coder.by_piece and not token_files.Encoder(P.path("byte_bpe_50k.json")).by_piece
+    texts = ["", " ", "A,b;C d\n\n12 3x4", "Ünïcode façade ÀÖ öÿ!!??", "x" * 300, prose(3, 200), "tab\tend.", "日本", "it's", "a b"]
+    assert coder(texts) == coder._whole(texts) == coder(texts)
+
+
+# --- 3 quality -------------------------------------------------------------------------------------------
+
+
+def test_quality_learns_and_scores_whole_texts(spark, edge):
+    good = [prose(k, 80) for k in range(60)]
+    bad = [prose(k, 80).upper().replace(" ", "!! $$$ ") for k in range(60)]
+    df = docs_of(spark, good + bad)
+    labels = spark.createDataFrame([(k, int(k < 60)) for k in range(120)], "doc_id long, quality int")
+    net = quality.train(df, labels)
+    out = quality.score(df, net).withColumn("held", quality.held_out(F.col("doc_id"))).collect()
+    held = [(r.score, r.doc_id < 60) for r in out if r.held]
+    assert held and all((s >= 0.5) == y for s, y in held)
+    # junk after a long clean start is seen
+    tail = prose(7, 4000) + " " + bad[0] * 40
+    clean, spoiled = (quality.probabilities(net, [t.encode()])[0] for t in (prose(7, 4000), tail))
+    assert spoiled < clean
+    scores = [r.score for r in quality.score(edge, net).collect()]
+    assert len(scores) == edge.count() and all(0 <= s <= 1 for s in scores)
+    assert quality.score(edge.limit(0), net).count() == 0
+
+
+def test_quality_slices_of_a_long_text_agree():
+    net = quality.fit([b"abc def" * 20, b"!!!$$$" * 20], np.array([1.0, 0.0]), np.ones(2), steps=5)
+    raw, _ = quality.lay_out([prose(2, 3000).encode()])
+    assert np.allclose(quality.tile_peaks(net, raw, 1 << 12), quality.tile_peaks(net, raw), atol=1e-5)
+
+
+def test_quality_without_labels_keeps_all(spark, edge):
+    net = quality.train(edge, spark.createDataFrame([], "doc_id long, quality int"))
+    assert all(r.score >= quality.THRESHOLD for r in quality.score(edge, net).collect())
+
+
+# --- 4 sharding ------------------------------------------------------------------------------------------
+
+
+def test_shards_are_even_and_keep_groups(spark):
+    texts = [prose(k % 700, 5 + k % 60) for k in range(2000)] + ["copy"] * 900
+    out = sharding.shard_plan(docs_of(spark, texts), 8).collect()
+    load, slots, group = Counter(), {}, {}
+    for r in out:
+        assert r.size == len(texts[r.doc_id].encode()) + 8 and r.text_crc32 == zlib.crc32(texts[r.doc_id].encode())
+        load[r.shard] += r.size
+        slots.setdefault(r.shard, []).append(r.slot)
+        assert group.setdefault(texts[r.doc_id], r.shard) == r.shard
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(load.values()) - min(load.values()) < 2000
+
+
+def test_lpt_is_the_textbook_schedule():
+    assert sharding.lpt({"a": 7, "b": 5, "c": 4, "d": 3, "e": 3}, 2) == {"a": 0, "b": 1, "c": 1, "d": 0, "e": 1}
+
+
+def test_sharding_edges(spark, edge, tmp_path):
+    out = sharding.shard_plan(edge, 4).collect()
+    assert len(out) == edge.count() and {r.size for r in out if r.doc_id in (0, 1)} == {8}
+    assert sharding.shard_plan(edge.limit(0), 4).count() == 0
+    full = sharding.shard_documents(edge, 4)
+    assert full.count() == edge.count() and "row" in full.columns
+    sharding.write_shards(edge, str(tmp_path / "s"), 4)
+    assert spark.read.parquet(str(tmp_path / "s")).count() == edge.count()
+
+
+# --- 5 decontamination -----------------------------------------------------------------------------------
+
+
+def brute_hits(texts, items, width=10):
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    out = []
+    for t in texts:
+        w, hit, ids = split(t), set(), set()
+        for item, it in items:
+            iw = split(it)
+            for a in range(max(0, len(iw) - width) + 1 if iw else 0):
+                win = iw[a : a + width]
+                for p in range(len(w) - len(win) + 1):
+                    if w[p : p + len(win)] == win:
+                        hit |= set(range(p, p + len(win)))
+                        ids.add(str(item))
+        out.append((len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)))
+    return out
+
+
+def test_contamination_equals_brute_force(spark):
+    items = [(1, "The quick brown fox JUMPS over the lazy dog and then it sleeps all day"), (12, "short one here"), (3, None), (4, ""), (5, "the the the the the the the the the the the"), (6, "Été à la plage: un deux trois quatre cinq six sept huit")]
+    texts = [None, "", "short One; here", "the " * 15, items[0][1].upper(), "xx " + items[0][1][:48] + " yy", items[0][1] + " mid " + items[0][1], items[5][1] + " short one here " * 3, prose(4, 50) + " it sleeps all day", "short one", items[5][1].upper(), "short one here"]
+    df = docs_of(spark, texts)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontamination.contamination(df, b).collect()}
+    assert [got[k] for k in range(len(texts))] == brute_hits(texts, items)
+
+
+def test_contamination_edges(spark, edge):
+    b = spark.createDataFrame([(1, "One")], "item_id long, text string").withColumn("row", F.lit(1))
+    out = decontamination.contamination(edge, b).collect()
+    assert len(out) == edge.count() and sum(r.contaminated for r in out) == 3
+    assert decontamination.contamination(edge.limit(0), b).count() == 0
+    none = decontamination.contamination(edge, b.limit(0)).collect()
+    assert len(none) == edge.count() and not any(r.contaminated for r in none)
+
+
+def test_proximity(spark):
+    df = docs_of(spark, ["red x x green", "green red", "red " + "x " * 50 + "green", "red only"])
+    got = {(r.doc_id, r.span) for r in decontamination.proximity_matches(df, spark.createDataFrame([(1, "red green")], "item_id long, text string"), 10).collect()}
+    assert got == {(0, 4), (1, 2)}
+
+
+# --- 6 repeats --------------------------------------------------------------------------------------------
+
+
+def brute_repeats(texts, length):
+    raw = [(t or "").encode() for t in texts]
+    seen = Counter(b[i : i + length] for b in raw for i in range(len(b) - length + 1))
+    out = []
+    for b in raw:
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - length + 1):
+            if seen[b[i : i + length]] > 1:
+                gone[i : i + length] = True
+        kept = bytes(np.frombuffer(b, np.uint8)[~gone])
+        out.append((len(b), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("group", [1, 2000])
+def test_repeats_equal_brute_force(spark, group):
+    passage, other = prose(11, 40), prose(12, 60)
+    texts = [None, "", "short", passage, passage, passage[:-3] + "!", "lead " + passage + " tail " + prose(13, 30), other + passage[:150], prose(14, 20) + other[30:] + " x", "ab" * 700, "ab" * 700 + "c", "é" * 300, prose(15, 90)] + [prose(16, 70)[:300] + str(k) * 4 + prose(16, 70)[300:] for k in range(9)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(docs_of(spark, texts), length=100, group=group).collect()}
+    assert [got[k] for k in range(len(texts))] == brute_repeats(texts, 100)
+
+
+def test_repeats_in_pieces_of_a_long_text(spark, monkeypatch):
+    text = prose(21, 300000)
+    text += " " + text[1000:2500]
+    assert len(text) > repeats.PIECE
+    got = repeats.remove_repeats(docs_of(spark, [text, "x"])).where("doc_id = 0").first()
+    assert got.n_removed == 2 * 1500 or got.n_removed >= 3000
+    assert got.n_spans == 2
+
+
+def test_repeats_edges(spark, edge):
+    assert repeats.remove_repeats(edge).count() == edge.count()
+    assert repeats.remove_repeats(edge.limit(0)).count() == 0
+
+
+# --- 7 personal data -----------------------------------------------------------------------------------------
+
+
+def brute_spans(t):
+    t = t or ""
+    luhn = lambda d: sum(x - 9 if x > 9 else x for x in (int(c) * (1 + k % 2) for k, c in enumerate(reversed(d)))) % 10 == 0
+    digits = lambda m: re.sub("[^0-9]", "", m)
+    rules = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(digits(m)) <= 15),
+    ]
+    return [(k, m.start(), m.end()) for k, p, ok in rules for m in re.finditer(p, t) if ok(m[0])]
+
+
+def test_base_spans_equal_the_plain_patterns(spark, edge):
+    r = random.Random(5)
+    bits = ["a.b+c@d-e.co.uk", "x@y", "p@q.r_s@t.u", "@", "1.2.3.4", "256.1.1.1", "01.2.3.4.5.6.7.8", "4111 1111 1111 1111", "4111-1111-1111-1112", "5500000000000004", "1--2 3", "+1 (555) 123-4567", "+12", "+49 30 1234567890123456", "é東\U0001f600", "....", "12 34", "9" * 5, " ", "\n", "-", "GB82 WEST 1234 5698 7654 32", "ssn 123-45-6789"]
+    texts = ["".join(r.choice(bits) + r.choice(["", " ", ",", "."]) for _ in range(r.randint(1, 14))) for _ in range(400)] + [None, "", "7" * 50000, "a" * 50000, "1." * 20000, "+" + "(" * 5000, "x@" + "a." * 20000 + "b"]
+    rows = pii.find_pii(docs_of(spark, texts)).collect()
+    for row in rows:
+        got = [(s.kind, s.start, s.end) for s in row.pii if s.kind in pii.BASE]
+        assert got == brute_spans(texts[row.doc_id]), texts[row.doc_id][:200]
+    assert pii.find_pii(edge).count() == edge.count() and pii.find_pii(edge.limit(0)).count() == 0
+
+
+def test_added_kinds_need_checksum_or_context(spark):
+    texts = ["IBAN GB82 WEST 1234 5698 7654 32.", "GB82 WEST 1234 5698 7654 33", "my ssn is 123-45-6789", "part 123-45-6789"]
+    got = {r.doc_id: [s.kind for s in r.pii] for r in pii.find_pii(docs_of(spark, texts)).collect()}
+    assert got[0] == ["iban"] and got[1] == [] and got[2] == ["ssn"] and got[3] == []
+
+
+def test_redaction(spark):
+    out = {r.doc_id: r.text for r in pii.redact(docs_of(spark, ["mail é a@b.co now", "none", None, "1.2.3.4 a@b.co"])).collect()}
+    assert out == {0: "mail é <EMAIL> now", 1: "none", 2: None, 3: "<IP> <EMAIL>"}
+
+
+# --- 8 embeddings ----------------------------------------------------------------------------------------------
+
+
+def test_embeddings_equal_brute_force(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(900, 16))
+    x[300:600] = x[:300] + rng.normal(size=(300, 16)) * rng.uniform(0, 0.4, (300, 1))
+    x[600:700] = x[0] + rng.normal(size=(100, 16)) * 0.05
+    x[700:720] = x[1]
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(x)] + [(900, None, 0), (901, [0.0] * 16, 0), (902, [float("nan")] * 16, 0), (903, [1.0, None] + [0.0] * 14, 0), (904, [1.0, 2.0], 0), (905, [], 0)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = u @ u.T >= 0.9
+    np.fill_diagonal(link, False)
+    label = list(range(900))
+    changed = True
+    while changed:
+        changed = False
+        for a, b in zip(*np.nonzero(link)):
+            if label[b] < label[a]:
+                label[a], changed = label[b], True
+    for k in range(900):
+        assert got[k] == (link[k].sum(), label[k], label[k] == k)
+    assert all(got[k] == (0, k, True) for k in range(900, 906))
+    assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+# --- 9 language model -------------------------------------------------------------------------------------------
+
+
+def test_base_scores_equal_counts(spark, edge):
+    texts = [prose(k % 40, 3 + k % 30) for k in range(150)] + [None, "", "  ", "Alpha\x0bBETA é"]
+    rows = language_model.score(docs_of(spark, texts)).collect()
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [0]
+    held = lambda k: zlib.crc32(str(k).encode()) % 10 == 0
+    c = Counter(w for k, t in enumerate(texts) if not held(k) for w in split(t))
+    n, v = sum(c.values()), len(c)
+    for r in rows:
+        ws = split(texts[r.doc_id])
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(r.doc_id), len(ws), sum(c[w] > 0 for w in ws), n)
+        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws))
+        assert r.score < 0
+    assert language_model.score(edge).count() == edge.count()
+    assert language_model.score(edge.limit(0)).count() == 0
+
+
+def test_bloom_counts_come_back():
+    rng = np.random.default_rng(3)
+    pairs = np.unique(rng.integers(0, 1 << 48, 4000, dtype=np.uint64))
+    counts = rng.integers(2, 5000, len(pairs))
+    slots, segment = 16, 1 << 14
+    slot = (pairs >> np.uint64(44)).astype(int)
+    bits = np.frombuffer(b"".join(language_model.bloom_segment(pairs[slot == s], counts[slot == s], segment) for s in range(slots)), np.uint8)
+    got = language_model.bloom_counts(bits, pairs, slots, segment)
+    assert (got >= 1.44 * 2 ** np.floor(np.log2(counts)) - 1e-6).all() and (got == 1.44 * 2 ** np.floor(np.log2(counts))).mean() > 0.8
+    other = rng.integers(0, 1 << 48, 4000, dtype=np.uint64)
+    assert (language_model.bloom_counts(bits, other, slots, segment) > 0).mean() < 0.1
+
+
+# --- 10 near-duplicates ------------------------------------------------------------------------------------------
+
+
+def brute_classes(texts, similarity=0.8):
+    doc, ids, tf, digest = near_duplicates.weighted_sets([(t or "").encode() for t in texts], 5)
+    n = len(texts)
+    df = np.zeros(near_duplicates.BUCKETS, int)
+    low = np.uint64(near_duplicates.BUCKETS - 1)
+    for d in range(n):
+        np.add.at(df, np.unique((ids[doc == d] & low).astype(int)), 1)
+    idf = near_duplicates.idf_table(df, n)
+    sets = [(ids[doc == d], tf[doc == d] * idf[(ids[doc == d] & low).astype(int)].astype(float)) for d in range(n)]
+    label = list(range(n))
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a in range(n):
+        for b in range(a):
+            if len(sets[a][0]) and len(sets[b][0]) and near_duplicates.jaccard(sets[a], sets[b]) >= similarity:
+                x, y = root(a), root(b)
+                label[max(x, y)] = min(x, y)
+    return [root(k) for k in range(n)]
+
+
+def test_near_duplicate_classes_equal_brute_force(spark):
+    r = random.Random(9)
+    texts = [None, "", "a b", "a b", "A, b!"] + [prose(k, 60) for k in range(25)]
+    for k in range(5, 15):
+        for _ in range(6):
+            w = texts[k].split()
+            for _ in range(r.randint(0, 3)):
+                w[r.randrange(len(w))] = "edit%d" % r.randint(0, 99)
+            texts.append(" ".join(w))
+    shared = prose(99, 25)
+    texts += [shared + " " + prose(200 + k, 40) for k in range(20)]
+    got = {r.doc_id: r for r in near_duplicates.near_duplicates(docs_of(spark, texts)).collect()}
+    assert [got[k].class_id for k in range(len(texts))] == brute_classes(texts)
+    assert all(got[k].kept == (got[k].class_id == k) for k in range(len(texts)))
+
+
+def test_keep_one(spark, edge):
+    assert near_duplicates.near_duplicates(edge).count() == edge.count()
+    out = near_duplicates.keep_one(edge)
+    assert out.columns == edge.columns and out.count() == edge.count() - 2
+    assert near_duplicates.near_duplicates(edge.limit(0)).count() == 0
+
+
+def test_samples_agree_as_often_as_weights_overlap():
+    rng = np.random.default_rng(4)
+    ids = np.unique(rng.integers(0, 1 << 50, 400, dtype=np.uint64))
+    wa, wb = rng.uniform(0.5, 3, len(ids)), rng.uniform(0.5, 3, len(ids))
+    doc = np.repeat([0, 1], len(ids))
+    s = near_duplicates.samples(doc, np.concatenate([ids, ids]), np.concatenate([wa, wb]), 2, 2000)
+    assert (s[0] == s[1]).mean() == pytest.approx(np.minimum(wa, wb).sum() / np.maximum(wa, wb).sum(), abs=0.04)

@@ -1,0 +1,53 @@
+"""The registered queries against their SQL, and the pipeline stage by stage."""
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from gridlore.llm import decontamination, near_duplicates, quality
+from gridlore.llm.common import stored, table
+from gridlore.llm.queries import ORACLES, QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query(spark, name):
+    df = QUERIES[name](spark, SF)
+    cols = sorted(df.columns)
+    got = sorted((tuple(r) for r in df.select(*cols).collect()), key=repr)
+    n = table(spark, SF, "embeddings" if name.startswith("op8") else "documents").count()
+    assert len(got) == n
+    if name in ORACLES:
+        con = duckdb.connect()
+        for t in ("documents", "benchmark"):
+            con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+        assert got == sorted(con.sql(ORACLES[name]).select(*cols).fetchall(), key=repr)
+
+
+def test_pipeline_decisions(spark):
+    docs = table(spark, SF, "documents")
+    columns = docs.columns
+    before = {r.doc_id for r in docs.collect()}
+    net = quality.train(docs, table(spark, SF, "labels"))
+    good = {r.doc_id for r in quality.score(docs, net).where(f"score >= {quality.THRESHOLD}").collect()}
+    steps = []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, SF), name)
+        steps.append({r.doc_id for r in docs.collect()})
+        if name != "sharding":
+            assert docs.columns == columns
+        if name == "near_duplicates":
+            found = near_duplicates.near_duplicates(docs)
+            assert found.where("not kept").count() == 0
+        if name == "decontamination":
+            assert decontamination.contamination(docs, table(spark, SF, "benchmark")).where("contaminated").count() == 0
+    assert steps[0] == good <= before and steps[1] <= steps[0] and steps[2] <= steps[1] and steps[3] == steps[2] == steps[4]
+    assert "shard" in docs.columns
+
+
+def test_pipeline_of_nothing(spark):
+    docs = table(spark, SF, "documents").limit(0)
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        docs = stored(stage(spark, docs, SF), name)
+        assert docs.count() == 0
