@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridlore.llm import decontamination, mixing, near_duplicates, quality, sharding
-from gridlore.llm.common import stored, table
+from gridlore.llm.common import steady, stored, table
 
 #: Rows of one file of the mixture.
 FILE_ROWS = 100_000
@@ -28,6 +28,7 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
+    docs = steady(docs)
     found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
     gone = found.where("contaminated").select(F.col("row").alias("__row"))
     return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left_anti").drop("__row")
@@ -35,7 +36,7 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mixture: by file, then by row in it."""
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    rows = steady(docs).withColumn("__row", F.monotonically_increasing_id())
     placed = stored(mixing.mix(rows.select("__row", "source"), key="__row").select("__row", "position"), "positions")
     files = -(-max(1, placed.count()) // FILE_ROWS)
     files = max(files, spark.sparkContext.defaultParallelism)

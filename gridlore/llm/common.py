@@ -65,6 +65,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(write(df, name))
 
 
+def steady(df: DataFrame, name: str = "rows") -> DataFrame:
+    """df if it only scans files, else a stored copy: so its rows come in the same partitions and order each time it is read."""
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() not in ("Project", "Filter") and not node.nodeName().startswith(("LogicalRelation", "Relation")):
+            return stored(df, name)
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+    return df
+
+
 def release(df_or_path: DataFrame | str, spark: SparkSession | None = None) -> None:
     """Deletes a written table that no later step reads."""
     if isinstance(df_or_path, DataFrame):

@@ -23,7 +23,7 @@ from .common import release, ship, stored, table
 from .shingles import U, batches, mix, table_of, words
 
 #: Text bytes of a block and of the texts whose tokens share a slot.
-BLOCK_BYTES, SLOT_BYTES = 4 << 20, 32 << 20
+BLOCK_BYTES, SLOT_BYTES = 4 << 20, 8 << 20
 #: One bit for each training token, rounded up to a power of two, within these bounds; PROBES bits a level.
 LEAST_BITS, MOST_BITS, PROBES = 1 << 20, 1 << 30, 2
 #: Share of the bigram estimate in a probability; added count of the unigram.

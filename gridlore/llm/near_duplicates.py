@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import release, ship, stored, table
+from .common import release, ship, steady, stored, table
 from .components import components
 from .shingles import U, batches, mix, shingles, table_of, words
 
@@ -263,7 +263,8 @@ def _compare(rest: DataFrame, bags: DataFrame, idf, similarity: float) -> DataFr
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each class of near-duplicates; docs must be a stored table (its rows are read twice)."""
+    """docs with one row of each class of near-duplicates; its rows are read twice, so anything but a file scan is stored first."""
+    docs = steady(docs)
     found = near_duplicates(docs, key, text)
     gone = found.where("not kept").select(F.col("row").alias("__row"))
     return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left_anti").drop("__row")

@@ -22,7 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import release, ship, stored, table
+from .common import release, ship, steady, stored, table
 from .shingles import U, mix, powers, table_of
 
 LENGTH, KGRAM = 400, 64
@@ -221,6 +221,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     What is left need not be valid UTF-8, as spans are bytes.
     """
     ship(docs.sparkSession)
+    docs = steady(docs.select(key, text))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("t"))
     spans = repeated_spans(rows.select("row", F.col("t").alias(text)), text, length, group=group)
     kind = docs.select(key).schema[0].dataType.simpleString()
