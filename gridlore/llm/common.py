@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 #: Bytes of an Arrow batch: long texts must not pile up by thousands.
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 8 << 20
 
 _shipped: set[str] = set()
 _written: list[tuple[SparkSession, str]] = []
@@ -42,6 +42,19 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def trim() -> None:
+    """Gives memory that a worker has freed back to the machine: reused workers must not keep their peaks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -19,11 +19,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import release, ship, stored, table
+from .common import release, ship, stored, table, trim
 from .shingles import U, batches, mix, table_of, words
 
 #: Text bytes of a block and of the texts whose tokens share a slot.
-BLOCK_BYTES, SLOT_BYTES = 4 << 20, 8 << 20
+BLOCK_BYTES, SLOT_BYTES = 2 << 20, 8 << 20
 #: One bit for each training token, rounded up to a power of two, within these bounds; PROBES bits a level.
 LEAST_BITS, MOST_BITS, PROBES = 1 << 20, 1 << 30, 2
 #: Share of the bigram estimate in a probability; added count of the unigram.
@@ -158,6 +158,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                         ],
                         ["what", "slot", "block", "hashes", "counts"],
                     )
+                trim()
 
     counted = blocks.select("block", "held", "lengths", "raw").mapInArrow(count, "what string, slot int, block long, hashes binary, counts binary")
     # both kinds are needed apart; one written table spares a second pass over the texts
@@ -177,6 +178,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         back = [n[np.searchsorted(known, x)].astype("<i8").tobytes() for x in each]
         rows = list(zip(pdf.block, pdf.slot, back, [0] * len(back), [0] * len(back)))
         rows.append((-1, int(pdf.slot.iloc[0]), b"", int((n > 0).sum()), int(n.sum())))
+        trim()
         return pd.DataFrame(rows, columns=["block", "slot", "counts", "distinct", "tokens"])
 
     back = stored(counted.where("what = 'one'").groupBy("slot").applyInPandas(unigrams, "block long, slot int, counts binary, distinct long, tokens long"), "unigrams")
@@ -214,6 +216,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         p2 = np.minimum(1, c2 / np.maximum(before, 1))
         p = np.where(before > 0, SHARE * p2 + (1 - SHARE) * p1, p1)
         add = lambda x: np.add.reduceat(x, at[:-1])  # noqa: E731  every text has its end token
+        trim()
         return pd.DataFrame({"key": b["keys"], "held_out": held, "n_tokens": np.diff(at), "n_known": add((c > 0).astype(np.int64)), "train_tokens": tokens, "base_score": add(np.log10(p1)), "score": add(np.log10(p))})
 
     kind = docs.select(key).schema[0].dataType.simpleString()
