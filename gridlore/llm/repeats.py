@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
 from .common import release, ship, steady, stored, table
 from .shingles import U, mix, powers, table_of
@@ -28,6 +29,8 @@ from .shingles import U, mix, powers, table_of
 LENGTH, KGRAM = 400, 64
 #: Contexts of a group that one task takes; ranges of hash in which larger groups meet.
 GROUP, RANGES = 2000, 64
+#: Contexts that are compared in one pass, whole groups at a time.
+STEP = 4096
 #: Text bytes that are scanned at a time; a longer text is scanned in overlapping pieces.
 PIECE = 1 << 20
 
@@ -61,15 +64,14 @@ def anchors(raw: np.ndarray, ends: np.ndarray, length: int = LENGTH, kgram: int
     if len(raw) < length:
         return none, none, none, np.zeros(0, U), np.zeros(0, U)
     sums = _sums(raw)
-    at = np.arange(len(raw) - kgram + 1)
+    n = len(raw) - kgram + 1
+    h = mix((sums[kgram:] - sums[:-kgram]) * powers(len(sums))[1][:n] + U(kgram))
     bits = U(max(20, len(raw).bit_length()))
-    h = _hashes(sums, at, at + kgram)
     low = (U(1) << bits) - U(1)
-    key = (h & ~low) | (low - at.astype(U))  # of equal hashes the last wins
+    key = (h & ~low) | (low - np.arange(n, dtype=U))  # of equal hashes the last wins
     own = (low - (_sliding_min(key, length - kgram + 1) & low)).astype(np.int64)
-    window = np.arange(len(own))
-    stop = ends[np.searchsorted(ends, window, "right")]
-    window = window[window + length <= stop]
+    stop = np.repeat(ends, np.diff(ends, prepend=0))[: len(own)]
+    window = np.flatnonzero(np.arange(length, length + len(own)) <= stop)
     own = own[window]
     new = np.flatnonzero((np.diff(own, prepend=-1) != 0) | (np.diff(window, prepend=-2) != 1))
     first, last, pos = window[new], window[np.append(new[1:], len(window)) - 1], own[new]
@@ -109,45 +111,71 @@ def _members(docs: DataFrame, text: str, length: int, kgram: int) -> DataFrame:
     return docs.select("row", F.col(text).cast("binary").alias("t")).mapInArrow(scan, "row long, pos long, lo long, hi long, k long, ctx long")
 
 
-def window_hashes(context: bytes, length: int) -> np.ndarray:
-    raw = np.frombuffer(context, np.uint8)
-    at = np.arange(len(raw) - length + 1)
-    return _hashes(_sums(raw), at, at + length)
+def window_hashes(contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all windows of all contexts in order, and each context's first (one more than contexts)."""
+    raw = np.frombuffer(b"".join(contexts), np.uint8)
+    size = np.array([len(c) for c in contexts], np.int64)
+    many = size - length + 1
+    first = np.concatenate([[0], np.cumsum(many)])
+    at = np.arange(first[-1]) + np.repeat(np.cumsum(size) - size - first[:-1], many)
+    return _hashes(_sums(raw), at, at + length), first
 
 
-def _stretches(pdf: pd.DataFrame, hashes: list[np.ndarray], repeated) -> pd.DataFrame:
-    """First and last repeated window of every context that occurs once."""
-    out = []
-    for row, lo, n, h in zip(pdf.row, pdf.lo, pdf.n, hashes):
-        at = np.flatnonzero(repeated(h)) if n == 1 else ()
-        if len(at):
-            out.append((row, lo + int(at[0]), lo + int(at[-1])))
-    return pd.DataFrame(out, columns=["row", "lo", "hi"])
+def _stretches(row: np.ndarray, lo: np.ndarray, n: np.ndarray, first: np.ndarray, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """row, first and last repeated window of every context that occurs once and has any; repeated: by window."""
+    at = np.flatnonzero(repeated)
+    of = np.searchsorted(first, at, "right") - 1
+    at, of = at[n[of] == 1], of[n[of] == 1]
+    new = np.flatnonzero(np.diff(of, prepend=-1))
+    end = np.append(new[1:], len(of))[: len(new)] - 1
+    of = of[new]
+    return row[of], lo[of] + at[new] - first[of], lo[of] + at[end] - first[of]
 
 
 def _in_group(contexts: DataFrame, length: int) -> DataFrame:
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        hashes = [window_hashes(c, length) for c in pdf.context]
-        once = [np.unique(h) for h in hashes]
-        again = [np.unique(h[1:][np.diff(np.sort(h)) == 0]) if len(o) < len(h) else o[:0] for h, o in zip(hashes, once)]
-        values, counts = np.unique(np.concatenate([*once, *once_more(pdf.n, once), *again]), return_counts=True)
-        many = values[counts > 1]
-        return _stretches(pdf, hashes, lambda h: np.isin(h, many))
-
-    return contexts.groupBy("k").applyInPandas(compare, "row long, lo long, hi long")
-
-
-def once_more(n: pd.Series, once: list[np.ndarray]) -> list[np.ndarray]:
-    """The windows of contexts that occur more than once, to count again."""
-    return [o for m, o in zip(n, once) if m > 1]
+    """Groups lie together in a partition, sorted; many are compared in one pass.  A window of an anchor occurs once in a context, so windows are counted over contexts."""
+
+    def found(rows: list[tuple]) -> pa.RecordBatch:
+        k, n, row, lo, text = zip(*rows)
+        k, n, row, lo = np.array(k).view(U), np.array(n), np.array(row), np.array(lo)
+        h, first = window_hashes(list(text), length)
+        of = np.repeat(np.arange(len(k)), np.diff(first))
+        key = mix(h + k[of] * _TURN[1])
+        order = np.argsort(key)
+        border = np.flatnonzero(np.diff(key[order], prepend=~key[order[:1]]))
+        total = np.add.reduceat(np.minimum(n, 2)[of[order]], border)
+        repeated = np.zeros(len(key), bool)
+        repeated[order] = np.repeat(total > 1, np.diff(np.append(border, len(key))))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in _stretches(row, lo, n, first, repeated)], ["row", "lo", "hi"])
+
+    def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for part in parts:
+            held += zip(*(part.column(c).to_pylist() for c in range(5)))
+            start = 0
+            while len(held) - start > 2 * STEP:  # cut where a group ends
+                stop = start + STEP
+                while stop < len(held) and held[stop][0] == held[stop - 1][0]:
+                    stop += 1
+                if stop == len(held):
+                    break
+                yield found(held[start:stop])
+                start = stop
+            held = held[start:]
+        if held:
+            yield found(held)
+
+    rows = contexts.select("k", "n", "row", "lo", "context").repartition("k").sortWithinPartitions("k")
+    return rows.mapInArrow(compare, "row long, lo long, hi long")
 
 
 def _in_parts(contexts: DataFrame, length: int) -> DataFrame:
     """Large groups: contexts have a part; parts exchange window hashes by range."""
 
     def tell(pdf: pd.DataFrame) -> pd.DataFrame:
-        once = [np.unique(window_hashes(c, length)) for c in pdf.context]
-        values, counts = np.unique(np.concatenate([*once, *once_more(pdf.n, once)]), return_counts=True)
+        h, first = window_hashes(pdf.context.tolist(), length)
+        twice = np.repeat(pdf.n.to_numpy() > 1, np.diff(first))
+        values, counts = np.unique(np.concatenate([h, h[twice]]), return_counts=True)
         edge = np.searchsorted(values, np.arange(1, RANGES, dtype=U) << U(64 - (RANGES - 1).bit_length()))
         pieces = zip(np.split(values, edge), np.split(counts, edge))
         k, part = pdf.k.iloc[0], pdf.part.iloc[0]
@@ -161,8 +189,11 @@ def _in_parts(contexts: DataFrame, length: int) -> DataFrame:
         return pd.DataFrame({"k": pdf.k, "part": pdf.part, "hashes": [e[np.isin(e, many)].tobytes() for e in each]})
 
     def mark(pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame([], columns=["row", "lo", "hi"])
         many = np.concatenate([np.zeros(0, U), *(np.frombuffer(x, U) for x in told.hashes)])
-        return _stretches(pdf, [window_hashes(c, length) for c in pdf.context], lambda h: np.isin(h, many)) if len(pdf) else pd.DataFrame([], columns=["row", "lo", "hi"])
+        h, first = window_hashes(pdf.context.tolist(), length)
+        return pd.DataFrame(dict(zip(("row", "lo", "hi"), _stretches(pdf.row.to_numpy(), pdf.lo.to_numpy(), pdf.n.to_numpy(), first, np.isin(h, many)))))
 
     told = contexts.groupBy("k", "part").applyInPandas(tell, "k long, part int, range int, hashes binary, many binary")
     met = told.groupBy("k", "range").applyInPandas(meet, "k long, part int, hashes binary")
@@ -179,9 +210,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, kg
     one = F.min(F.struct("row", "lo", "hi")).alias("one")
     groups = members.groupBy("k", "ctx").agg(F.count("*").alias("n"), one)
     groups = stored(groups.select("k", "ctx", "n", "one.row", "one.lo", "one.hi"), "contexts")
-    kinds = groups.groupBy("k").agg(F.count("*").alias("kinds"), F.max("n").alias("most"))
-    several = kinds.where("kinds > 1").select("k", "kinds")
-    wanted = groups.join(several, "k")
+    wanted = groups.withColumn("kinds", F.count("*").over(Window.partitionBy("k"))).where("kinds > 1")
     need = wanted.groupBy("row").agg(F.collect_list(F.struct("k", "ctx", "n", "kinds", "lo", "hi")).alias("need"))
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
