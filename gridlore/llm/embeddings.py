@@ -5,9 +5,10 @@ has a home, the cell of its nearest centre, and visits each further cell in whic
 threshold angle could be at home: for a pair at angle t, with y at home in c, x's lead of its own
 centre over c is tan(t) times the projection of a unit vector on the centres' difference D, which
 for a random direction has deviation |D| / sqrt(d).  Cells within REACH deviations are visited (d:
-the effective dimension of the sample), so a pair is missed only if both of its ends lie beyond
-that.  Cells are cut into blocks; two blocks meet in one task, which returns per node a count, and
-links that span what it found, never all pairs.  Cosines are double precision.
+the effective dimension of the sample).  The two ends' leads add up to one such projection, so a pair is missed
+only where that is beyond 2 * REACH deviations.  A cell's own nodes are cut into blocks; a block
+meets a set of guests in one task, which returns per node a count, and links that span what it
+found, never all pairs.  Cosines are double precision.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import ship, stored, table
 from .components import components
 
-THRESHOLD, REACH = 0.9, 4.0
-#: Bounds of the fit: rows of the sample, cells, rounds; nodes a cell is meant for; nodes of a block.
-SAMPLE, MOST_CELLS, ROUNDS, CELL, BLOCK = 20_000, 1024, 8, 1000, 2048
+THRESHOLD, REACH = 0.9, 2.5
+#: Bounds of the fit: rows of the sample, cells, rounds; nodes a cell is meant for; nodes of a block, of a set of guests.
+SAMPLE, MOST_CELLS, ROUNDS, CELL, BLOCK, GUESTS = 20_000, 1024, 8, 1000, 2048, 16384
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -67,41 +68,69 @@ def visits(x: np.ndarray, centres: np.ndarray, threshold: float, dimension: floa
 
 
 def _compare(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Nodes of two blocks of a cell: weighted counts of links by node, and spanning links."""
-    pdf = pdf.sort_values("node")
-    cell, i, j = pdf.cell.iloc[0], pdf.i.iloc[0], pdf.j.iloc[0]
-    own, node, home, weight = pdf.own.to_numpy(), pdf.node.to_numpy(), pdf.home.to_numpy(), pdf.weight.to_numpy()
-    x = np.stack(pdf.vector.to_numpy()).astype(np.float64)
-    goes = [set(v.tolist()) for v in pdf.visits]
-    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    """One block of a cell's own nodes (hosts) against a set of guests, or against itself: (a, a, n) weighted link counts by node, (a, b, 0) links that span what was found."""
+    pdf = pdf.sort_values(["guest", "node"])
+    cell = pdf.cell.iloc[0]
+    node, home, weight = pdf.node.to_numpy(), pdf.home.to_numpy(), pdf.weight.to_numpy()
+    x = unit(np.stack(pdf.vector.to_numpy()).astype(np.float64))
+    hosts = int((~pdf.guest).sum())
+    own = hosts == len(pdf)
+    right = np.arange(len(pdf)) if own else np.arange(hosts, len(pdf))
+    if not len(right):
+        return pd.DataFrame([], columns=["a", "b", "n"])
+    # a guest from a lower cell that the host visits in turn: that cell counts the link
+    goes = [v for v in pdf.visits.iloc[:hosts]]
     count = np.zeros(len(node), np.int64)
-    parent = np.arange(len(node))
     links = []
-
-    def root(a: int) -> int:
-        while parent[a] != a:
-            parent[a] = parent[parent[a]]
-            a = parent[a]
-        return a
-
-    for s in range(0, len(left), 512):
-        rows = left[s : s + 512]
-        a, b = np.nonzero(x[rows] @ x[right].T >= threshold)
-        for p, q in zip(rows[a].tolist(), right[b].tolist()):
-            if (i == j and p >= q) or (home[p] != cell and home[q] != cell):
-                continue
-            if home[p] != home[q]:  # found in both homes where each end visits the other's: the lower one counts it
-                guest, host = (p, q) if home[q] == cell else (q, p)
-                if home[guest] < cell and home[guest] in goes[host]:
-                    continue
-            count[p] += weight[q]
-            count[q] += weight[p]
-            rp, rq = root(p), root(q)
-            if rp != rq:
-                parent[rq] = rp
-                links.append((node[p], node[q], 0))
-    found = [(n, n, c) for n, c in zip(node.tolist(), count.tolist()) if c]
-    return pd.DataFrame(found + links, columns=["a", "b", "n"])
+    for s in range(0, hosts, 512):
+        p, q = np.nonzero(x[s : min(s + 512, hosts)] @ x[right].T >= threshold)
+        p, q = p + s, right[q]
+        if own:
+            p, q = p[p < q], q[p < q]
+        elsewhere = np.flatnonzero(home[q] < cell)
+        if len(elsewhere):
+            again = np.array([home[q[k]] in goes[p[k]] for k in elsewhere], bool)
+            fresh = np.ones(len(p), bool)
+            fresh[elsewhere[again]] = False
+            p, q = p[fresh], q[fresh]
+        if not len(p):
+            continue
+        np.add.at(count, p, weight[q])
+        np.add.at(count, q, weight[p])
+        label = np.arange(len(node))
+        while True:  # smallest index reachable
+            low = np.minimum(label[p], label[q])
+            new = label.copy()
+            np.minimum.at(new, p, low)
+            np.minimum.at(new, q, low)
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        moved = np.flatnonzero(label != np.arange(len(node)))
+        links += zip(node[moved].tolist(), node[label[moved]].tolist())
+    some = np.flatnonzero(count)
+    rows = [(n, n, c) for n, c in zip(node[some].tolist(), count[some].tolist())] + [(a, b, 0) for a, b in links]
+    return pd.DataFrame(rows, columns=["a", "b", "n"])
+
+
+def _deal(dealt: DataFrame) -> DataFrame:
+    """Tasks (dim, cell, i, g): block i of a cell's own nodes meets guest set g.
+
+    Guest sets are the own blocks i, i + 1, ... and then the chunks of visitors.  Blocks and chunks
+    hold about BLOCK and GUESTS nodes, so a cell of any size is cut into bounded tasks.
+    """
+    spots = dealt.withColumn("cell", F.explode(F.concat(F.array("home"), "visits"))).withColumn("own", F.col("cell") == F.col("home"))
+    sizes = spots.groupBy("dim", "cell").agg(F.ceil(F.sum(F.col("own").cast("int")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.sum((~F.col("own")).cast("int")) / GUESTS).cast("int").alias("chunks"))
+    spots = spots.join(F.broadcast(sizes.where("blocks > 0")), ["dim", "cell"])  # at most MOST_CELLS rows for a length
+    at = F.pmod(F.xxhash64("node"), F.when(F.col("own"), F.col("blocks")).otherwise(F.greatest("chunks", F.lit(1)))).cast("int")
+    every = lambda low, high, f: F.when(high >= low, F.transform(F.sequence(low, high), f)).otherwise(F.array().cast("array<struct<i:int,g:int,guest:boolean>>"))
+    task = lambda i, g, guest: F.struct(i.alias("i"), g.alias("g"), F.lit(guest).alias("guest"))
+    host = every(at, F.col("blocks") + F.col("chunks") - 1, lambda g: task(at, g, False))
+    below = every(F.lit(0), at - 1, lambda i: task(i, at, True))
+    visit = every(F.lit(0), F.col("blocks") - 1, lambda i: task(i, F.col("blocks") + at, True))
+    spots = spots.withColumn("t", F.explode(F.when(F.col("own"), F.concat(host, below)).otherwise(visit)))
+    return spots.select("dim", "cell", "t.i", "t.g", "t.guest", "node", "home", "weight", F.when(F.col("t.guest"), F.array().cast("array<int>")).otherwise(F.col("visits")).alias("visits"), "vector")
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, reach: float = REACH) -> DataFrame:
@@ -113,7 +142,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     """
     spark = vectors.sparkSession
     ship(spark)
-    v = F.col(vector).cast("array<double>")
+    v = F.col(vector)
     fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(key).alias("key"), v.alias("v"), F.coalesce(fine, F.lit(False)).alias("fine"))
     nodes = stored(rows.where("fine").groupBy("v").agg(F.min("key").alias("least"), F.count("*").alias("weight")).withColumn("node", F.monotonically_increasing_id()), "vectors")
@@ -136,18 +165,15 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
                 home, mask = visits(x, centres, threshold, dimension, reach)
                 to = [np.flatnonzero(m) for m in mask]
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), some.column(1), pa.array([len(v) for v in raw], pa.int32()), pa.array([y[: len(v)] for y, v in zip(x, raw)], pa.list_(pa.float64())), pa.array(home, pa.int32()), pa.array(to, pa.list_(pa.int32()))],
+                    [some.column(0), some.column(1), pa.array([len(v) for v in raw], pa.int32()), some.column(2), pa.array(home, pa.int32()), pa.array(to, pa.list_(pa.int32()))],
                     ["node", "weight", "dim", "vector", "home", "visits"],
                 )
 
-    dealt = nodes.select("node", "weight", "v").mapInArrow(assign, "node long, weight long, dim int, vector array<double>, home int, visits array<int>")
+    kind = nodes.schema["v"].dataType.simpleString()
+    dealt = nodes.select("node", "weight", "v").mapInArrow(assign, f"node long, weight long, dim int, vector {kind}, home int, visits array<int>")
     dealt = stored(dealt, "cells")
-    spots = dealt.withColumn("cell", F.explode(F.concat(F.array("home"), "visits")))
-    sizes = spots.groupBy("dim", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    spots = spots.join(F.broadcast(sizes), ["dim", "cell"])  # at most MOST_CELLS rows for a length
-    spots = spots.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spots = spots.select("dim", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "home", "weight", "visits", "vector")
-    found = stored(spots.groupBy("dim", "cell", "i", "j").applyInPandas(lambda pdf: _compare(pdf, threshold), "a long, b long, n long"), "found")
+    spots = _deal(dealt)
+    found = stored(spots.groupBy("dim", "cell", "i", "g").applyInPandas(lambda pdf: _compare(pdf, threshold), "a long, b long, n long"), "found")
 
     links = found.where("n > 0").groupBy("a").agg(F.sum("n").alias("n"))
     comp = components(found.where("n = 0").select("a", "b"))
