@@ -224,7 +224,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, kg
                 yield pa.RecordBatch.from_arrays([s.field("k"), pa.array(which), s.field("n"), pa.array(np.full(len(lo), row, np.int64)), s.field("lo"), cuts], ["k", "part", "n", "row", "lo", "context"])
 
     texts = docs.select("row", F.col(text).cast("binary").alias("t"))
-    contexts = stored(texts.join(need, "row").select("row", "t", "need").mapInArrow(cut, "k long, part int, n long, row long, lo long, context binary"), "context-texts")
+    # a merge join whatever the sizes: this side of it grows with the documents
+    contexts = stored(texts.join(need.hint("merge"), "row").select("row", "t", "need").mapInArrow(cut, "k long, part int, n long, row long, lo long, context binary"), "context-texts")
     found = _in_group(contexts.where("part < 0").drop("part"), length)
     if contexts.where("part >= 0").take(1):
         found = found.union(_in_parts(contexts.where("part >= 0"), length))
@@ -268,7 +269,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             n, gone, runs, left, sha = zip(*out) if out else ((),) * 5
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(left, pa.binary()), pa.array(sha, pa.string())], ["key", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    done = rows.join(spans, "row", "left").select("key", "t", "spans").mapInArrow(keep, f"key {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    done = rows.join(spans.hint("merge"), "row", "left").select("key", "t", "spans").mapInArrow(keep, f"key {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
     return done.withColumnRenamed("key", key)
 
 
