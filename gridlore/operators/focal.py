@@ -216,3 +216,27 @@ def illumination(cells: DataFrame, horizons: DataFrame, sun: DataFrame, least: f
     edge = at(k) * (1 - part) + at(k + 1) * part
     lit = both.select("row", "col", (F.col("elevation") > edge).cast("double").alias("lit"), (F.col("elevation") < grazing).cast("double").alias("low"))
     return lit.groupBy("row", "col").agg(F.avg("lit").alias("fraction"), F.stddev_pop("lit").alias("variability"), (F.max("lit") == 0).cast("int").alias("psr"), F.sum(F.col("lit") * F.col("low")).alias("grazing"))
+
+
+def viewshed(cells: DataFrame, row: int, col: int, height: float = 0.0, size: float = 1.0, z: str = "z") -> DataFrame:
+    """row, col, visible: 1 where no nearest cell between the observer and the cell rises above the line between them.
+
+    The observer's cell is one row; each target walks its own line, so work spreads over all cells.
+    """
+    eye = cells.where((F.col("row") == row) & (F.col("col") == col)).select((F.col(z) + height).alias("__eye"))
+    t = cells.where(F.col(z).isNotNull()).select("row", "col", F.col(z).alias("z1")).crossJoin(F.broadcast(eye))
+    n = F.greatest(F.abs(F.col("row") - row), F.abs(F.col("col") - col))
+    line = t.withColumn("n", n).where("n > 1").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n") - 1)))
+    part = F.col("k") / F.col("n")
+    line = line.withColumn("__r", F.round(row + (F.col("row") - row) * part).cast("int")).withColumn("__c", F.round(col + (F.col("col") - col) * part).cast("int")).withColumn("lift", F.col("__eye") + (F.col("z1") - F.col("__eye")) * part)
+    hidden = line.join(cells.select(F.col("row").alias("__r"), F.col("col").alias("__c"), F.col(z).alias("__z")), ["__r", "__c"]).where(F.col("__z") > F.col("lift")).select("row", "col").distinct()
+    return cells.where(F.col(z).isNotNull()).select("row", "col").join(hidden.withColumn("__h", F.lit(0)), ["row", "col"], "left").select("row", "col", F.coalesce("__h", F.lit(1)).alias("visible"))
+
+
+def any_visible(sheds: DataFrame) -> DataFrame:
+    """row, col, visible over the viewsheds of many observers."""
+    return sheds.groupBy("row", "col").agg(F.max("visible").alias("visible"))
+
+
+def largest_horizon(horizons: DataFrame) -> DataFrame:
+    return horizons.groupBy("row", "col").agg(F.max("height").alias("height"))

@@ -63,3 +63,34 @@ def landing_pipeline(spark, sf):
     plan = landing.stages(landing.Mission(10.0, max_slope=60.0), [0.0, 90.0, 180.0, 270.0], 5, sun)
     dem = cells_from_lineitem(spark, sf).select("row", "col", "z")
     return landing.run(spark, dem, plan, f"{shared}/landing-{uuid.uuid4().hex}")["ranking"]
+
+
+@query("viewshed", f"WITH g AS MATERIALIZED ({CELLS_SQL}), eye AS (SELECT z + 2.0 AS e FROM g WHERE row = 10 AND col = 12), line AS (SELECT g.row, g.col, e + (g.z - e) * k / n AS lift, CAST(round(10 + (g.row - 10) * (k / n::DOUBLE)) AS INT) AS r2, CAST(round(12 + (g.col - 12) * (k / n::DOUBLE)) AS INT) AS c2 FROM (SELECT *, greatest(abs(row - 10), abs(col - 12)) AS n FROM g) g, eye, range(1, 50) t(k) WHERE k < n) SELECT row, col, CASE WHEN EXISTS (SELECT 1 FROM line l JOIN g h ON h.row = l.r2 AND h.col = l.c2 WHERE l.row = g.row AND l.col = g.col AND h.z > l.lift) THEN 0 ELSE 1 END AS visible FROM g")
+def viewshed(spark, sf):
+    from ..operators.focal import viewshed as see
+
+    return see(cells_from_lineitem(spark, sf), 10, 12, 2.0)
+
+
+@query("crater_age", "SELECT p_partkey, round(p_size / 11.0, 6) AS age FROM part")
+def crater_age(spark, sf):
+    """The chronology and back."""
+    from ..functions.bodies import age_from_density, chronology
+
+    return table(spark, sf, "part").select("p_partkey", F.round(age_from_density(chronology(F.col("p_size") / 11.0)), 6).alias("age"))
+
+
+@query("target_info")
+def target_info(spark, sf):
+    from ..functions.bodies import bodies
+
+    return bodies(spark).select("name", F.round("mean_radius", 4).alias("mean_radius"), F.round("flattening", 6).alias("flattening"))
+
+
+@query("atmosphere_apply", "SELECT l_orderkey, l_linenumber, l_partkey, round(0.02 + 0.9 * 0.3 * 0.2 * m / (1 - 0.3 * 0.25 * 0.1) + 0.7 * 0.3 * (l_tax - 0.2 * m), 9) AS p FROM (SELECT *, cos(radians(l_quantity)) AS m FROM lineitem)")
+def atmosphere_apply(spark, sf):
+    from ..operators.cells import apply_atmosphere
+
+    lit = F.lit
+    p = apply_atmosphere(lit(0.02), lit(0.9), lit(0.7), lit(0.1), lit(0.3), lit(0.2), lit(0.25), F.col("l_tax"), F.cos(F.radians("l_quantity")))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(p, 9).alias("p"))

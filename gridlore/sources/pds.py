@@ -25,7 +25,7 @@ def parse_label(text: str) -> dict[str, str]:
     """Dotted keys -> values of a keyword label; units stay in angle brackets, quotes go."""
     text = re.sub(r"/\*.*?\*/", "", text, flags=re.S)
     out, path = {}, []
-    statements = re.findall(r"^\s*(\^?[A-Za-z][\w:]*)\s*(?:=\s*(\"[^\"]*\"|\([^)]*\)|\{[^}]*\}|[^\r\n]*))?", text, flags=re.M)
+    statements = re.findall(r"^[ \t]*(\^?[A-Za-z][\w:]*)[ \t]*(?:=\s*(\"[^\"]*\"|\([^)]*\)|\{[^}]*\}|[^\r\n]*))?", text, flags=re.M)
     for key, value in statements:
         up, value = key.upper(), value.strip()
         if up in ("OBJECT", "GROUP"):

@@ -112,3 +112,38 @@ def test_landing_resumes(spark, tmp_path):
 def test_cross_is_perpendicular(spark):
     a, b = V.vec(1.0, 2.0, 3.0), V.vec(-2.0, 0.5, 4.0)
     assert spark.range(1).select(V.dot(V.cross(a, b), a)).first()[0] == pytest.approx(0)
+
+
+def test_images_with_xml_labels_and_cubes(spark, tmp_path):
+    from gridlore.sources import xml_images as X
+
+    label = """<Product_Observational xmlns="http://pds.nasa.gov/pds4/pds/v1"><File_Area_Observational><File><file_name>a.dat</file_name></File>
+    <Array_2D_Image><offset unit="byte">4</offset><Axis_Array><axis_name>Line</axis_name><elements>2</elements></Axis_Array>
+    <Axis_Array><axis_name>Sample</axis_name><elements>3</elements></Axis_Array><Element_Array><data_type>SignedMSB2</data_type><scaling_factor>2</scaling_factor><value_offset>1</value_offset></Element_Array>
+    <Special_Constants><missing_constant>-9</missing_constant></Special_Constants></Array_2D_Image></File_Area_Observational></Product_Observational>"""
+    d = tmp_path / "x"
+    d.mkdir()
+    (d / "a.xml").write_text(label)
+    (d / "a.dat").write_bytes(b"head" + np.array([[1, 2, -9], [4, 5, 6]], ">i2").tobytes())
+    got = {(r.row, r.col): r.value for r in X.read_xml_images(spark, str(d)).collect()}
+    assert got == {(0, 0): 3.0, (0, 1): 5.0, (0, 2): None, (1, 0): 9.0, (1, 1): 11.0, (1, 2): 13.0}
+    cells = spark.createDataFrame([(1, r, c, b, None if r == c else float(r + 10 * c + 100 * b)) for r in range(3) for c in range(4) for b in (1, 2)], "tile int, row int, col int, band int, value double")
+    content = X.encode_cubes(cells).first().content
+    (tmp_path / "c.cub").write_bytes(content)
+    back = {(r.row, r.col, r.band): r.value for r in X.read_cubes(spark, str(tmp_path / "c.cub")).collect()}
+    assert back == {(r.row, r.col, r.band): r.value for r in cells.collect()}
+
+
+def test_exponential_integral(spark):
+    from gridlore.operators.cells import exponential_integral
+
+    got = spark.range(1).select(exponential_integral(2, F.lit(0.5)).alias("a"), exponential_integral(3, F.lit(1.0)).alias("b")).first()
+    assert got.a == pytest.approx(0.3266439, abs=1e-5) and got.b == pytest.approx(0.1096920, abs=1e-5)
+
+
+def test_wall_hides_what_lies_behind(spark):
+    from gridlore.operators.focal import viewshed
+
+    rows = [(r, c, 10.0 if c == 3 else 0.0) for r in range(3) for c in range(7)]
+    got = {(r.row, r.col): r.visible for r in viewshed(spark.createDataFrame(rows, "row int, col int, z double"), 1, 0, 1.0).collect()}
+    assert got[1, 2] == 1 and got[1, 3] == 1 and got[1, 5] == 0
