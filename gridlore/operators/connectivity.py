@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df checkpointed in the folder that the session names; one of our own only where none is set."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
+
+
 def label(links: DataFrame) -> DataFrame:
     """node, component (smallest node reachable) of links (a, b); a link to itself makes a node.
 
     Every node takes the smallest label around it, then the label of that label, until nothing
     moves; each round is checkpointed.
     """
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    now = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("l")).checkpoint()
+    both = kept(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    now = kept(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("l")))
     while True:
         around = both.join(now.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("l"))
         down = around.select("a", F.col("l").alias("via")).join(now.select(F.col("a").alias("via"), "l"), "via").select("a", F.least("l", "via").alias("l"))
-        new = down.checkpoint()
+        new = kept(down)
         moved = new.join(now.withColumnRenamed("l", "old"), "a").where("l < old").limit(1).count()
         now = new
         if not moved:
@@ -36,7 +46,7 @@ def clump(cells: DataFrame, diagonal: bool = False, z: str = "z") -> DataFrame:
 
     Works on runs, not cells: each row's runs, then links between runs of neighbouring rows.
     """
-    r = runs(cells, z).withColumn("id", F.shiftleft(F.col("row").cast("long"), 32) + F.col("first")).checkpoint()
+    r = kept(runs(cells, z).withColumn("id", F.shiftleft(F.col("row").cast("long"), 32) + F.col("first")))
     reach = 1 if diagonal else 0
     below = r.select((F.col("row") - 1).alias("row"), F.col(z).alias(z), F.col("first").alias("f2"), F.col("last").alias("l2"), F.col("id").alias("b"))
     touch = r.join(below, ["row", z]).where((F.col("first") <= F.col("l2") + reach) & (F.col("f2") <= F.col("last") + reach)).select(F.col("id").alias("a"), "b")

@@ -7,6 +7,8 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .connectivity import kept as stored
+
 #: J per kt of TNT; lunar transition diameter (m) and gravity.
 TNT_J_PER_KT, MOON_DSC, MOON_G = 4.184e12, 18000.0, 1.622
 #: Fixed values of the three Gault regimes: constant, energy exponent, sine exponent, largest diameter (m).
@@ -177,16 +179,16 @@ def suppress(candidates: DataFrame, threshold: float = 0.3, rounds: int = 100) -
     reach = 2 * (candidates.agg(F.max("radius")).first()[0] or 1.0)
     better = (F.col("a_confidence") > F.col("b_confidence")) | ((F.col("a_confidence") == F.col("b_confidence")) & (F.col("a_id") < F.col("b_id")))
     edges = overlapping(candidates, candidates, reach).where((F.col("a_id") != F.col("b_id")) & better & (F.col("iou") >= threshold))
-    edges = edges.select(F.col("a_id").alias("over"), F.col("b_id").alias("under"), F.col("a_method").alias("m1"), F.col("b_method").alias("m2")).checkpoint()
+    edges = stored(edges.select(F.col("a_id").alias("over"), F.col("b_id").alias("under"), F.col("a_method").alias("m1"), F.col("b_method").alias("m2")))
     gone = edges.select("under").limit(0)
     live = edges
     for _ in range(rounds):
         tops = live.select(F.col("over").alias("id")).distinct().join(live.select(F.col("under").alias("id")).distinct(), "id", "left_anti")
-        beaten = live.join(tops.withColumnRenamed("id", "over"), "over").select("under").distinct().checkpoint()
+        beaten = stored(live.join(tops.withColumnRenamed("id", "over"), "over").select("under").distinct())
         if beaten.isEmpty():
             break
-        gone = gone.union(beaten).checkpoint()
-        live = live.join(beaten, "under", "left_anti").join(beaten.withColumnRenamed("under", "over"), "over", "left_anti").checkpoint()
+        gone = stored(gone.union(beaten))
+        live = stored(live.join(beaten, "under", "left_anti").join(beaten.withColumnRenamed("under", "over"), "over", "left_anti"))
     kept = candidates.join(gone.select(F.col("under").alias("id")), "id", "left_anti")
     first = edges.join(kept.select(F.col("id").alias("over")), "over").groupBy("under").agg(F.min_by(F.struct("over", "m1", "m2"), "over").alias("e")).select("e.*")
     extra = first.where("m1 != m2").groupBy(F.col("over").alias("id")).agg(F.count("*").alias("__n"))
