@@ -44,6 +44,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def _mark(edges: DataFrame) -> tuple:
-    """Tells two edge sets apart: count and order-free sums of hashes."""
+    """Tells two edge sets apart: their count and order-free digests of hashes that can't overflow."""
     h = F.xxhash64("u", "v")
-    return tuple(edges.agg(F.count("*"), F.sum(F.shiftright(h, 20)), F.sum(h.bitwiseAND(0xFFFFF))).first())
+    return tuple(edges.agg(F.count("*"), F.bit_xor(h), F.sum(h.bitwiseAND(0xFFFFFF))).first())
