@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..catalogue import query, table
+from ..catalogue import query
 from ..operators import focal as O
 from .grid import CELLS_SQL, cells_from_lineitem
 
