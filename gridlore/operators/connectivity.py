@@ -15,13 +15,21 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Links up to which a graph is labelled on the driver; larger ones take distributed rounds.
+LOCAL_LINKS = 100_000
+
+
 def label(links: DataFrame) -> DataFrame:
     """node, component (smallest node reachable) of links (a, b); a link to itself makes a node.
 
-    Every node takes the smallest label around it, then the label of that label, until nothing
-    moves; each round is checkpointed.
+    Small graphs (counted first) are joined up by union-find on the driver.  Else every node takes the
+    smallest label around it, then the label of that label, until nothing moves; each round is
+    checkpointed.
     """
-    both = kept(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    edges = kept(links.select("a", "b").distinct())
+    if edges.count() <= LOCAL_LINKS:
+        return _label_locally(edges)
+    both = kept(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     now = kept(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("l")))
     while True:
         around = both.join(now.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("l"))
@@ -33,6 +41,23 @@ def label(links: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("l").alias("component"))
 
 
+def _label_locally(edges: DataFrame) -> DataFrame:
+    parent: dict = {}
+
+    def root(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in edges.collect():  # LOCAL_LINKS at most
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    kind = edges.schema["a"].dataType.simpleString()
+    return edges.sparkSession.createDataFrame([(x, root(x)) for x in list(parent)], f"node {kind}, component {kind}")
+
+
 def runs(cells: DataFrame, z: str = "z") -> DataFrame:
     """Runs of equal neighbouring cells in each row: row, first, last, z."""
     line = Window.partitionBy("row").orderBy("col")

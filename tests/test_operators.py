@@ -108,6 +108,14 @@ def test_clump_corner_contact(spark):
     assert connectivity.clump(g, diagonal=True).where("z = 1").select("clump").distinct().count() == 1
 
 
+def test_label_rounds_equal_the_driver_s(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    links = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))] + [(k, k + 1) for k in range(500, 530)], "a long, b long")
+    near = sorted(map(tuple, connectivity.label(links).collect()))
+    monkeypatch.setattr(connectivity, "LOCAL_LINKS", 0)
+    assert sorted(map(tuple, connectivity.label(links).collect())) == near
+
+
 def test_clump_snake(spark):
     rows = [[1, 1, 1, 1], [0, 0, 0, 1], [1, 1, 1, 1], [1, 0, 0, 0], [1, 1, 1, 1]]
     assert connectivity.clump(grid(spark, rows)).where("z = 1").select("clump").distinct().count() == 1
