@@ -175,7 +175,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], np.ndarray,
 
     Only rows that are not held out; the PER_CLASS rows of each label with the smallest hash of
     doc_id; of a longer text, PIECES pieces evenly over it.  Unlabelled rows and null labels are
-    left out; of repeated labels the largest holds.
+    left out; of repeated labels the largest holds, of repeated documents the least text.
     """
     known = labels.where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("y"))
     counts = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
@@ -187,8 +187,9 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], np.ndarray,
     n, piece = F.char_length("text"), EXCERPT // PIECES
     cut = F.concat(*[F.substring(F.col("text"), F.floor((n - piece) * (i / (PIECES - 1))).cast("int") + 1, F.lit(piece)) for i in range(PIECES)])
     text = F.coalesce(F.when(n > EXCERPT, cut).otherwise(F.col("text")), F.lit(""))
-    rows = docs.select("doc_id", text.alias("t")).join(F.broadcast(picked), "doc_id").collect()  # PER_CLASS rows of a label
-    rows.sort(key=lambda r: (r["doc_id"], r["t"]))
+    # PER_CLASS rows of a label, also where a doc_id is repeated
+    rows = docs.select("doc_id", text.alias("t")).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("t").alias("t")).collect()
+    rows.sort(key=lambda r: r["doc_id"])
     y = np.array([r["y"] for r in rows], float)
     have = {k: max(1, int((y == k).sum())) for k in (0, 1)}
     weights = np.array([counts.get(int(k), 1) / have[int(k)] for k in y])
