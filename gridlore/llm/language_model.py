@@ -80,7 +80,7 @@ def _split(sorted_hashes: np.ndarray, slots: int, bits: int) -> np.ndarray:
 
 
 def _blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Stored: block, keys, held, lengths, raw (texts one after another)."""
+    """Stored: block, keys, held, lengths, raw (texts one after another, compressed: they are shuffled once more)."""
     kind = docs.select(key).schema[0].dataType.simpleString()
 
     def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +91,7 @@ def _blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
 
         def block() -> pa.RecordBatch:
             nonlocal number, keys, held, texts, size
-            row = [pa.array([number], pa.int64()), pa.array([keys], pa.list_(key_type)), pa.array([held], pa.list_(pa.bool_())), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([b"".join(texts)], pa.binary())]
+            row = [pa.array([number], pa.int64()), pa.array([keys], pa.list_(key_type)), pa.array([held], pa.list_(pa.bool_())), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([pa.compress(b"".join(texts), codec="zstd", asbytes=True)], pa.binary())]
             number, keys, held, texts, size = number + 1, [], [], [], 0
             return pa.RecordBatch.from_arrays(row, ["block", "keys", "held", "lengths", "raw"])
 
@@ -114,6 +114,7 @@ def _blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def _texts(raw: bytes, lengths: np.ndarray) -> list[bytes]:
     ends = np.cumsum(lengths)
+    raw = pa.decompress(raw, int(ends[-1]), codec="zstd", asbytes=True) if len(ends) and ends[-1] else b""
     return [raw[e - n : e] for e, n in zip(ends.tolist(), np.asarray(lengths).tolist())]
 
 
@@ -130,7 +131,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     spark = docs.sparkSession
     ship(spark)
     blocks = _blocks(docs, key, text)
-    total = blocks.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
+    total = blocks.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     slots = 1 << max(4, int(total // SLOT_BYTES).bit_length())
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
