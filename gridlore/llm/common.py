@@ -68,7 +68,7 @@ def write(df: DataFrame, name: str) -> str:
     """Writes df as Parquet into the shared folder and returns the path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
     return path
 
