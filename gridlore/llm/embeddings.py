@@ -1,12 +1,11 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products within cells.
 
 Equal vectors are one node with a weight.  Unit centres are fitted on a bounded sample; every node
-has a home, the cell of its nearest centre, and visits each further cell in which a vector at the
-threshold angle could be at home: for a pair at angle t, with y at home in c, x's lead of its own
-centre over c is tan(t) times the projection of a unit vector on the centres' difference D, which
-for a random direction has deviation |D| / sqrt(d).  Cells within REACH deviations are visited (d:
-the effective dimension of the sample).  The two ends' leads add up to one such projection, so a pair is missed
-only where that is beyond 2 * REACH deviations.  A cell's own nodes are cut into blocks; a block
+has a home, the cell of its nearest centre, and visits each further cell c over which its own
+centre leads (in cosine) by at most half of |x - y| * |D|, for |x - y| of a pair at the threshold
+and D the difference of the two centres.  The leads of x and y, at home on either side, add up to
+(x - y) * D, so one of the two visits the other's cell: no pair is missed, whatever the spread of
+the vectors.  A cell's own nodes are cut into blocks; a block
 meets a set of guests in one task, which returns per node a count, and links that span what it
 found, never all pairs.  Cosines are double precision.
 """
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import ship, stored, table
 from .components import components
 
-THRESHOLD, REACH = 0.9, 2.5
+THRESHOLD = 0.9
 #: Bounds of the fit: rows of the sample, cells, rounds; nodes a cell is meant for; nodes of a block, of a set of guests.
 SAMPLE, MOST_CELLS, ROUNDS, CELL, BLOCK, GUESTS = 20_000, 1024, 8, 1000, 2048, 16384
 
@@ -49,20 +48,13 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 3)
     return centres
 
 
-def effective_dimension(x: np.ndarray) -> float:
-    """Participation ratio of the variances."""
-    v = np.linalg.eigvalsh(np.cov(x.T)) if len(x) > 1 and x.shape[1] > 1 else np.ones(1)
-    return float(max(2.0, v.sum() ** 2 / max((v**2).sum(), 1e-30)))
-
-
-def visits(x: np.ndarray, centres: np.ndarray, threshold: float, dimension: float, reach: float) -> tuple[np.ndarray, np.ndarray]:
+def visits(x: np.ndarray, centres: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Home of each row, and a mask of the other cells it visits."""
     cos = x @ centres.T
     home = cos.argmax(1)
     lead = cos[np.arange(len(x)), home][:, None] - cos
-    apart = np.maximum(2 - 2 * (centres @ centres.T), 0)[home]
-    tan = np.sqrt(1 - threshold**2) / threshold
-    mask = lead <= reach * tan * np.sqrt(np.maximum(apart - lead**2, 0) / max(dimension - 1, 1))
+    apart = np.sqrt(np.maximum(2 - 2 * (centres @ centres.T), 0))[home]
+    mask = lead <= np.sqrt(max(1 - threshold, 0) / 2) * apart + 1e-6  # for rounding, also of apart where centres are equal
     mask[np.arange(len(x)), home] = False
     return home, mask
 
@@ -133,7 +125,7 @@ def _deal(dealt: DataFrame) -> DataFrame:
     return spots.select("dim", "cell", "t.i", "t.g", "t.guest", "node", "home", "weight", F.when(F.col("t.guest"), F.array().cast("array<int>")).otherwise(F.col("visits")).alias("visits"), "vector")
 
 
-def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, reach: float = REACH) -> DataFrame:
+def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of vectors: key, n_links, component_id (smallest key reachable), kept.
 
     Null, empty and zero vectors, and those with null or non-finite components, link with nothing, nor
@@ -153,16 +145,16 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     pad = lambda vs: np.stack([np.pad(np.asarray(x, float), (0, longest - len(x))) for x in vs])
     x = unit(pad(some)) if len(some) else np.eye(1, longest)
     centres = spherical_kmeans(x, int(min(MOST_CELLS, max(1, n // CELL), len(x))))
-    model = spark.sparkContext.broadcast((centres, effective_dimension(x)))  # MOST_CELLS rows at most
+    model = spark.sparkContext.broadcast(centres)  # MOST_CELLS rows at most
 
     def assign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, dimension = model.value
+        centres = model.value
         for part in parts:
             for a in range(0, part.num_rows, 2048):
                 some = part.slice(a, 2048)
                 raw = some.column(2).to_pylist()
                 x = unit(np.stack([np.pad(np.asarray(v), (0, centres.shape[1] - len(v))) for v in raw]))
-                home, mask = visits(x, centres, threshold, dimension, reach)
+                home, mask = visits(x, centres, threshold)
                 to = [np.flatnonzero(m) for m in mask]
                 yield pa.RecordBatch.from_arrays(
                     [some.column(0), some.column(1), pa.array([len(v) for v in raw], pa.int32()), some.column(2), pa.array(home, pa.int32()), pa.array(to, pa.list_(pa.int32()))],

@@ -316,6 +316,18 @@ def test_embeddings_equal_brute_force(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embeddings_of_drifting_groups_equal_brute_force(spark, monkeypatch):
+    """Groups spread along one direction each, over many cells: the cut between two cells runs across that direction."""
+    monkeypatch.setattr(embeddings, "CELL", 50)
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=256) + rng.normal(size=(150, 1)) * 0.5 * rng.normal(size=256) for _ in range(30)])
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.9).sum(1) - 1
+    assert [got[k] for k in range(len(x))] == links.tolist()
+
+
 # --- 9 language model -------------------------------------------------------------------------------------------
 
 
