@@ -5,9 +5,10 @@ slots that split the hash range evenly; a slot adds the counts of all blocks and
 block the counts of its tokens.  That gives exact unigram counts without a vocabulary on any one
 machine.  Bigram counts meet in the same slots; those of at least two are quantised to
 floor(log2 count), and level j of a bigram is put into a Bloom filter as (bigram, j) for all j up to
-its level.  The filter (at most MOST_BITS, whatever the input) is broadcast; a scorer reads a count
-back by probing levels until one is missing, and mixes the bigram estimate with the smoothed
-unigram.
+its level.  Each slot holds its own segment of the filter, sized by what is put into it, so the
+filter grows with the input and its error rate doesn't.  A count is read back by probing levels
+until one is missing; a slot returns to each block the levels of its bigrams, seen in training or
+not, and the block mixes the bigram estimate with the smoothed unigram.
 """
 
 from __future__ import annotations
@@ -19,13 +20,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import release, ship, stored, table, trim
+from .common import ship, stored, table, trim
 from .shingles import U, batches, mix, table_of, words
 
 #: Text bytes of a block and of the texts whose tokens share a slot.
 BLOCK_BYTES, SLOT_BYTES = 2 << 20, 8 << 20
-#: One bit for each training token, rounded up to a power of two, within these bounds; PROBES bits a level.
-LEAST_BITS, MOST_BITS, PROBES = 1 << 20, 1 << 30, 2
+#: A segment has ROOM bits for each bit set in it, rounded up to a power of two; PROBES bits a level.
+ROOM, PROBES = 8, 2
 #: Share of the bigram estimate in a probability; added count of the unigram.
 SHARE, ADD = 0.7, 0.1
 BIGRAM_BITS = 48
@@ -144,7 +145,11 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                 in_train, n_train = np.unique(h[train], return_counts=True)
                 n = np.zeros(len(known), np.int64)
                 n[np.searchsorted(known, in_train)] = n_train
-                pairs, n_pairs = np.unique(bigrams(h, at)[train], return_counts=True)
+                both = bigrams(h, at)
+                pairs = np.unique(both)
+                in_train, n_train = np.unique(both[train], return_counts=True)
+                n_pairs = np.zeros(len(pairs), np.int64)
+                n_pairs[np.searchsorted(pairs, in_train)] = n_train
                 for what, values, counts, bits in (("one", known, n, 64), ("two", pairs, n_pairs, BIGRAM_BITS)):
                     edge = _split(values, slots, bits)
                     full = np.flatnonzero(np.diff(edge))
@@ -162,8 +167,6 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                 trim()
 
     counted = blocks.select("block", "held", "lengths", "raw").mapInArrow(count, "what string, slot int, block long, hashes binary, counts binary")
-    # both kinds are needed apart; one written table spares a second pass over the texts
-    counted = stored(counted, "counts")
 
     def together(pdf: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
         each = [unsqueeze(x) for x in pdf.hashes]
@@ -174,46 +177,41 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         first = np.flatnonzero(np.diff(h, prepend=h[:1] ^ U(1)))
         return each, h[first], np.add.reduceat(n, first), order
 
-    def unigrams(pdf: pd.DataFrame) -> pd.DataFrame:
+    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
+        what, slot = pdf.what.iloc[0], int(pdf.slot.iloc[0])
         each, known, n, _ = together(pdf)
-        back = [n[np.searchsorted(known, x)].astype("<i8").tobytes() for x in each]
-        rows = list(zip(pdf.block, pdf.slot, back, [0] * len(back), [0] * len(back)))
-        rows.append((-1, int(pdf.slot.iloc[0]), b"", int((n > 0).sum()), int(n.sum())))
+        if what == "one":
+            back = [n[np.searchsorted(known, x)].astype("<i8").tobytes() for x in each]
+        else:
+            filled = bloom_size(n)
+            bits = np.frombuffer(bloom_segment(known[n > 1], n[n > 1], filled), np.uint8)
+            back = [bloom_levels(bits, x, 1, filled).tobytes() for x in each]
+        rows = list(zip([what] * len(back), pdf.block, pdf.slot, back, [0] * len(back), [0] * len(back)))
+        rows.append((what, -1, slot, b"", int((n > 0).sum()), int(n.sum())))
         trim()
-        return pd.DataFrame(rows, columns=["block", "slot", "counts", "distinct", "tokens"])
+        return pd.DataFrame(rows, columns=["what", "block", "slot", "counts", "distinct", "tokens"])
 
-    back = stored(counted.where("what = 'one'").groupBy("slot").applyInPandas(unigrams, "block long, slot int, counts binary, distinct long, tokens long"), "unigrams")
-    sums = back.where("block < 0").agg(F.sum("distinct"), F.sum("tokens")).first()
+    back = stored(counted.groupBy("what", "slot").applyInPandas(gather, "what string, block long, slot int, counts binary, distinct long, tokens long"), "gathered")
+    sums = back.where("block < 0 and what = 'one'").agg(F.sum("distinct"), F.sum("tokens")).first()
     distinct, tokens = sums[0] or 0, sums[1] or 0
     starts = blocks.agg(F.sum(F.size(F.filter("held", lambda x: ~x)))).first()[0] or 0
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << max(0, tokens - 1).bit_length()))
-    segment = max(8, bits // slots)
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, pairs, n, _ = together(pdf)
-        slot = int(pdf.slot.iloc[0])
-        return pd.DataFrame({"slot": [slot], "bits": [bloom_segment(pairs[n > 1], n[n > 1], segment)]})
-
-    parts = counted.where("what = 'two'").groupBy("slot").applyInPandas(fill, "slot int, bits binary").toArrow()  # MOST_BITS at most
-    whole = np.zeros(slots * segment // 8, np.uint8)
-    for slot, raw in zip(parts.column(0).to_pylist(), parts.column(1)):
-        whole[slot * segment // 8 : (slot + 1) * segment // 8] = np.frombuffer(raw.as_buffer(), np.uint8)
-    release(counted)
-    filter_of = spark.sparkContext.broadcast(whole)
     floor = tokens + ADD * (distinct + 1)
 
     def rate(block: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
         b = block.iloc[0]
         held = np.asarray(b["held"], bool)
         h, at = sequences(_texts(b["raw"], np.asarray(b["lengths"])))
-        n = np.concatenate([np.frombuffer(x, "<i8") for x in counts.sort_values("slot").counts])
+        counts = counts.sort_values("slot")
+        n = np.concatenate([np.frombuffer(x, "<i8") for x in counts.counts[counts.what == "one"]])
+        levels = np.concatenate([np.frombuffer(x, np.int8) for x in counts.counts[counts.what == "two"]])
         known = np.unique(h)
         c = n[np.searchsorted(known, h)]
         p1 = (c + ADD) / floor
         before = np.empty_like(c)
         before[1:] = c[:-1]
         before[at[:-1]] = starts
-        c2 = bloom_counts(filter_of.value, bigrams(h, at), slots, segment)
+        pairs, of = np.unique(bigrams(h, at), return_inverse=True)
+        c2 = level_counts(levels)[of]
         p2 = np.minimum(1, c2 / np.maximum(before, 1))
         p = np.where(before > 0, SHARE * p2 + (1 - SHARE) * p1, p1)
         add = lambda x: np.add.reduceat(x, at[:-1])  # noqa: E731  every text has its end token
@@ -221,7 +219,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         return pd.DataFrame({"key": b["keys"], "held_out": held, "n_tokens": np.diff(at), "n_known": add((c > 0).astype(np.int64)), "train_tokens": tokens, "base_score": add(np.log10(p1)), "score": add(np.log10(p))})
 
     kind = docs.select(key).schema[0].dataType.simpleString()
-    out = blocks.select("block", "keys", "held", "lengths", "raw").groupBy("block").cogroup(back.where("block >= 0").select("block", "slot", "counts").groupBy("block"))
+    out = blocks.select("block", "keys", "held", "lengths", "raw").groupBy("block").cogroup(back.where("block >= 0").select("what", "block", "slot", "counts").groupBy("block"))
     return out.applyInPandas(rate, f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("key", key)
 
 
@@ -229,6 +227,12 @@ def _probe(pairs: np.ndarray, level: int, probe: int, segment: int) -> np.ndarra
     return (mix(pairs * _TURN[2] + U(level * PROBES + probe)) & U(segment - 1)).astype(np.int64)
 
 
+def bloom_size(counts: np.ndarray) -> int:
+    """Bits of the segment for these counts."""
+    some = counts[counts > 1]
+    return max(8, 1 << (ROOM * PROBES * int(np.floor(np.log2(some)).sum())).bit_length())
+
+
 def bloom_segment(pairs: np.ndarray, counts: np.ndarray, segment: int) -> bytes:
     """The bits of one slot: (pair, level) for every level up to floor(log2 count)."""
     out = np.zeros(segment, bool)
@@ -239,9 +243,9 @@ def bloom_segment(pairs: np.ndarray, counts: np.ndarray, segment: int) -> bytes:
     return np.packbits(out, bitorder="little").tobytes()
 
 
-def bloom_counts(bits: np.ndarray, pairs: np.ndarray, slots: int, segment: int) -> np.ndarray:
-    """Counts read back: the middle of the highest level reached without a miss; 0 below two."""
-    out = np.zeros(len(pairs))
+def bloom_levels(bits: np.ndarray, pairs: np.ndarray, slots: int, segment: int) -> np.ndarray:
+    """The highest level reached without a miss; 0 below two."""
+    out = np.zeros(len(pairs), np.int8)
     base = (pairs >> U(BIGRAM_BITS - (slots - 1).bit_length())).astype(np.int64) * segment
     alive, level = np.arange(len(pairs)), 0
     while len(alive) and level < 62:
@@ -249,9 +253,19 @@ def bloom_counts(bits: np.ndarray, pairs: np.ndarray, slots: int, segment: int)
         for probe in range(PROBES):
             at = base[alive] + _probe(pairs[alive], level, probe, segment)
             alive = alive[(bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
-        out[alive] = 1.44 * 2.0**level
+        out[alive] = level
     return out
 
 
+def level_counts(levels: np.ndarray) -> np.ndarray:
+    """The middle of each level; 0 below two."""
+    return np.where(levels > 0, 1.44 * 2.0**levels, 0.0)
+
+
+def bloom_counts(bits: np.ndarray, pairs: np.ndarray, slots: int, segment: int) -> np.ndarray:
+    """Counts read back."""
+    return level_counts(bloom_levels(bits, pairs, slots, segment))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))

@@ -347,6 +347,36 @@ def test_base_scores_equal_counts(spark, edge):
     assert language_model.score(edge.limit(0)).count() == 0
 
 
+def plain_scores(texts):
+    """Scores by plain counts, quantised to powers of two, and the least count of a bigram in training."""
+    held = lambda k: zlib.crc32(str(k).encode()) % 10 == 0
+    seqs = [t.split(" ") + [0] for t in texts]
+    train = [s for k, s in enumerate(seqs) if not held(k)]
+    c, c2 = Counter(w for s in train for w in s), Counter(p for s in train for p in zip([1, *s], s))
+    c[1] = len(train)
+    n, v = sum(c.values()) - len(train), len(c) - 1
+    middle = lambda x: 1.44 * 2 ** int(math.log2(x)) if x > 1 else x
+
+    def p(a, b):
+        p1 = (c[b] + 0.1) / (n + 0.1 * (v + 1))
+        return 0.7 * min(1, middle(c2[a, b]) / c[a]) + 0.3 * p1 if c[a] else p1
+
+    return [sum(math.log10(p(a, b)) for a, b in zip([1, *s], s)) for s in seqs], min(c2.values())
+
+
+def test_scores_tell_seen_from_unseen_bigrams_beyond_any_bound(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "MOST_BITS", 1 << 12, raising=False)  # a bound on the filter, as if the input were beyond it
+    rng = np.random.default_rng(4)
+    text = lambda: " ".join(f"w{k}" for k in rng.integers(0, 500, 6))
+    texts = [text() for _ in range(400)] * 8
+    texts = [text() if zlib.crc32(str(k).encode()) % 10 == 0 else t for k, t in enumerate(texts)]
+    want, least = plain_scores(texts)
+    assert least > 1
+    got = {r.doc_id: r.score for r in language_model.score(docs_of(spark, texts)).collect()}
+    held = [k for k in range(len(texts)) if zlib.crc32(str(k).encode()) % 10 == 0]
+    assert np.mean([got[k] == pytest.approx(want[k]) for k in held]) > 0.85
+
+
 def test_bloom_counts_come_back():
     rng = np.random.default_rng(3)
     pairs = np.unique(rng.integers(0, 1 << 48, 4000, dtype=np.uint64))
