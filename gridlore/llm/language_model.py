@@ -3,9 +3,9 @@
 Documents are packed into blocks.  Each block's distinct tokens go, as sorted 64-bit hashes, to
 slots that split the hash range evenly; a slot adds the counts of all blocks and returns to each
 block the counts of its tokens.  That gives exact unigram counts without a vocabulary on any one
-machine.  Bigram counts meet in the same slots; those of at least two are quantised to
-floor(log2 count), and level j of a bigram is put into a Bloom filter as (bigram, j) for all j up to
-its level.  Each slot holds its own segment of the filter, sized by what is put into it, so the
+machine.  Bigram counts meet in the same slots and are quantised to
+floor(log2 count), and level j of a bigram is put into a Bloom filter as (bigram, j) for all j from
+0 (seen once) to its level.  Each slot holds its own segment of the filter, sized by what is put into it, so the
 filter grows with the input and its error rate doesn't.  A count is read back by probing levels
 until one is missing; a slot returns to each block the levels of its bigrams, seen in training or
 not, and the block mixes the bigram estimate with the smoothed unigram.
@@ -184,7 +184,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             back = [n[np.searchsorted(known, x)].astype("<i8").tobytes() for x in each]
         else:
             filled = bloom_size(n)
-            bits = np.frombuffer(bloom_segment(known[n > 1], n[n > 1], filled), np.uint8)
+            bits = np.frombuffer(bloom_segment(known[n > 0], n[n > 0], filled), np.uint8)
             back = [bloom_levels(bits, x, 1, filled).tobytes() for x in each]
         rows = list(zip([what] * len(back), pdf.block, pdf.slot, back, [0] * len(back), [0] * len(back)))
         rows.append((what, -1, slot, b"", int((n > 0).sum()), int(n.sum())))
@@ -229,25 +229,25 @@ def _probe(pairs: np.ndarray, level: int, probe: int, segment: int) -> np.ndarra
 
 def bloom_size(counts: np.ndarray) -> int:
     """Bits of the segment for these counts."""
-    some = counts[counts > 1]
-    return max(8, 1 << (ROOM * PROBES * int(np.floor(np.log2(some)).sum())).bit_length())
+    some = counts[counts > 0]
+    return max(8, 1 << (ROOM * PROBES * int((np.floor(np.log2(some)) + 1).sum())).bit_length())
 
 
 def bloom_segment(pairs: np.ndarray, counts: np.ndarray, segment: int) -> bytes:
     """The bits of one slot: (pair, level) for every level up to floor(log2 count)."""
     out = np.zeros(segment, bool)
     top = np.floor(np.log2(counts)).astype(int) if len(counts) else np.zeros(0, int)
-    for level in range(1, int(top.max(initial=0)) + 1):
+    for level in range(int(top.max(initial=-1)) + 1):
         for probe in range(PROBES):
             out[_probe(pairs[top >= level], level, probe, segment)] = True
     return np.packbits(out, bitorder="little").tobytes()
 
 
 def bloom_levels(bits: np.ndarray, pairs: np.ndarray, slots: int, segment: int) -> np.ndarray:
-    """The highest level reached without a miss; 0 below two."""
-    out = np.zeros(len(pairs), np.int8)
+    """The highest level reached without a miss; -1 where there is none."""
+    out = np.full(len(pairs), -1, np.int8)
     base = (pairs >> U(BIGRAM_BITS - (slots - 1).bit_length())).astype(np.int64) * segment
-    alive, level = np.arange(len(pairs)), 0
+    alive, level = np.arange(len(pairs)), -1
     while len(alive) and level < 62:
         level += 1
         for probe in range(PROBES):
@@ -258,8 +258,8 @@ def bloom_levels(bits: np.ndarray, pairs: np.ndarray, slots: int, segment: int)
 
 
 def level_counts(levels: np.ndarray) -> np.ndarray:
-    """The middle of each level; 0 below two."""
-    return np.where(levels > 0, 1.44 * 2.0**levels, 0.0)
+    """One for level 0, the middle of each level above; 0 where there is none."""
+    return np.where(levels > 0, 1.44 * 2.0**levels, levels + 1.0)
 
 
 def bloom_counts(bits: np.ndarray, pairs: np.ndarray, slots: int, segment: int) -> np.ndarray:

@@ -377,6 +377,15 @@ def test_scores_tell_seen_from_unseen_bigrams_beyond_any_bound(spark, monkeypatc
     assert np.mean([got[k] == pytest.approx(want[k]) for k in held]) > 0.85
 
 
+def test_bigrams_seen_once_count(spark):
+    texts = [prose(k, 30) + f" only{k} here{k}" for k in range(60)]
+    want, least = plain_scores([t.lower() for t in texts])
+    assert least == 1
+    got = {r.doc_id: r.score for r in language_model.score(docs_of(spark, texts)).collect()}
+    train = [k for k in range(60) if zlib.crc32(str(k).encode()) % 10]
+    assert np.mean([abs(got[k] - want[k]) < 0.3 for k in train]) > 0.85
+
+
 def test_bloom_counts_come_back():
     rng = np.random.default_rng(3)
     pairs = np.unique(rng.integers(0, 1 << 48, 4000, dtype=np.uint64))
