@@ -16,6 +16,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 HAZARD_WEIGHTS = {"slope": 0.40, "rough": 0.25, "relief": 0.15, "curv": 0.10, "crater": 0.10}
 ELLIPSE_WEIGHTS = {"r8": 0.3632, "r20": 0.3632, "cv": 0.0767, "moran": 0.1578, "slope": 0.0391}
 
+#: Metres after which a horizon ray ends.
+MAX_DISTANCE = 10_000.0
+
 
 def _line(by: str, along: str, half: int) -> object:
     return Window.partitionBy(by).orderBy(along).rangeBetween(-half, half)
@@ -168,14 +171,21 @@ def _samples(cells: DataFrame, dx: Column, dy: Column, step: Column, z: str) ->
     return rays.join(cells.select(F.col("row").alias("__r"), F.col("col").alias("__c"), F.col(z).alias("hit")), ["__r", "__c"])
 
 
-def shadow(cells: DataFrame, azimuth: float, elevation: float, size: float = 1.0, reach: int = 100, z: str = "z", pixels: bool = False) -> DataFrame:
-    """row, col, lit: 0 where a cell within reach along the sun's azimuth (clockwise from north) stands above the ray.
+def steps_across(cells: DataFrame) -> int:
+    """Whole steps after which a ray has left the grid, from whatever cell: 1.5 times its longer side."""
+    r = cells.agg(F.max("row") - F.min("row"), F.max("col") - F.min("col")).first()
+    return math.ceil(1.5 * (max(x or 0 for x in r) + 1))
+
+
+def shadow(cells: DataFrame, azimuth: float, elevation: float, size: float = 1.0, reach: int | None = None, z: str = "z", pixels: bool = False) -> DataFrame:
+    """row, col, lit: 0 where a cell within reach (without one: of the grid) along the sun's azimuth (clockwise from north) stands above the ray.
 
     pixels: the ray rises by tan(elevation) for each cell rather than each metre.  A sun at or below
     the horizon lights nothing.  A ray looks at nearest cells at whole steps; no data doesn't block.
     """
     if elevation <= 0:
         return cells.select("row", "col", F.lit(0).alias("lit"))
+    reach = reach or steps_across(cells)
     a = math.radians(azimuth)
     hits = _samples(cells.where(F.col(z).isNotNull()), F.lit(math.sin(a)), F.lit(math.cos(a)), F.explode(F.sequence(F.lit(1), F.lit(reach))), z)
     rise = math.tan(math.radians(elevation)) * (1 if pixels else size)
@@ -183,11 +193,13 @@ def shadow(cells: DataFrame, azimuth: float, elevation: float, size: float = 1.0
     return cells.where(F.col(z).isNotNull()).select("row", "col").join(dark.withColumn("__d", F.lit(0)), ["row", "col"], "left").select("row", "col", F.coalesce("__d", F.lit(1)).alias("lit"))
 
 
-def horizon(cells: DataFrame, azimuths: list[float], size: float = 1.0, reach: int = 100, radius: float | None = None, z: str = "z") -> DataFrame:
+def horizon(cells: DataFrame, azimuths: list[float], size: float = 1.0, reach: int | None = None, radius: float | None = None, z: str = "z") -> DataFrame:
     """row, col, azimuth (counter-clockwise from east), height: the largest elevation angle (degrees, at least 0) along it.
 
     With a body radius, a cell at distance d drops by d^2 / (2 radius).  Null where a ray meets no cell.
+    Without a reach, rays end at the edge of the grid or after MAX_DISTANCE.
     """
+    reach = reach or min(steps_across(cells), max(1, int(MAX_DISTANCE / size)))
     at = F.explode(F.array(*[F.lit(float(a)) for a in azimuths]))
     rays = cells.select("row", "col", F.col(z).alias("z0"), at.alias("azimuth")).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(reach))))
     a = F.radians("azimuth")

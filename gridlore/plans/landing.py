@@ -23,7 +23,7 @@ class Mission:
     top: int = 20
 
 
-def stages(mission: Mission, azimuths: list[float], reach: int, sun: DataFrame) -> list[tuple[str, Callable[[dict[str, DataFrame]], DataFrame]]]:
+def stages(mission: Mission, azimuths: list[float], reach: int | None, sun: DataFrame) -> list[tuple[str, Callable[[dict[str, DataFrame]], DataFrame]]]:
     """(name, function of the results so far); ``dem`` (row, col, z) is there from the start."""
     m = mission
     km2 = m.cell_m * m.cell_m / 1e6

@@ -95,4 +95,4 @@ def horizon_max(spark, sf):
 def illumination_fraction(spark, sf):
     g = cells_from_lineitem(spark, sf)
     sun = spark.range(24).select(F.col("id").alias("step"), (F.col("id") * 15.0).alias("azimuth"), (10 * F.sin(F.radians(F.col("id") * 15.0))).alias("elevation"))
-    return O.illumination(g, O.horizon(g, AZ, 10.0, 10), sun).select("row", "col", F.round("fraction", 6).alias("fraction"), F.round("variability", 6).alias("variability"), "psr", "grazing")
+    return O.illumination(g, O.horizon(g, AZ, 10.0), sun).select("row", "col", F.round("fraction", 6).alias("fraction"), F.round("variability", 6).alias("variability"), "psr", "grazing")

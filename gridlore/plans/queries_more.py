@@ -60,7 +60,7 @@ def grid_sample_points(spark, sf):
 def landing_pipeline(spark, sf):
     shared = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="landing-")).rstrip("/")
     sun = spark.range(12).select(F.col("id").alias("step"), (F.col("id") * 30.0).alias("azimuth"), (F.lit(20.0) + F.col("id") % 3 * 10).alias("elevation"))
-    plan = landing.stages(landing.Mission(10.0, max_slope=60.0), [0.0, 90.0, 180.0, 270.0], 5, sun)
+    plan = landing.stages(landing.Mission(10.0, max_slope=60.0), [0.0, 90.0, 180.0, 270.0], None, sun)
     dem = cells_from_lineitem(spark, sf).select("row", "col", "z")
     return landing.run(spark, dem, plan, f"{shared}/landing-{uuid.uuid4().hex}")["ranking"]
 

@@ -102,6 +102,13 @@ def test_shadow_falls_away_from_the_sun(spark):
     assert {r.lit for r in focal.shadow(grid(spark, rows), 90.0, -1.0).collect()} == {0}
 
 
+def test_rays_reach_the_edge_of_the_grid(spark):
+    g = grid(spark, [[0.0] * 125 + [200.0] + [0.0] * 4])
+    assert as_map(focal.shadow(g, 90.0, 45.0), "lit")[0, 0] == 0
+    got = {(r.row, r.col): r.height for r in focal.horizon(g, [0.0]).collect()}
+    assert got[0, 0] == pytest.approx(math.degrees(math.atan(200 / 125)))
+
+
 def test_clump_corner_contact(spark):
     g = grid(spark, [[1, 0, 0], [0, 1, 0], [0, 0, 1]]).withColumn("z", F.col("z").cast("int"))
     assert connectivity.clump(g).where("z = 1").select("clump").distinct().count() == 3
