@@ -105,7 +105,7 @@ def pca_gram(spark, sf):
 
 @query("pca_variance")
 def pca_variance(spark, sf):
-    values, _, percent, _ = S.pca(table(spark, sf, "embeddings").select(F.slice("embedding", 1, 8).alias("b")), "b", 8)
+    values, _, percent, _ = S.pca(table(spark, sf, "embeddings").select(F.col("embedding").alias("b")), "b", 64)
     return spark.createDataFrame([(k + 1, float(v), float(p)) for k, (v, p) in enumerate(zip(values, percent))], "pc int, eigenvalue double, variance_pct double")
 
 

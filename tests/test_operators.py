@@ -10,6 +10,7 @@ from gridlore.functions import strings, vectors
 from gridlore.operators import cells, connectivity, craters, decision, focal, intervals, spectra
 from gridlore.plans.ek import EkError, ek_find, ek_select_items, ek_sql
 from gridlore.plans.grid import Region, sample_at, to_bands, to_long
+from gridlore.queries import QUERIES
 from gridlore.sources import catalogues, pds
 from gridlore.streaming.sessions import sessions
 
@@ -259,6 +260,13 @@ def test_pca_of_a_line(spark):
     assert percent[0] == pytest.approx(100) and vectors_[0] == pytest.approx(np.array([1, 2]) / math.sqrt(5))
 
 
+def test_pca_variance_takes_all_bands(spark, tmp_path):
+    x = np.random.default_rng(5).normal(size=(100, 64)) * np.arange(1, 65)
+    spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = [r.eigenvalue for r in QUERIES["pca_variance"](spark, str(tmp_path)).orderBy("pc").collect()]
+    assert got == pytest.approx(np.linalg.eigvalsh(np.cov(x.T))[::-1].tolist())
+
+
 def test_quaternion_matches_rotation(spark):
     q = vectors.vec(math.cos(0.2), 0.0, 0.0, math.sin(0.2))
     v = vectors.vec(1.0, 2.0, 3.0)
