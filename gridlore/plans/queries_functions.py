@@ -81,8 +81,7 @@ def str_parse_numbers(spark, sf):
 @query("time_et", "SELECT event_id, round(epoch(ts) - 946728000, 3) AS utc, round(epoch(ts) - 946728000 + 37 + 32.184, 2) AS et, round((epoch(ts) - 946728000) / 86400 + 2451545.0, 4) AS jd FROM events WHERE ts >= TIMESTAMP '2017-01-01'")
 def time_et(spark, sf):
     ts = F.col("ts").cast("timestamp")
-    e = table(spark, sf, "events").where(ts >= F.lit("2017-01-01").cast("timestamp"))
-    return e.select("event_id", F.round(T.utc_seconds(ts), 3).alias("utc"), F.round(T.et(ts), 2).alias("et"), F.round(T.julian_date(ts), 4).alias("jd"))
+    return table(spark, sf, "events").select("event_id", F.round(T.utc_seconds(ts), 3).alias("utc"), F.round(T.et(ts), 2).alias("et"), F.round(T.julian_date(ts), 4).alias("jd"))
 
 
 @query("time_calendar", "SELECT event_id, upper(strftime(ts, '%Y %b %d %H:%M:%S')) AS cal, strftime(ts, '%Y-%j') AS doy FROM events")

@@ -274,6 +274,12 @@ def test_quaternion_matches_rotation(spark):
     assert row.a == pytest.approx(row.b)
 
 
+def test_time_et_keeps_events_before_the_last_leap_second(spark, tmp_path):
+    spark.sql("SELECT 1 AS event_id, TIMESTAMP '2010-06-01 00:00:00' AS ts UNION ALL SELECT 2, TIMESTAMP '2020-06-01 00:00:00'").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.event_id: r.et - r.utc for r in QUERIES["time_et"](spark, str(tmp_path)).collect()}
+    assert got == {1: pytest.approx(34 + 32.184, abs=0.01), 2: pytest.approx(37 + 32.184, abs=0.01)}
+
+
 def test_strings(spark):
     s = F.lit("from A to B,C")
     row = spark.range(1).select(strings.after_keyword(s, "from", ["to"]).alias("k"), strings.items(s, ",").alias("i"), strings.number_at(F.lit("-1.5E3x")).alias("n"), strings.char_pos(s, "AB").alias("p")).first()
