@@ -168,7 +168,7 @@ def overlapping(a: DataFrame, b: DataFrame, reach: float) -> DataFrame:
     return left.join(right, ["__x", "__y"]).withColumn("iou", disk_overlap(d, F.col("a_radius"), F.col("b_radius"))).where("iou > 0").drop("__x", "__y", "__dx", "__dy")
 
 
-def suppress(candidates: DataFrame, threshold: float = 0.3, rounds: int = 100) -> DataFrame:
+def suppress(candidates: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Non-maximum suppression: by falling confidence (ties by id), a candidate goes if a kept one overlaps it by threshold or more.
 
     candidates: id, cx, cy, radius, confidence, method.  Adds n_methods; a kept candidate whose
@@ -182,7 +182,7 @@ def suppress(candidates: DataFrame, threshold: float = 0.3, rounds: int = 100) -
     edges = stored(edges.select(F.col("a_id").alias("over"), F.col("b_id").alias("under"), F.col("a_method").alias("m1"), F.col("b_method").alias("m2")))
     gone = edges.select("under").limit(0)
     live = edges
-    for _ in range(rounds):
+    while True:  # each round beats one at least
         tops = live.select(F.col("over").alias("id")).distinct().join(live.select(F.col("under").alias("id")).distinct(), "id", "left_anti")
         beaten = stored(live.join(tops.withColumnRenamed("id", "over"), "over").select("under").distinct())
         if beaten.isEmpty():

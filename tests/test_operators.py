@@ -193,6 +193,12 @@ def test_nms_keeps_the_stronger(spark):
     assert got == {1: ("merged", 2), 4: ("dem", 1)}
 
 
+def test_nms_decides_a_chain_of_any_length(spark, monkeypatch):
+    monkeypatch.setattr(craters, "range", lambda n: [0], raising=False)  # one round, as if the chain were longer than any count of rounds
+    c = spark.createDataFrame([(k, 8.0 * k, 0.0, 10.0, 1 - 0.1 * k, "dem") for k in range(6)], "id long, cx double, cy double, radius double, confidence double, method string")
+    assert {r.id for r in craters.suppress(c).collect()} == {0, 2, 4}
+
+
 def test_multi_rings(spark):
     c = spark.createDataFrame([(1, 0.0, 0.0, 10.0), (2, 0.5, 0.0, 20.0), (3, 0.0, 0.5, 21.0), (4, 200.0, 0.0, 10.0)], "id long, cx double, cy double, radius double")
     got = {r.id: (r.basin_id, r.ring_index) for r in craters.multi_rings(c).collect()}
