@@ -59,6 +59,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors would not see a folder of the driver's")
         path = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -110,6 +112,28 @@ def _clean() -> None:
             return
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    k = 0
+    while f"{stem}_{k}" in taken:
+        k += 1
+    return f"{stem}_{k}"
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, least: int = 1000) -> DataFrame:
+    """rows joined with one row per key of groups, where size says how many rows a key has.
+
+    Keys with over total / 10000 rows are fewer than 10000 and are broadcast, so their rows stay
+    where they are; the others meet by shuffle, and none of them fills a task.
+    """
+    heavy = F.col(size) > max(least, total // 10_000)
+    large = groups.where(heavy)
+    few = rows.join(F.broadcast(large), key)
+    rest = rows.join(F.broadcast(large.select(key)), key, "left_anti").join(groups.where(~heavy), key)
+    return few.unionByName(rest)
+
+
 def fold_ascii(text: Column) -> Column:
     """Lower-cases A-Z only.  Pure ASCII texts take lower(), which is the same there and faster."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

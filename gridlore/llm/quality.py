@@ -4,7 +4,8 @@ A document is its UTF-8 bytes.  Overlapping chunks of CHUNK bytes, a new one eve
 all of it.  Learned filters over WIDTH embedded bytes slide through each chunk; their responses are
 max-pooled per chunk, then averaged and max-pooled over the chunks, and one logistic unit makes a
 probability of it.  The network is fitted on the driver on a bounded sample of labelled rows
-(PER_CLASS of each label, EXCERPT characters of each); scoring reads whole texts.
+(at most per_class rows of each label, and as many of them as sample_bytes hold); texts are whole in
+training and scoring.  A tile of zeros parts each text from the next, so a score depends on its text alone.
 """
 
 from __future__ import annotations
@@ -16,16 +17,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import ship, table
+from .common import ship, stored, table
 
 TILE, STRIDE, WIDTH = 64, 4, 8
 PER_TILE = TILE // STRIDE
 #: A chunk is four tiles; chunks start every three tiles.
 CHUNK, STEP = 4, 3
 EMBED, FILTERS = 8, 24
-#: Bounds of the training sample: rows of each label, characters of each text (in pieces over all of it).
-PER_CLASS, EXCERPT, PIECES = 1500, 8192, 8
+#: Bounds of the training sample: rows of each label, bytes of all its (whole) texts.
+PER_CLASS, SAMPLE_BYTES = 1500, 64 << 20
 THRESHOLD = 0.3
+#: Bytes that are filtered at a time.
+SLICE = 1 << 17
 
 
 @dataclass
@@ -34,12 +37,12 @@ class Net:
     filters: np.ndarray  # WIDTH * EMBED x FILTERS
     bias: np.ndarray
     out: np.ndarray  # 2 * FILTERS
-    out_bias: float
+    out_bias: float | np.ndarray
 
 
 def lay_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts padded to whole tiles in one array, and the first tile of each (one more than texts)."""
-    tiles = [max(1, -(-(len(t) + WIDTH) // TILE)) for t in texts]
+    """All texts padded to whole tiles and a tile of zeros after each, and the first tile of each (one more than texts)."""
+    tiles = [max(1, -(-(len(t) + WIDTH) // TILE)) + 1 for t in texts]
     first = np.zeros(len(texts) + 1, np.int64)
     np.cumsum(tiles, out=first[1:])
     raw = np.zeros(first[-1] * TILE + WIDTH, np.uint8)
@@ -52,29 +55,34 @@ def windows(net: Net, raw: np.ndarray) -> np.ndarray:
     """Embedded windows at every STRIDE bytes: rows of WIDTH * EMBED."""
     x = net.embed[raw]
     n = (len(raw) - WIDTH) // STRIDE
-    return np.lib.stride_tricks.as_strided(x, (n, WIDTH * EMBED), (STRIDE * EMBED * 4, 4))
+    return np.lib.stride_tricks.as_strided(x, (n, WIDTH * EMBED), (STRIDE * EMBED * x.itemsize, x.itemsize))
 
 
-def tile_peaks(net: Net, raw: np.ndarray, most: int = 1 << 17) -> np.ndarray:
-    """The largest response of each filter in each tile; bounded memory however long a text is."""
+def tile_peaks(net: Net, raw: np.ndarray, most: int = SLICE, where: np.ndarray | None = None) -> np.ndarray:
+    """The largest response of each filter in each tile; bounded memory however long a text is.  where takes the windows that gave them."""
     tiles = (len(raw) - WIDTH) // TILE
-    out = np.empty((tiles, FILTERS), np.float32)
+    out = np.empty((tiles, FILTERS), net.filters.dtype)
     per = most // TILE
     for t in range(0, tiles, per):
         part = raw[t * TILE : min(tiles, t + per) * TILE + WIDTH]
-        out[t : t + per] = (windows(net, part) @ net.filters).reshape(-1, PER_TILE, FILTERS).max(1)
+        act = (windows(net, part) @ net.filters).reshape(-1, PER_TILE, FILTERS)
+        if where is None:
+            out[t : t + per] = act.max(1)
+        else:
+            where[t : t + per] = best = act.argmax(1)
+            out[t : t + per] = np.take_along_axis(act, best[:, None], 1)[:, 0]
     return out
 
 
 def chunk_starts(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and last tile of every chunk, and each text's first chunk."""
-    tiles = np.diff(first)
+    """First and last tile of every chunk, and each text's first chunk; the tiles of zeros belong to none."""
+    tiles = np.diff(first) - 1
     many = np.maximum(1, -(-(tiles - CHUNK) // STEP) + 1)
     at = np.zeros(len(first), np.int64)
     np.cumsum(many, out=at[1:])
     doc = np.repeat(np.arange(len(tiles)), many)
     start = first[:-1][doc] + (np.arange(len(doc)) - at[:-1][doc]) * STEP
-    return start, np.minimum(start + CHUNK, first[1:][doc]) - 1, at
+    return start, np.minimum(start + CHUNK, first[1:][doc] - 1) - 1, at
 
 
 def pool(net: Net, peaks: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +114,7 @@ def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, steps: int
         rng.normal(0, 0.1, 2 * FILTERS).astype(np.float32),
         0.0,
     )
-    names = ("embed", "filters", "bias", "out", "out_bias")
+    names = tuple(vars(net))
     m, v, t = {k: 0.0 for k in names}, {k: 0.0 for k in names}, 0
     epochs = -(-steps * batch // len(texts))
     steps = epochs * -(-len(texts) // batch)
@@ -122,15 +130,14 @@ def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, steps: int
                 v[k] = 0.999 * v[k] + 0.001 * grads[k] ** 2
                 move = lr * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
                 setattr(net, k, (getattr(net, k) - move).astype(np.float32) if k != "out_bias" else float(net.out_bias - move))
-    return net
+    # scores are computed in double precision: how a batch is cut doesn't show in them
+    return Net(*(np.asarray(x, np.float64) for x in vars(net).values()))
 
 
 def _gradients(net: Net, texts: list[bytes], y: np.ndarray, weight: np.ndarray) -> dict:
     raw, first = lay_out(texts)
-    view = windows(net, raw)
-    act = (view @ net.filters).reshape(-1, PER_TILE, FILTERS)
-    where = act.argmax(1)
-    peaks = np.take_along_axis(act, where[:, None], 1)[:, 0]
+    where = np.empty(((len(raw) - WIDTH) // TILE, FILTERS), np.int64)
+    peaks = tile_peaks(net, raw, where=where)
     start, last, at = chunk_starts(first)
     tile, best = np.broadcast_to(start[:, None], (len(start), FILTERS)).copy(), peaks[start]
     for k in range(1, CHUNK):
@@ -153,10 +160,9 @@ def _gradients(net: Net, texts: list[bytes], y: np.ndarray, weight: np.ndarray)
     pos = tile * PER_TILE + where[tile, k]
     dfilters, dembed = np.zeros_like(net.filters), np.zeros_like(net.embed)
     for f in range(FILTERS):
-        x = view[pos[:, f]]
-        dfilters[:, f] = x.T @ g[:, f]
-        spread = (g[:, f, None] * net.filters[:, f]).reshape(-1, WIDTH, EMBED)
         byte = raw[pos[:, f, None] * STRIDE + np.arange(WIDTH)]
+        dfilters[:, f] = net.embed[byte].reshape(len(byte), -1).T @ g[:, f]
+        spread = (g[:, f, None] * net.filters[:, f]).reshape(-1, WIDTH, EMBED)
         for e in range(EMBED):
             dembed[:, e] += np.bincount(byte.ravel(), spread[:, :, e].ravel(), 256)
     return {"embed": dembed, "filters": dfilters, "bias": g.sum(0), "out": features.T @ d, "out_bias": float(d.sum())}
@@ -170,40 +176,49 @@ def held_out(key: Column) -> Column:
     return F.pmod(_crc(key), F.lit(5)) == 0
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The training sample: texts, labels, and weights that restore the classes' true shares.
+def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sample_bytes: int = SAMPLE_BYTES) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The training sample: whole texts, labels, and weights that restore the classes' true shares.
 
-    Only rows that are not held out; the PER_CLASS rows of each label with the smallest hash of
-    doc_id; of a longer text, PIECES pieces evenly over it.  Unlabelled rows and null labels are
-    left out; of repeated labels the largest holds, of repeated documents the least text.
+    Only rows that are not held out; the per_class rows of each label with the smallest hash of
+    doc_id, and of these, in that order, those whose texts fit into sample_bytes (half for each label).
+    Unlabelled rows and null labels are left out; of repeated labels the largest holds, of repeated
+    documents the least text.
     """
     known = labels.where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("y"))
     counts = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
     order = F.xxhash64("doc_id", F.lit("quality"))
     picked = None
     for y in (0, 1):
-        part = known.where(F.col("y") == y).orderBy(order, "doc_id").limit(PER_CLASS)
+        part = known.where(F.col("y") == y).orderBy(order, "doc_id").limit(per_class)
         picked = part if picked is None else picked.union(part)
-    n, piece = F.char_length("text"), EXCERPT // PIECES
-    cut = F.concat(*[F.substring(F.col("text"), F.floor((n - piece) * (i / (PIECES - 1))).cast("int") + 1, F.lit(piece)) for i in range(PIECES)])
-    text = F.coalesce(F.when(n > EXCERPT, cut).otherwise(F.col("text")), F.lit(""))
-    # PER_CLASS rows of a label, also where a doc_id is repeated
-    rows = docs.select("doc_id", text.alias("t")).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("t").alias("t")).collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    y = np.array([r["y"] for r in rows], float)
+    # per_class rows of a label, also where a doc_id is repeated
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("t").alias("t"))
+    rows = stored(rows, "training")
+    sizes = rows.select("doc_id", "y", order.alias("h"), F.octet_length("t").alias("size")).collect()
+    wanted, used = [], {0: 0, 1: 0}
+    for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"])):
+        if used[int(r["y"])] + r["size"] <= sample_bytes // 2:
+            used[int(r["y"])] += r["size"]
+            wanted.append(r["doc_id"])
+    got = rows.where(F.col("doc_id").isin(wanted)).collect() if len(wanted) < len(sizes) else rows.collect()
+    got.sort(key=lambda r: r["doc_id"])
+    y = np.array([r["y"] for r in got], float)
     have = {k: max(1, int((y == k).sum())) for k in (0, 1)}
     weights = np.array([counts.get(int(k), 1) / have[int(k)] for k in y])
-    return [r["t"].encode() for r in rows], y, weights
+    return [r["t"].encode() for r in got], y, weights
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Net:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sample_bytes: int = SAMPLE_BYTES) -> Net:
     """Without any labelled row the net answers 0.5 or more, so that nothing is rejected."""
-    texts, y, weights = sample(docs, labels)
+    texts, y, weights = sample(docs, labels, per_class, sample_bytes)
     return fit(texts, y, weights) if len(texts) else fit([b""], np.ones(1), np.ones(1), steps=1)
 
 
 def score(docs: DataFrame, net: Net, text: str = "text", into: str = "score") -> DataFrame:
-    """docs with the probability of label 1 for every whole text; null texts count as empty."""
+    """docs with the probability of label 1 for every whole text, in the column into; null texts count as empty.
+
+    A column that has that name is replaced.  Equal texts score alike, whatever rows are beside them.
+    """
     ship(docs.sparkSession)
 
     @F.pandas_udf("double")

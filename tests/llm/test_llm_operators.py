@@ -133,6 +133,48 @@ def test_quality_slices_of_a_long_text_agree():
     assert np.allclose(quality.tile_peaks(net, raw, 1 << 12), quality.tile_peaks(net, raw), atol=1e-5)
 
 
+def plain_quality(net, text):
+    """One text by itself, window by window."""
+    q = quality
+    tiles = max(1, -(-(len(text) + q.WIDTH) // q.TILE))
+    raw = text + bytes((tiles + 1) * q.TILE - len(text))
+    peaks = []
+    for t in range(tiles):
+        at = range(t * q.TILE, (t + 1) * q.TILE, q.STRIDE)
+        peaks.append(np.max([net.embed[list(raw[p : p + q.WIDTH])].ravel() @ net.filters for p in at], 0))
+    chunks, t = [], 0
+    while True:
+        chunks.append(np.maximum(np.max(peaks[t : t + q.CHUNK], 0) + net.bias, 0))
+        if t + q.CHUNK >= tiles:
+            break
+        t += q.STEP
+    features = np.concatenate([np.mean(chunks, 0), np.max(chunks, 0)])
+    return 1 / (1 + math.exp(-float(features @ net.out + net.out_bias)))
+
+
+def test_quality_equals_a_plain_loop_in_any_order(spark):
+    """A whole table: each score is a function of its text, to 1e-9, wherever the row stands."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    net = quality.train(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    one = {r.doc_id: r.score for r in quality.score(docs, net).collect()}
+    other = {r.doc_id: r.score for r in quality.score(docs.orderBy(F.md5("text")).repartition(3), net).collect()}
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    assert len(one) == len(texts) == docs.count()
+    for k, t in texts.items():
+        assert one[k] == pytest.approx(plain_quality(net, t), abs=1e-9) and one[k] == pytest.approx(other[k], abs=1e-9)
+    assert len({round(quality.probabilities(net, [b"x y z" * 6, after])[0], 12) for after in (b"", b"!!!!123", b"\xc3\xa9" * 90)}) == 1
+
+
+def test_quality_sample_is_whole_texts_within_its_bounds(spark):
+    texts = [prose(k, 2000) for k in range(40)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    got, y, _ = quality.sample(docs_of(spark, texts), labels)
+    assert set(map(bytes.decode, got)) == {t for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 5}
+    size = max(map(len, texts))
+    got, y, weights = quality.sample(docs_of(spark, texts), labels, sample_bytes=size * 8)
+    assert 6 <= len(got) <= 8 and set(map(bytes.decode, got)) <= set(texts) and len(quality.sample(docs_of(spark, texts), labels, per_class=3)[0]) == 6
+
+
 def test_quality_without_labels_keeps_all(spark, edge):
     net = quality.train(edge, spark.createDataFrame([], "doc_id long, quality int"))
     assert all(r.score >= quality.THRESHOLD for r in quality.score(edge, net).collect())
