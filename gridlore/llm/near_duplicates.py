@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import release, ship, steady, stored, table
+from .common import fresh, join_groups, release, ship, steady, stored, table
 from .components import components
 from .shingles import U, batches, mix, shingles, table_of, words
 
@@ -173,10 +173,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     scan = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
     sketches = stored(scan.mapInArrow(sketch, f"row long, key {kind}, node binary, bands array<long>, bag binary"), "sketches")
 
-    nodes = sketches.where("node is not null").groupBy("node").agg(F.first("bands").alias("bands"))
+    nodes = stored(sketches.where("node is not null").groupBy("node").agg(F.first("bands").alias("bands")), "nodes")
     spots = nodes.select("node", F.explode("bands").alias("bucket"))
-    pivots = spots.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("m")).where("m > 1")
-    members = stored(spots.join(pivots, "bucket").select("bucket", "node", "pivot", "m"), "members")
+    pivots = stored(spots.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("m")).where("m > 1"), "pivots")
+    members = stored(join_groups(spots, pivots, "bucket", "m", n * BANDS).select("bucket", "node", "pivot", "m"), "members")
+    release(nodes)
     candidates = members.select("node").distinct()
     # one bag for each candidate node, whatever the number of its copies
     one = sketches.where("node is not null").groupBy("node").agg(F.min("row").alias("row")).join(candidates, "node")
@@ -196,11 +197,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
     slim = stored(sketches.select("row", "key", "node"), "slim")
     release(sketches)
-    named = slim.join(comp, "node", "left").select("row", "key", F.coalesce("component", "node").alias("component"))
-    with_class, alone = named.where("component is not null"), named.where("component is null")
+    with_words, alone = slim.where("node is not null"), slim.where("node is null")
     first = F.min(F.struct(F.col("key").isNull().alias("no"), "key", "row"))
-    classes = with_class.groupBy("component").agg(first.alias("least"), F.count("*").alias("class_size"))
-    joined = with_class.join(classes, "component").select("row", "key", F.col("least.key").alias("class_id"), "class_size", (F.col("row") == F.col("least.row")).alias("kept"))
+    groups = with_words.groupBy("node").agg(first.alias("least"), F.count("*").alias("copies")).join(comp, "node", "left")
+    groups = stored(groups.select("node", F.coalesce("component", "node").alias("component"), "least", "copies"), "groups")
+    classes = stored(groups.groupBy("component").agg(F.min("least").alias("first"), F.sum("copies").alias("class_size"), F.count("*").alias("nodes")), "classes")
+    # a class of many texts, then a text of many copies, may hold any share of the rows
+    named = stored(join_groups(groups.select("node", "component", "copies"), classes, "component", "nodes", n).select("node", "copies", "first", "class_size"), "named")
+    joined = join_groups(with_words, named, "node", "copies", n).select("row", "key", F.col("first.key").alias("class_id"), "class_size", (F.col("row") == F.col("first.row")).alias("kept"))
     return joined.union(alone.select("row", "key", F.col("key").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))).withColumnRenamed("key", key)
 
 
@@ -265,9 +269,9 @@ def _compare(rest: DataFrame, bags: DataFrame, idf, similarity: float) -> DataFr
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each class of near-duplicates; its rows are read twice, so anything but a file scan is stored first."""
     docs = steady(docs)
-    found = near_duplicates(docs, key, text)
-    gone = found.where("not kept").select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left_anti").drop("__row")
+    row = fresh(docs, "row")
+    gone = near_duplicates(docs, key, text).where("not kept").select(F.col("row").alias(row))
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(gone, row, "left_anti").drop(row)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
