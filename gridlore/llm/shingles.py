@@ -42,6 +42,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(33))
 
 
+def is_word(byte: int) -> bool:
+    return bool(_WORD[byte])
+
+
 def words(texts: list[bytes], kind: str = "word") -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts in order, and where each text's words start (one more than texts).
 

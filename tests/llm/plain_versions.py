@@ -113,3 +113,21 @@ def brute_classes(texts, similarity=0.8):
                 x, y = root(a), root(b)
                 label[max(x, y)] = min(x, y)
     return [root(k) for k in range(n)]
+
+
+def brute_passages(texts, length):
+    """Spans of words in runs of length words that another text holds too, by row; rows without any are left out."""
+    split = [re.findall(rb"[0-9A-Za-z\x80-\xff]+", (t or "").encode().lower()) for t in texts]
+    held = Counter(w for s in split for w in {tuple(s[i : i + length]) for i in range(len(s) - length + 1)})
+    out = {}
+    for row, s in enumerate(split):
+        spans = []
+        for i in range(len(s) - length + 1):
+            if held[tuple(s[i : i + length])] > 1:
+                if spans and spans[-1][1] >= i:
+                    spans[-1] = (spans[-1][0], i + length)
+                else:
+                    spans.append((i, i + length))
+        if spans:
+            out[row] = spans
+    return out

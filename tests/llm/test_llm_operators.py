@@ -9,7 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from plain_versions import brute_classes, brute_hits, brute_repeats, brute_spans, plain_quality, plain_scores
+from plain_versions import brute_classes, brute_hits, brute_passages, brute_repeats, brute_spans, plain_quality, plain_scores
 from pyspark.sql import functions as F
 
 from gridlore.llm import decontamination, embeddings, language_model, mixing, near_duplicates, pii, quality, repeats, sharding, token_files
@@ -230,6 +230,18 @@ def test_repeats_equal_brute_force(spark, group):
     assert [got[k] for k in range(len(texts))] == brute_repeats(texts, 100)
 
 
+def test_shared_passages_equal_brute_force(spark, monkeypatch):
+    passage, other, twice = prose(31, 55), prose(32, 20), prose(33, 24)
+    texts = [None, "", passage, "x " + passage.upper().replace(" ", ",  ") + "! " + prose(34, 30), passage + " " + passage, prose(35, 10) + " " + other + " y", other + "z " + prose(36, 40), twice + " - " + twice, other, prose(37, 300), prose(37, 300)[:900], "a " * 200, "a " * 23]
+    texts += [prose(38, 70) + f" q{k} " + prose(39, 40) for k in range(5)]
+    for piece in (repeats.PIECE, 64):
+        monkeypatch.setattr(repeats, "PIECE", piece)  # also where every text is long
+        for length, gram in ((20, 6), (50, 14)):
+            df = docs_of(spark, texts).withColumn("row", F.col("doc_id"))
+            got = {r.row: [tuple(x) for x in r.spans] for r in repeats.shared_passages(df, length=length, kgram=gram).collect()}
+            assert got == brute_passages(texts, length)
+
+
 def test_repeats_in_pieces_of_a_long_text(spark, monkeypatch):
     text = prose(21, 300000)
     text += " " + text[1000:2500]
