@@ -25,18 +25,18 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import join_groups, release, ship, steady, stored, table
+from .common import join_groups, release, ship, steady, stored, table, trim
 from .shingles import U, is_word, mix, powers, table_of, words
 
 LENGTH, KGRAM = 400, 64
 #: Words of a shared passage and of its anchors.
-PASSAGE, GRAM = 50, 14
+PASSAGE, GRAM = 50, 8
 #: Contexts of a group that one task takes; ranges of hash in which larger groups meet.
 GROUP, RANGES = 2000, 64
 #: Contexts that are compared in one pass, whole groups at a time.
 STEP = 4096
 #: Text bytes that are scanned at a time; a longer text is scanned in overlapping pieces.
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 _VALUE = table_of(61)
 _TURN = table_of(62, 4)  # offsets, anchors of windows, anchors of contexts
@@ -133,6 +133,7 @@ def _members(docs: DataFrame, text: str, length: int, kgram: int, unit: str = "b
                     rows, texts, size = [], [], 0
             if rows:
                 yield found(rows, *_symbols(texts, unit))
+            trim()
 
     return docs.select("row", F.col(text).cast("binary").alias("t")).mapInArrow(scan, "row long, lo long, hi long, k long, ctx long")
 
@@ -255,9 +256,9 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, kg
     """
     ship(docs.sparkSession)
     members = stored(_members(docs, text, length, kgram), "anchors")
-    one = F.min(F.struct("row", "lo", "hi")).alias("one")
-    groups = members.groupBy("ctx").agg(F.first("k").alias("k"), F.count("*").alias("n"), one)
-    groups = stored(groups.select("k", "ctx", "n", "one.row", "one.lo", "one.hi"), "contexts")
+    # one of each group's places stands for it; firsts of one aggregation come from one row, and need no sort
+    one = [F.first(c).alias(c) for c in ("k", "row", "lo", "hi")]
+    groups = stored(members.groupBy("ctx").agg(F.count("*").alias("n"), *one), "contexts")
     total = groups.agg(F.sum("n")).first()[0] or 0
     kinds = groups.groupBy("k").agg(F.count("*").alias("kinds")).where("kinds > 1")
     wanted = join_groups(groups, kinds, "k", "kinds", total)
@@ -297,30 +298,31 @@ def shared_passages(docs: DataFrame, text: str = "text", length: int = PASSAGE,
     """
     ship(docs.sparkSession)
     members = stored(_members(docs, text, length, kgram, "word"), "word-anchors")
-    groups = members.groupBy("ctx").agg(F.first("k").alias("k"), F.count("*").alias("n"), F.max("row").alias("b"), F.min(F.struct("row", "lo", "hi")).alias("one"))
-    groups = stored(groups.select("k", "ctx", "n", "one.row", "b", "one.lo", "one.hi"), "word-contexts")
+    one = [F.first(c).alias(c) for c in ("k", "row", "lo", "hi")]
+    groups = stored(members.groupBy("ctx").agg(F.count("*").alias("n"), F.min("row").alias("a"), F.max("row").alias("b"), *one), "word-contexts")
     total = groups.agg(F.sum("n")).first()[0] or 0
     kinds = groups.groupBy("k").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    need = join_groups(groups, kinds, "k", "kinds", total).groupBy("row").agg(F.collect_list(F.struct("k", "ctx", "b", "lo", "hi")).alias("need"))
+    need = join_groups(groups, kinds, "k", "kinds", total).groupBy("row").agg(F.collect_list(F.struct("k", "ctx", "a", "b", "lo", "hi")).alias("need"))
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for row, t, need in zip(part.column(0).to_pylist(), part.column(1), part.column(2)):
+            for t, need in zip(part.column(0), part.column(1)):
                 s = need.values
-                k, ctx, b, lo, hi = (s.field(c).to_numpy() for c in ("k", "ctx", "b", "lo", "hi"))
+                k, ctx, a, b, lo, hi = (s.field(c).to_numpy() for c in ("k", "ctx", "a", "b", "lo", "hi"))
                 sums = _sums(np.concatenate([_symbols([x], "word")[0] for x in _bits(t.as_py())]))
                 many = hi - lo + 1
                 of = np.repeat(np.arange(len(lo)), many)
                 at = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
                 h = mix(_hashes(sums, lo[of] + at, lo[of] + at + length) + k.view(U)[of] * _TURN[1])
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ctx[of]), pa.array(at.astype(np.int32)), pa.array(np.full(len(of), row, np.int64)), pa.array(b[of])], ["h", "ctx", "at", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ctx[of]), pa.array(at.astype(np.int32)), pa.array(a[of]), pa.array(b[of])], ["h", "ctx", "at", "a", "b"])
+            trim()
 
     texts = docs.select("row", F.col(text).cast("binary").alias("t"))
-    windows = stored(texts.join(need.hint("merge"), "row").select("row", "t", "need").mapInArrow(cut, "h long, ctx long, at int, a long, b long"), "windows")
+    windows = stored(texts.join(need.hint("merge"), "row").select("t", "need").mapInArrow(cut, "h long, ctx long, at int, a long, b long"), "windows")
     shared = windows.groupBy("h").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.count("*").alias("m")).where("a < b").select("h", "m")
     found = join_groups(windows.where("a = b"), stored(shared, "shared"), "h", "m", total).groupBy("ctx").agg(F.min("at").cast("long").alias("f"), F.max("at").cast("long").alias("l"))
     part = found.join(groups.select("ctx", "n"), "ctx")
-    whole = groups.where("row < b").select("ctx", F.lit(0).cast("long").alias("f"), (F.col("hi") - F.col("lo")).alias("l"), "n")
+    whole = groups.where("a < b").select("ctx", F.lit(0).cast("long").alias("f"), (F.col("hi") - F.col("lo")).alias("l"), "n")
     spots = join_groups(members.select("row", "lo", "ctx"), stored(part.select("ctx", "f", "l", "n").union(whole), "spots"), "ctx", "n", total)
     spans = stored(_merged(spots.select("row", (F.col("lo") + F.col("f")).alias("s"), (F.col("lo") + F.col("l") + length).alias("e"))), "passages")
     release(members)
