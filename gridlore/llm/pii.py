@@ -17,6 +17,8 @@ from .common import table
 
 #: Characters before a span in which context words are looked for, and the least score that counts.
 NEAR, ACCEPT = 48, 0.5
+#: Matches whose places are added up in one fold: a fold copies what it has, so it must not grow with a text.
+FOLD = 64
 
 
 def _digits(m: Column) -> Column:
@@ -55,13 +57,14 @@ KINDS: list[tuple[str, str, str, Callable[[Column], Column], float, str, float]]
     ("phone", r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", _phone_ok, 0.7, "phone|tel|call|mobile|fax", 0.3),
     # added to the base kinds
     ("iban", "[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", mod97, 0.7, "iban|account|bank", 0.3),
+    ("secret", "[A-Za-z0-9_+/-]{20}", r"(?<![A-Za-z0-9_+/=.@-])[A-Za-z0-9_+/-]{20,}+", lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]"), 0.2, "token|secret|key|passw|bearer|auth|credential", 0.6),
     ("ssn", "[0-9]-[0-9]", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda m: ~m.rlike("^(000|666|9)|-00-|-0000$"), 0.2, "ssn|social", 0.5),
 ]
 BASE = ("email", "ip", "card", "phone")
 
 
-def _spans(text: Column, found: Column, pieces: Column) -> Column:
-    """array<struct<start, end, value>> of all matches, by code points."""
+def _folds(found: Column, pieces: Column) -> Column:
+    """Matches in runs of FOLD: the characters of each run, and its spans counted from its own beginning."""
     n = F.size(found)
     empty = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
 
@@ -72,7 +75,16 @@ def _spans(text: Column, found: Column, pieces: Column) -> Column:
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), value.alias("value")))).alias("out"))
 
     zero = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), zero, add, lambda acc: acc["out"])).otherwise(empty)
+    runs = F.sequence(F.lit(0), F.floor((n - 1) / FOLD).cast("int"))
+    return F.when(n > 0, F.transform(runs, lambda r: F.aggregate(F.sequence(r * FOLD + 1, F.least(r * FOLD + FOLD, n)), zero, add)))
+
+
+def _spans(folds: Column) -> Column:
+    """array<struct<start, end, value>> of all matches, by code points."""
+    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+    starts = F.aggregate(folds, zero, lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+    moved = F.zip_with(folds, starts, lambda x, o: F.transform(x["out"], lambda s: F.struct((s["start"] + o).alias("start"), (s["end"] + o).alias("end"), s["value"].alias("value"))))
+    return F.coalesce(F.flatten(moved), F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)"))
 
 
 def _scored(spans: Column, entry: tuple) -> Column:
@@ -95,11 +107,12 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs and ``pii``: array<struct<kind, start, end, value, score>>, by kind as listed, then start.
 
     Base kinds always stay; an added kind stays with a score of at least ACCEPT.  A null text is
-    taken as empty and has none.  A column named pii is replaced.
+    taken as empty and has none.  Spans of different kinds may overlap; repeated rows have the same spans.  A
+    column named pii is replaced, all others stay; an empty table gives an empty one.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     kept = [c for c in docs.columns if c != "pii"]
-    out = docs.select(*[F.col(f"`{c}`") for c in kept], t.alias("__t"))
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"), t.alias("__t"))
     none = F.expr("cast(array() as array<string>)")
     for k, (_, holds, pattern, *_rest) in enumerate(KINDS):
         has = F.col("__t").contains(holds) if len(holds) == 1 else F.col("__t").rlike(holds)
@@ -108,8 +121,9 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     for k, kind in enumerate(KINDS):
         found = F.col(f"__m{k}")
         out = out.withColumn(f"__p{k}", F.when(F.size(found) > 0, F.split(F.col("__t"), kind[2], -1)).otherwise(none))
-        parts.append(_scored(_spans(F.col("__t"), found, F.col(f"__p{k}")), kind))
-    return out.withColumn("pii", F.concat(*parts)).select(*[F.col(f"`{c}`") for c in kept], "pii")
+        out = out.withColumn(f"__f{k}", _folds(found, F.col(f"__p{k}")))
+        parts.append(_scored(_spans(F.col(f"__f{k}")), kind))
+    return out.withColumn("pii", F.concat(*parts)).select("__row.*", "pii")
 
 
 def _joined(spans: Column) -> Column:
@@ -136,4 +150,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(_joined(of(*BASE)), 256).alias("base_sha256"),
         _joined(F.col("pii")).alias("spans"),
+        F.size("pii").cast("long").alias("n_spans"),
     )

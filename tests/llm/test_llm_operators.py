@@ -271,9 +271,16 @@ def test_base_spans_equal_the_plain_patterns(spark, edge):
 
 
 def test_added_kinds_need_checksum_or_context(spark):
-    texts = ["IBAN GB82 WEST 1234 5698 7654 32.", "GB82 WEST 1234 5698 7654 33", "my ssn is 123-45-6789", "part 123-45-6789"]
+    texts = ["IBAN GB82 WEST 1234 5698 7654 32.", "GB82 WEST 1234 5698 7654 33", "my ssn is 123-45-6789", "part 123-45-6789", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "commit 04dbebab91ab85687d33eeaaf9ac699e1188f962", "token: abcdefghijklmnopqrstuvwxyz"]
     got = {r.doc_id: [s.kind for s in r.pii] for r in pii.find_pii(docs_of(spark, texts)).collect()}
     assert got[0] == ["iban"] and got[1] == [] and got[2] == ["ssn"] and got[3] == []
+    assert got[4] == ["secret"] and got[5] == [] and got[6] == []
+
+
+def test_many_spans_of_one_text(spark):
+    text = " ".join(f"é{k} a{k}@b{k}.org" for k in range(3000))
+    rows = pii.find_pii(docs_of(spark, [text]).withColumn("__t", F.lit("t")).withColumn("__m0", F.lit("m"))).collect()
+    assert [(s.kind, s.start, s.end) for s in rows[0].pii] == brute_spans(text) and (rows[0]["__t"], rows[0]["__m0"]) == ("t", "m")
 
 
 def test_redaction(spark):
