@@ -8,7 +8,9 @@ floor(log2 count), and level j of a bigram is put into a Bloom filter as (bigram
 0 (seen once) to its level.  Each slot holds its own segment of the filter, sized by what is put into it, so the
 filter grows with the input and its error rate doesn't.  A count is read back by probing levels
 until one is missing; a slot returns to each block the levels of its bigrams, seen in training or
-not, and the block mixes the bigram estimate with the smoothed unigram.
+not, and the block mixes the bigram estimate with the smoothed unigram:
+p(w | v) = SHARE * 2^level(v, w) / c(v) + (1 - SHARE) * p1(w).  A level is never above its count, so over all
+words (and one unknown) this sums to one at most; what is short of one is what quantising gave away.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from .shingles import U, batches, mix, table_of, words
 
 #: Text bytes of a block and of the texts whose tokens share a slot.
 BLOCK_BYTES, SLOT_BYTES = 2 << 20, 8 << 20
-#: A segment has ROOM bits for each bit set in it, rounded up to a power of two; PROBES bits a level.
-ROOM, PROBES = 8, 2
+#: A segment has ROOM bits for each bit set in it, a multiple of eight; PROBES bits a level.  One in 2000 unseen pairs passes.
+ROOM, PROBES = 6, 4
 #: Share of the bigram estimate in a probability; added count of the unigram.
 SHARE, ADD = 0.7, 0.1
 BIGRAM_BITS = 48
@@ -124,10 +126,12 @@ def _training(at: np.ndarray, held: np.ndarray) -> np.ndarray:
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: key, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """One row per row of docs: key, held_out, n_tokens, n_known, train_tokens, base_score, score, score_per_token.
 
     Learns from the rows that are not held out.  Null texts are empty: one token, the end.  A
-    null key is hashed as the empty string.  Without training rows nothing is known.
+    null key is hashed as the empty string.  Without training rows nothing is known.  Repeated rows count and
+    are scored one by one, equal texts alike; extra columns are dropped; an empty table gives an empty one.
+    score is a sum over the text, score_per_token its mean, which tells texts of different lengths apart.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -212,25 +216,26 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         before[at[:-1]] = starts
         pairs, of = np.unique(bigrams(h, at), return_inverse=True)
         c2 = level_counts(levels)[of]
-        p2 = np.minimum(1, c2 / np.maximum(before, 1))
+        p2 = np.minimum(1, c2 / np.maximum(before, 1))  # above 1 only where the filter errs
         p = np.where(before > 0, SHARE * p2 + (1 - SHARE) * p1, p1)
         add = lambda x: np.add.reduceat(x, at[:-1])  # noqa: E731  every text has its end token
         trim()
-        return pd.DataFrame({"key": b["keys"], "held_out": held, "n_tokens": np.diff(at), "n_known": add((c > 0).astype(np.int64)), "train_tokens": tokens, "base_score": add(np.log10(p1)), "score": add(np.log10(p))})
+        return pd.DataFrame({"key": b["keys"], "held_out": held, "n_tokens": np.diff(at), "n_known": add((c > 0).astype(np.int64)), "train_tokens": tokens, "base_score": add(np.log10(p1)), "score": add(np.log10(p)), "score_per_token": add(np.log10(p)) / np.diff(at)})
 
     kind = docs.select(key).schema[0].dataType.simpleString()
     out = blocks.select("block", "keys", "held", "lengths", "raw").groupBy("block").cogroup(back.where("block >= 0").select("what", "block", "slot", "counts").groupBy("block"))
-    return out.applyInPandas(rate, f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("key", key)
+    return out.applyInPandas(rate, f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, score_per_token double").withColumnRenamed("key", key)
 
 
 def _probe(pairs: np.ndarray, level: int, probe: int, segment: int) -> np.ndarray:
-    return (mix(pairs * _TURN[2] + U(level * PROBES + probe)) & U(segment - 1)).astype(np.int64)
+    h = mix(pairs * _TURN[2] + U(level * PROBES + probe))
+    return (((h >> U(32)) * U(segment)) >> U(32)).astype(np.int64)
 
 
 def bloom_size(counts: np.ndarray) -> int:
     """Bits of the segment for these counts."""
     some = counts[counts > 0]
-    return max(8, 1 << (ROOM * PROBES * int((np.floor(np.log2(some)) + 1).sum())).bit_length())
+    return 8 * (ROOM * PROBES * int((np.floor(np.log2(some)) + 1).sum()) // 8 + 1)
 
 
 def bloom_segment(pairs: np.ndarray, counts: np.ndarray, segment: int) -> bytes:
@@ -258,8 +263,8 @@ def bloom_levels(bits: np.ndarray, pairs: np.ndarray, slots: int, segment: int)
 
 
 def level_counts(levels: np.ndarray) -> np.ndarray:
-    """One for level 0, the middle of each level above; 0 where there is none."""
-    return np.where(levels > 0, 1.44 * 2.0**levels, levels + 1.0)
+    """The least count of each level; 0 where there is none."""
+    return np.where(levels >= 0, 2.0**levels, 0.0)
 
 
 def bloom_counts(bits: np.ndarray, pairs: np.ndarray, slots: int, segment: int) -> np.ndarray:

@@ -74,21 +74,28 @@ def brute_spans(t):
     return [(k, m.start(), m.end()) for k, p, ok in rules for m in re.finditer(p, t) if ok(m[0])]
 
 
-def plain_scores(texts):
-    """Scores by plain counts, quantised to powers of two, and the least count of a bigram in training."""
+def plain_model(texts):
+    """p(word | word before), by plain counts quantised to powers of two, the training vocabulary, and the sequences."""
     held = lambda k: zlib.crc32(str(k).encode()) % 10 == 0
-    seqs = [t.split(" ") + [0] for t in texts]
+    seqs = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [0] for t in texts]
     train = [s for k, s in enumerate(seqs) if not held(k)]
     c, c2 = Counter(w for s in train for w in s), Counter(p for s in train for p in zip([1, *s], s))
-    c[1] = len(train)
-    n, v = sum(c.values()) - len(train), len(c) - 1
-    middle = lambda x: 1.44 * 2 ** int(math.log2(x)) if x > 1 else x
+    n, v = sum(c.values()), len(c)
+    before = Counter(c)
+    before[1] = len(train)
 
     def p(a, b):
         p1 = (c[b] + 0.1) / (n + 0.1 * (v + 1))
-        return 0.7 * min(1, middle(c2[a, b]) / c[a]) + 0.3 * p1 if c[a] else p1
+        level = 2 ** int(math.log2(c2[a, b])) if c2[a, b] else 0
+        return 0.7 * level / before[a] + 0.3 * p1 if before[a] else p1
+
+    return p, list(c), seqs, c2
 
-    return [sum(math.log10(p(a, b)) for a, b in zip([1, *s], s)) for s in seqs], min(c2.values())
+
+def plain_scores(texts):
+    """Scores of all texts, and the least count of a bigram in training."""
+    p, _, seqs, c2 = plain_model(texts)
+    return [sum(math.log10(p(a, b)) for a, b in zip([1, *s], s)) for s in seqs], min(c2.values(), default=0)
 
 
 def brute_classes(texts, similarity=0.8):

@@ -9,7 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from plain_versions import brute_classes, brute_hits, brute_passages, brute_repeats, brute_spans, plain_quality, plain_scores
+from plain_versions import brute_classes, brute_hits, brute_passages, brute_repeats, brute_spans, plain_model, plain_quality, plain_scores
 from pyspark.sql import functions as F
 
 from gridlore.llm import decontamination, embeddings, language_model, mixing, near_duplicates, pii, quality, repeats, sharding, token_files
@@ -356,7 +356,7 @@ def test_scores_tell_seen_from_unseen_bigrams_beyond_any_bound(spark, monkeypatc
     assert least > 1
     got = {r.doc_id: r.score for r in language_model.score(docs_of(spark, texts)).collect()}
     held = [k for k in range(len(texts)) if zlib.crc32(str(k).encode()) % 10 == 0]
-    assert np.mean([got[k] == pytest.approx(want[k]) for k in held]) > 0.85
+    assert np.mean([got[k] == pytest.approx(want[k]) for k in held]) > 0.97
 
 
 def test_bigrams_seen_once_count(spark):
@@ -365,7 +365,27 @@ def test_bigrams_seen_once_count(spark):
     assert least == 1
     got = {r.doc_id: r.score for r in language_model.score(docs_of(spark, texts)).collect()}
     train = [k for k in range(60) if zlib.crc32(str(k).encode()) % 10]
-    assert np.mean([abs(got[k] - want[k]) < 0.3 for k in train]) > 0.85
+    assert np.mean([got[k] == pytest.approx(want[k]) for k in train]) > 0.9 and all(abs(got[k] - want[k]) < 2 for k in train)
+
+
+def test_scores_equal_a_plain_model_on_a_whole_table(spark):
+    """All rows of sf0.001; the filter's errors (some in ten thousand unseen bigrams) may touch a few."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = sorted(docs.collect())
+    assert [r.doc_id for r in rows] == list(range(len(rows)))
+    want, _ = plain_scores([r.text for r in rows])
+    got = {r.doc_id: r for r in language_model.score(docs).collect()}
+    same = [got[k].score == pytest.approx(w, rel=1e-9) for k, w in enumerate(want)]
+    assert len(got) == len(rows) and np.mean(same) > 0.9
+    assert all(got[k].score == pytest.approx(w, rel=0.01) and got[k].score >= w - 1e-6 for k, w in enumerate(want))
+    assert all(got[k].score_per_token == pytest.approx(got[k].score / got[k].n_tokens) for k in got)
+
+
+def test_the_model_sums_to_one_at_most():
+    texts = [prose(k % 40, 3 + k % 30) for k in range(120)]
+    p, words, _, _ = plain_model(texts)
+    sums = [sum(p(a, b) for b in [*words, "unknown"]) for a in [1, *(w for w in words if w), "unknown"]]  # nothing follows the end
+    assert max(sums) <= 1 + 1e-9 and min(sums) > 0.5
 
 
 def test_bloom_counts_come_back():
@@ -376,7 +396,7 @@ def test_bloom_counts_come_back():
     slot = (pairs >> np.uint64(44)).astype(int)
     bits = np.frombuffer(b"".join(language_model.bloom_segment(pairs[slot == s], counts[slot == s], segment) for s in range(slots)), np.uint8)
     got = language_model.bloom_counts(bits, pairs, slots, segment)
-    assert (got >= 1.44 * 2 ** np.floor(np.log2(counts)) - 1e-6).all() and (got == 1.44 * 2 ** np.floor(np.log2(counts))).mean() > 0.8
+    assert (got >= 2 ** np.floor(np.log2(counts))).all() and (got == 2 ** np.floor(np.log2(counts))).mean() > 0.8
     other = rng.integers(0, 1 << 48, 4000, dtype=np.uint64)
     assert (language_model.bloom_counts(bits, other, slots, segment) > 0).mean() < 0.1
 
