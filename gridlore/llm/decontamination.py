@@ -13,20 +13,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from .common import fold_ascii, stored, table
+from .common import fold_ascii, steady, stored, table
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
-#: Test vocabularies up to so many terms are broadcast (about 100 bytes each); larger ones are joined by shuffle.
-BROADCAST_TERMS = 500_000
+#: Test vocabularies up to so many terms are broadcast (about 100 bytes each), and so many anchors (about 400 bytes each);
+#: larger ones are joined by shuffle.
+BROADCAST_TERMS, BROADCAST_ANCHORS = 500_000, 200_000
 
 
 def words(text: Column) -> Column:
     return F.filter(F.split(fold_ascii(F.coalesce(text, F.lit(""))), SEPARATORS), lambda w: w != "")
 
 
+def _few(rows: DataFrame, most: int) -> bool:
+    return rows.limit(most + 1).count() <= most
+
+
 def _small(terms: DataFrame) -> DataFrame:
-    return F.broadcast(terms) if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else terms
+    return F.broadcast(terms) if _few(terms, BROADCAST_TERMS) else terms
 
 
 def _items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
@@ -55,9 +60,17 @@ def build_index(docs: DataFrame, terms: DataFrame, width: int = WINDOW, doc_id:
     left holds the up to width - 1 tokens before the position, nearest first; right those after.
     A document without any term has the one row marked first, with a null term.
     """
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("w"))
-    spots = base.select("row", "doc_id", "w", F.posexplode_outer("w").alias("pos", "word"))
-    hits = spots.join(_small(terms.select(F.col("term").alias("word"), F.col("term"))), "word", "left")
+    base = steady(docs).select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("w"))
+    named = terms.select(F.col("term").alias("word"), F.col("term"))
+    if _few(terms, BROADCAST_TERMS):
+        hits = base.select("row", "doc_id", "w", F.posexplode_outer("w").alias("pos", "word")).join(F.broadcast(named), "word", "left")
+    else:  # only words and their places move; each document's places then meet its words once
+        spots = base.select("row", F.posexplode("w").alias("pos", "word")).join(named, "word")
+        places = spots.groupBy("row").agg(F.collect_list(F.struct("pos", "term")).alias("at"))
+        first = F.struct(F.lit(0).alias("pos"), F.lit(None).cast("string").alias("term"))
+        at = F.coalesce("at", F.array().cast("array<struct<pos:int,term:string>>"))
+        at = F.when(F.exists(at, lambda x: x["pos"] == 0), at).otherwise(F.concat(F.array(first), at))
+        hits = base.join(places, "row", "left").select("row", "doc_id", "w", F.inline(at))
     at, reach = F.col("pos"), width - 1
     rows = hits.where(F.col("term").isNotNull() | (F.coalesce(at, F.lit(0)) == 0)).select(
         "row",
@@ -90,6 +103,9 @@ def phrase_matches(index: DataFrame, items: DataFrame, windows: DataFrame, width
         F.reverse(F.slice("iw", F.greatest(F.col("q") - reach + 1, F.lit(1)), F.least(F.col("q"), F.lit(reach)))).alias("ileft"),
         F.slice("iw", F.col("q") + 2, reach).alias("iright"),
     )
+    anchors = stored(anchors, "anchors")
+    if _few(anchors, BROADCAST_ANCHORS):  # the postings stay where they are, however frequent a term is
+        anchors = F.broadcast(anchors)
     met = index.where(F.col("term").isNotNull()).join(anchors, "term").select(
         "row", "item", (F.col("pos") - F.col("q")).alias("d"), F.struct("q", _agree(F.col("left"), F.col("ileft")).alias("l"), _agree(F.col("right"), F.col("iright")).alias("r")).alias("run")
     )
@@ -121,8 +137,8 @@ def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 20, doc_id:
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per row of docs: row, doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
-    A window is width consecutive words of an item, or all words of a shorter item.  Null and
-    empty texts have no words; items without words have no windows; repeated rows each give a row;
+    A window is width consecutive words of an item, or all words of a shorter item.  Of docs only the two
+    columns named are read, whatever else it has.  Null and empty texts have no words; items without words have no windows; repeated rows each give a row;
     an item_id that occurs in several rows counts once, null as the empty string.
     """
     items = _items(benchmark, item_id, item_text)
