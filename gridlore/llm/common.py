@@ -66,12 +66,17 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the program ends."""
+    path = f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def write(df: DataFrame, name: str) -> str:
     """Writes df as Parquet into the shared folder and returns the path."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
     return path
 
 

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import os
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from .common import release, shared_dir, ship, stored, table
+from .common import release, scratch, ship, stored, table
 from .shingles import U, mix, powers, table_of
 
 END = 2
@@ -41,8 +40,9 @@ _CLASS[48:58] = 2
 _FOLD = np.arange(256)
 _FOLD[65:91] += 32
 _FOLD[0x80:0x9F] += 32
-_VALUE = table_of(21)[_FOLD]
-
+_VALUE, _CHECK = table_of(21)[_FOLD], table_of(22)[_FOLD]
+#: Longer pieces aren't hashed.
+LONGEST = 256
 
 
 # --- coding -------------------------------------------------------------------------------------
@@ -77,13 +77,18 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
 # --- tokenizer ----------------------------------------------------------------------------------
 
 
+class Apart(ValueError):
+    """Pieces that can't be told apart."""
+
+
 class Encoder:
     """A tokenizer of the tokenizers library with a bounded memory of pieces.
 
     Only for tokenizers that drop white space, lower-case, cut words into letter runs, digits and
-    sign runs, and mark the last token of a piece (tried on a probe); others, and texts with
-    other characters, apostrophes or special-token marks, go to the library whole.  Pieces are cut
-    and hashed (64 bits) in numpy; each new one is encoded once, many together.
+    sign runs, and mark the last token of a piece (tried on a probe, and again on the first text of every
+    call); others, and texts with other characters, apostrophes or special-token marks, go to the library
+    whole.  Pieces are cut and hashed in numpy; each new one is encoded once, many together.  A second,
+    independent hash is held against each piece's own; where one differs, or a piece is very long, the library takes over.
     """
 
     def __init__(self, path: str, end: int = END):
@@ -102,27 +107,28 @@ class Encoder:
         probe = ["Stop, 12 times!? a--b c_d\nÉs x1y. (z)", "ÀÉÿ <b> A.b\tC"]
         try:
             self.by_piece = self._cut(probe) == self._whole(probe)
-        except ValueError:
+        except Apart:
             self.by_piece = False
         self._forget()
 
     def _forget(self) -> None:
-        self.hashes, self.first, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.hashes, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, self.kind)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, checks: np.ndarray, pieces: list[str]) -> None:
         """Adds pieces: encoded side by side and told apart by their last tokens."""
         ids = np.frombuffer(self._whole([" ".join(pieces)])[0], self.kind)
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(pieces) or ends[-1] != len(ids):
-            raise ValueError("pieces can't be told apart")
+            raise Apart
         count = np.diff(ends, prepend=0)
         all_hashes = np.concatenate([self.hashes, hashes])
         order = np.argsort(all_hashes, kind="stable")
-        self.hashes = all_hashes[order]
+        self.hashes, self.checks = all_hashes[order], np.concatenate([self.checks, checks])[order]
         self.first = np.concatenate([self.first, len(self.ids) + ends - count])[order]
         self.count = np.concatenate([self.count, count])[order]
         self.ids = np.concatenate([self.ids, ids])
@@ -137,10 +143,16 @@ class Encoder:
         at = np.flatnonzero(edge)
         start = at[kind[at] > 0]
         end = np.append(at[1:], len(raw))[kind[at] > 0]
-        sums = np.zeros(len(raw) + 1, U)
+        if len(start) and (end - start).max() > LONGEST:
+            raise Apart
         up, down = powers(len(raw) + 1)
-        np.cumsum(_VALUE[raw] * up[: len(raw)], out=sums[1:])
-        h = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U))
+
+        def hashes(value: np.ndarray) -> np.ndarray:
+            sums = np.zeros(len(raw) + 1, U)
+            np.cumsum(value[raw] * up[: len(raw)], out=sums[1:])
+            return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U))
+
+        h, check = hashes(_VALUE), hashes(_CHECK)
         known, where, back = np.unique(h, return_index=True, return_inverse=True)
         if len(self.hashes) > MEMORY:
             self._forget()
@@ -150,8 +162,10 @@ class Encoder:
         new[inside] = self.hashes[pos[inside]] != known[inside]
         if new.any():
             spans = zip(start[where[new]].tolist(), end[where[new]].tolist())
-            self._learn(known[new], [joined[a:b].decode().lower() for a, b in spans])
+            self._learn(known[new], check[where[new]], [joined[a:b].decode().lower() for a, b in spans])
             pos = np.searchsorted(self.hashes, known)
+        if (self.checks[pos][back] != check).any():
+            raise Apart
         first, count = self.first[pos][back], self.count[pos][back]
         ends = np.cumsum(count)
         flat = self.ids[np.repeat(first - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)]
@@ -167,9 +181,15 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text, of self.kind."""
         plain = [self.by_piece and "'" not in t and _PLAIN.fullmatch(t) is not None and not self.marks.search(t) for t in texts]
-        cut = iter(self._cut([t for t, p in zip(texts, plain) if p]) if any(plain) else ())
-        rest = iter(self._whole([t for t, p in zip(texts, plain) if not p]))
-        return [next(cut if p else rest) for p in plain]
+        try:
+            cut = self._cut([t for t, p in zip(texts, plain) if p]) if any(plain) else []
+            if cut and self._whole([texts[plain.index(True)]]) != cut[:1]:
+                self.by_piece = False
+                raise Apart
+        except Apart:
+            return self._whole(texts)
+        some, rest = iter(cut), iter(self._whole([t for t, p in zip(texts, plain) if not p]))
+        return [next(some if p else rest) for p in plain]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -323,6 +343,5 @@ def query(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> Dat
     import public_tokenizers
 
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
-    out = f"{shared_dir(spark)}/llm/token-files-{uuid.uuid4().hex}"
-    files = write_files(table(spark, sf_dir, "documents"), path, out)
+    files = write_files(table(spark, sf_dir, "documents"), path, scratch(spark, "token-files"))
     return read_files(spark, files).drop("ids")
