@@ -9,6 +9,10 @@ not grow with the input, and every row finds its place by one lookup.
 
 Every row is kept.  A source that has run out leaves its slots to the others, which go on in the
 same relative shares.
+
+A schedule of very many sources would be too large for one fold: beyond MOST_SOURCES, sources share
+lanes by hash.  A lane has the sum of their weights and takes their blocks in the order of
+(blocks before) / weight, so each source keeps its share of the lane; the lanes are what Pfair schedules.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import numbered, table
+from .common import join_groups, numbered, stored, table
 
 BLOCK_ROWS, RESOLUTION, MOST_SOURCES = 16, 1000, 1024
 
@@ -28,12 +32,34 @@ def integer_weights(weights: dict, resolution: int = RESOLUTION) -> dict:
     return {s: max(1, math.floor(resolution * w / total + 0.5)) for s, w in weights.items()}
 
 
-def counts(docs: DataFrame, source: str) -> dict:
-    """Rows by source; raises beyond MOST_SOURCES, as target weights are a setting, not data."""
+def counts(docs: DataFrame, source: str) -> dict | None:
+    """Rows by source; None beyond MOST_SOURCES."""
     got = docs.groupBy(F.col(source).cast("string").alias("s")).count().limit(MOST_SOURCES + 1).collect()
-    if len(got) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources: group them before mixing")
-    return {r[0]: r[1] for r in got}
+    return {r[0]: r[1] for r in got} if len(got) <= MOST_SOURCES else None
+
+
+def _mix_lanes(docs: DataFrame, weights: dict | None, block_rows: int, source: str, key: str, seed: int, extra: list[str]) -> DataFrame:
+    """mix() where sources are more than one schedule takes."""
+    spark = docs.sparkSession
+    src = F.col(source).cast("string")
+    named = docs.groupBy(src.alias("s")).agg(F.count("*").alias("n"))
+    if weights:
+        given = spark.createDataFrame([(s, float(w)) for s, w in weights.items()], "g string, w double")
+        named = named.join(given, F.col("s").eqNullSafe(F.col("g")), "left").select("s", "n", F.coalesce("w", F.lit(float(min(weights.values())))).alias("w"))
+    else:
+        named = named.withColumn("w", F.sqrt("n"))
+    named = stored(named.select("s", "n", "w", F.pmod(F.xxhash64("s"), F.lit(MOST_SOURCES)).cast("string").alias("lane"), F.xxhash64(F.lit(0), "s").alias("h")), "sources")
+    lanes = {r[0]: r[1] for r in named.groupBy("lane").agg(F.sum("w")).collect()}  # MOST_SOURCES at most
+    slim = docs.select(F.struct(F.col(key).alias("key"), *[F.col(c).alias(f"x{i}") for i, c in enumerate(extra)]).alias("row"), src.alias("s"), F.xxhash64(F.lit(0), src).alias("h"), _shuffle(F.col(key), seed).alias("r"))
+    placed = numbered(slim, "s", ["r", "row"], "i", "lanes")
+    total = named.agg(F.sum("n")).first()[0]
+    turned = join_groups(placed, named.drop("s"), "h", "n", total).select("row", "s", "lane", (F.floor(F.col("i") / block_rows) / F.col("w")).alias("turn"), "i")
+    mixed = mix(turned.select("row", "s", "lane", F.struct("turn", "s", "i").alias("order")), lanes, block_rows, "lane", "row", seed, ["s"], "order")
+    return mixed.select(F.col("row.key").alias(key), *[F.col(f"row.x{i}").alias(c) for i, c in enumerate(extra)], F.col("s").alias(source), "block", "slot", "release", "deadline", "position")
+
+
+def _shuffle(key: Column, seed: int) -> Column:
+    return F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(f":{seed}")))
 
 
 def _period(spark: SparkSession, a: list[int]) -> DataFrame:
@@ -64,17 +90,19 @@ def _period(spark: SparkSession, a: list[int]) -> DataFrame:
     return plan.select(F.inline("slots"))
 
 
-def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_ROWS, source: str = "source", key: str = "doc_id", seed: int = 42, extra: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_ROWS, source: str = "source", key: str = "doc_id", seed: int = 42, extra: list[str] | None = None, order: str | None = None) -> DataFrame:
     """key, source, block, slot, release, deadline, position (and the columns in extra).
 
     position is the row's place in the mixture, gapless from 0.  weights: source -> target
     weight (null source: key None); sources not named take part with the smallest weight named.
     None: the square roots of the sources' row counts.  Within a source rows are shuffled by
-    md5 of key and seed; rows with equal keys stay in arbitrary order among themselves.
-    release and deadline count slots.  An empty table gives an empty table.
+    md5 of key and seed, or go by the column order where it is given; rows with equal keys stay in arbitrary
+    order among themselves.  release and deadline count slots.  An empty table gives an empty table.
     """
     spark = docs.sparkSession
     n = counts(docs, source)
+    if n is None:
+        return _mix_lanes(docs, weights, block_rows, source, key, seed, extra or [])
     if weights is None:
         weights = {s: math.sqrt(x) for s, x in n.items()}
     elif weights:
@@ -86,7 +114,7 @@ def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_RO
 
     src = F.col(source).cast("string")
     index = F.array_position(F.array(*[F.coalesce(F.lit(s), F.lit("\0null")).cast("string") for s in names or [""]]), F.coalesce(src, F.lit("\0null"))).cast("int") - 1
-    slim = docs.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__x{i}") for i, c in enumerate(extra or [])], index.alias("src"), F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{seed}"))).alias("__r"))
+    slim = docs.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__x{i}") for i, c in enumerate(extra or [])], index.alias("src"), (F.col(order) if order else _shuffle(F.col(key), seed)).alias("__r"))
     rows = numbered(slim, "src", ["__r", "__key"], "i", "mixing")
     share = F.element_at(F.array(*[F.lit(x) for x in per]), F.col("src") + 1)
     rows = rows.withColumn("block", F.floor(F.col("i") / block_rows)).withColumn("a", share).withColumn("j", F.pmod("block", F.col("a")).cast("int")).withColumn("round", F.floor(F.col("block") / F.col("a")))
