@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import ship, stored, table
+from .common import join_groups, ship, stored, table
 from .components import components
 
 THRESHOLD = 0.9
@@ -130,7 +130,8 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
 
     Null, empty and zero vectors, and those with null or non-finite components, link with nothing, nor
     do vectors of different lengths.  Repeated rows are linked like any equal vectors.  The rows of
-    one key stand for that key; a row with a null key counts as linked but has no name to give.
+    one key stand for that key; a row with a null key counts as linked but has no name to give.  A pair at
+    the threshold exactly is linked.  Columns beside the two named are not read; an empty table gives an empty one.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -170,9 +171,11 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     links = found.where("n > 0").groupBy("a").agg(F.sum("n").alias("n"))
     comp = components(found.where("n = 0").select("a", "b"))
     named = stored(nodes.join(comp, nodes.node == comp.node, "left").join(links, nodes.node == links.a, "left").select("v", "least", "weight", F.coalesce("component", nodes.node).alias("component"), F.coalesce("n", F.lit(0)).alias("n")), "named")
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "component").select("v", "component_id", (F.col("n") + F.col("weight") - 1).alias("n_links"))
-    linked = rows.where("fine").join(named, "v").select("key", "n_links", "component_id")
+    least = stored(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("nodes")), "least")
+    # a component of many vectors, then a vector of many rows, may hold any share of them
+    named = join_groups(named.select("v", "weight", "component", "n"), least, "component", "nodes", n)
+    named = stored(named.select("v", "weight", "component_id", (F.col("n") + F.col("weight") - 1).alias("n_links")), "classes")
+    linked = join_groups(rows.where("fine"), named, "v", "weight", n).select("key", "n_links", "component_id")
     alone = rows.where("not fine").select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"))
     return linked.union(alone).select(F.col("key").alias(key), "n_links", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
 
