@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .common import numbered, stored, table
 
 FINE, LEVELS, SLOTS = 256, 13, 512
+FILE_BYTES = 256 << 20
 
 
 def lpt(sizes: dict, shards: int) -> dict:
@@ -87,10 +88,13 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     return placed.select(*[F.col(f"d{i}").alias(c) for i, c in enumerate(names) if c != "shard"], "shard")
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 24) -> None:
-    """Writes one folder per shard (shard=K); hot shards are split over tasks by a salt."""
+def write_shards(docs: DataFrame, path: str, shards: int = 24, file_bytes: int = FILE_BYTES) -> None:
+    """Writes one folder per shard (shard=K) in files of about file_bytes: each shard is split over as many tasks as its bytes ask for."""
     out = shard_documents(docs, shards)
-    out.repartition("shard", F.pmod(F.xxhash64("text"), F.lit(8))).write.partitionBy("shard").parquet(path)
+    total = docs.agg(F.sum(sizes(docs)[0])).first()[0] or 0
+    parts = max(1, -(-total // (shards * file_bytes)))
+    # rows are dealt out in turn: also copies of one text spread
+    out.repartition(shards * parts, "shard", F.pmod(F.monotonically_increasing_id(), F.lit(parts))).write.partitionBy("shard").parquet(path)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,6 +62,21 @@ def test_mixing_edges(spark, edge):
     assert mixing.mix(edge, {"a": 1.0}).count() == edge.count()
 
 
+def test_mixing_of_very_many_sources(spark, monkeypatch):
+    """More sources than a schedule takes share lanes: all rows, gapless, and shares by weight along the way."""
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 4)
+    sources = [f"s{k % 12}" for k in range(1200)] + [None] * 100
+    df = docs_of(spark, ["t"] * 1300, sources).withColumn("lane", F.lit("x")).withColumn("order", F.lit("y"))
+    weights = {f"s{k}": 3.0 if k < 3 else 1.0 for k in range(12)} | {None: 1.0}
+    rows = mixing.mix(df, weights, block_rows=2, extra=["lane"]).orderBy("position").collect()
+    assert [r.position for r in rows] == list(range(1300)) and {r.doc_id for r in rows} == set(range(1300))
+    assert all(r.source == sources[r.doc_id] and r.lane == "x" for r in rows)
+    got = Counter(r.source for r in rows[:400])
+    total = sum(weights.values())
+    assert all(abs(got[s] - 400 * w / total) <= 8 for s, w in weights.items())
+    assert mixing.mix(df, None, block_rows=2).count() == 1300
+
+
 # --- 2 token files -------------------------------------------------------------------------------------
 
 
@@ -107,6 +122,33 @@ def test_piecewise_encoding_equals_the_library(spark):
     assert coder(texts) == coder._whole(texts) == coder(texts)
 
 
+def test_token_files_equal_the_library_on_a_whole_table(spark):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    got = {r.doc_id: r for r in token_files.query(spark, "/root/testdata/sf0.01").collect()}
+    start = 0
+    for r in docs.orderBy("doc_id").collect():
+        ids = np.array(t.encode(r.text or "", add_special_tokens=False).ids + [2], "<u4")
+        assert (got[r.doc_id].start, got[r.doc_id].n_tokens, got[r.doc_id].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
+def test_colliding_and_very_long_pieces_go_to_the_library(monkeypatch):
+    import public_tokenizers as P
+
+    coder = token_files.Encoder(P.path("word_bpe_49k.json"))
+    texts = ["alpha beta gamma delta", "beta epsilon", "x" * 1000 + " y", "omega"]
+    want = coder._whole(texts)
+    assert coder(texts) == want
+    monkeypatch.setattr(token_files, "mix", lambda h: h & np.uint64(3))  # hashes that collide
+    other = token_files.Encoder(P.path("word_bpe_49k.json"))
+    other.by_piece = True
+    assert other(texts[:2] + texts[3:]) == want[:2] + want[3:]
+
+
 # --- 3 quality -------------------------------------------------------------------------------------------
 
 
@@ -195,7 +237,10 @@ def test_sharding_edges(spark, edge, tmp_path):
 # --- 5 decontamination -----------------------------------------------------------------------------------
 
 
-def test_contamination_equals_brute_force(spark):
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_contamination_equals_brute_force(spark, monkeypatch, most):
+    for name in ("BROADCAST_TERMS", "BROADCAST_ANCHORS"):
+        monkeypatch.setattr(decontamination, name, most)
     items = [(1, "The quick brown fox JUMPS over the lazy dog and then it sleeps all day"), (12, "short one here"), (3, None), (4, ""), (5, "the the the the the the the the the the the"), (6, "Été à la plage: un deux trois quatre cinq six sept huit")]
     texts = [None, "", "short One; here", "the " * 15, items[0][1].upper(), "xx " + items[0][1][:48] + " yy", items[0][1] + " mid " + items[0][1], items[5][1] + " short one here " * 3, prose(4, 50) + " it sleeps all day", "short one", items[5][1].upper(), "short one here"]
     df = docs_of(spark, texts)
