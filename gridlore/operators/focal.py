@@ -8,17 +8,14 @@ raster has lines.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .rays import any_visible, horizon, horizon_arrays, illumination, largest_horizon, shadow, steps_across, sun_mask, viewshed, visibility  # noqa: F401
+
 #: Fixed weights of the terrain hazard and landing ellipse scores.
 HAZARD_WEIGHTS = {"slope": 0.40, "rough": 0.25, "relief": 0.15, "curv": 0.10, "crater": 0.10}
 ELLIPSE_WEIGHTS = {"r8": 0.3632, "r20": 0.3632, "cv": 0.0767, "moran": 0.1578, "slope": 0.0391}
 
-#: Metres after which a horizon ray ends.
-MAX_DISTANCE = 10_000.0
-
 
 def _line(by: str, along: str, half: int) -> object:
     return Window.partitionBy(by).orderBy(along).rangeBetween(-half, half)
@@ -159,96 +156,3 @@ def ellipse_quality(cells: DataFrame, size: float, window: int, z: str = "z") ->
     out = scaled.select("row", "col", q.alias("q"))
     lo_hi = out.agg(F.min("q").alias("lo"), F.max("q").alias("hi"))
     return out.crossJoin(F.broadcast(lo_hi)).select("row", "col", "q", (F.col("q") >= F.col("lo") + 0.8 * (F.col("hi") - F.col("lo"))).cast("int").alias("candidate"))
-
-
-# --- rays -------------------------------------------------------------------------------------------
-
-
-def _samples(cells: DataFrame, dx: Column, dy: Column, step: Column, z: str) -> DataFrame:
-    """Each cell and ray sample joined with the nearest cell it hits: row, col, z, step, dist (cells), hit."""
-    rays = cells.select("row", "col", F.col(z).alias("z0"), step.alias("step"))
-    rays = rays.withColumn("__r", F.round(F.col("row") - F.col("step") * dy).cast("int")).withColumn("__c", F.round(F.col("col") + F.col("step") * dx).cast("int"))
-    return rays.join(cells.select(F.col("row").alias("__r"), F.col("col").alias("__c"), F.col(z).alias("hit")), ["__r", "__c"])
-
-
-def steps_across(cells: DataFrame) -> int:
-    """Whole steps after which a ray has left the grid, from whatever cell: 1.5 times its longer side."""
-    r = cells.agg(F.max("row") - F.min("row"), F.max("col") - F.min("col")).first()
-    return math.ceil(1.5 * (max(x or 0 for x in r) + 1))
-
-
-def shadow(cells: DataFrame, azimuth: float, elevation: float, size: float = 1.0, reach: int | None = None, z: str = "z", pixels: bool = False) -> DataFrame:
-    """row, col, lit: 0 where a cell within reach (without one: of the grid) along the sun's azimuth (clockwise from north) stands above the ray.
-
-    pixels: the ray rises by tan(elevation) for each cell rather than each metre.  A sun at or below
-    the horizon lights nothing.  A ray looks at nearest cells at whole steps; no data doesn't block.
-    """
-    if elevation <= 0:
-        return cells.select("row", "col", F.lit(0).alias("lit"))
-    reach = reach or steps_across(cells)
-    a = math.radians(azimuth)
-    hits = _samples(cells.where(F.col(z).isNotNull()), F.lit(math.sin(a)), F.lit(math.cos(a)), F.explode(F.sequence(F.lit(1), F.lit(reach))), z)
-    rise = math.tan(math.radians(elevation)) * (1 if pixels else size)
-    dark = hits.where(F.col("hit") > F.col("z0") + rise * F.col("step")).select("row", "col").distinct()
-    return cells.where(F.col(z).isNotNull()).select("row", "col").join(dark.withColumn("__d", F.lit(0)), ["row", "col"], "left").select("row", "col", F.coalesce("__d", F.lit(1)).alias("lit"))
-
-
-def horizon(cells: DataFrame, azimuths: list[float], size: float = 1.0, reach: int | None = None, radius: float | None = None, z: str = "z") -> DataFrame:
-    """row, col, azimuth (counter-clockwise from east), height: the largest elevation angle (degrees, at least 0) along it.
-
-    With a body radius, a cell at distance d drops by d^2 / (2 radius).  Null where a ray meets no cell.
-    Without a reach, rays end at the edge of the grid or after MAX_DISTANCE.
-    """
-    reach = reach or min(steps_across(cells), max(1, int(MAX_DISTANCE / size)))
-    at = F.explode(F.array(*[F.lit(float(a)) for a in azimuths]))
-    rays = cells.select("row", "col", F.col(z).alias("z0"), at.alias("azimuth")).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(reach))))
-    a = F.radians("azimuth")
-    rays = rays.withColumn("__r", F.round(F.col("row") - F.col("step") * F.sin(a)).cast("int")).withColumn("__c", F.round(F.col("col") + F.col("step") * F.cos(a)).cast("int"))
-    hits = rays.join(cells.where(F.col(z).isNotNull()).select(F.col("row").alias("__r"), F.col("col").alias("__c"), F.col(z).alias("hit")), ["__r", "__c"])
-    d = F.col("step") * size
-    drop = d * d / (2 * radius) if radius else F.lit(0.0)
-    best = hits.groupBy("row", "col", "azimuth").agg(F.max(F.degrees(F.atan2(F.col("hit") - F.col("z0") - drop, d))).alias("height"))
-    whole = cells.select("row", "col", at.alias("azimuth"))
-    return whole.join(best, ["row", "col", "azimuth"], "left").withColumn("height", F.greatest(F.lit(0.0), "height"))
-
-
-def illumination(cells: DataFrame, horizons: DataFrame, sun: DataFrame, least: float = 0.0, grazing: float = 5.0) -> DataFrame:
-    """row, col, fraction, variability, psr, grazing: over the steps of sun (step, azimuth, elevation) above least.
-
-    The horizon at the sun's azimuth is interpolated between the two azimuths beside it.
-    """
-    turn = horizons.groupBy("row", "col").agg(F.array_sort(F.collect_list(F.struct("azimuth", "height"))).alias("h"))
-    n = F.size("h")
-    step = 360.0 / n
-    up = sun.where(F.col("elevation") > least)
-    both = turn.crossJoin(F.broadcast(up))  # sun: one row per time step
-    k = F.floor(F.pmod("azimuth", F.lit(360.0)) / step)
-    part = F.pmod("azimuth", F.lit(360.0)) / step - k
-    at = lambda i: F.element_at("h", (F.pmod(i, n) + 1).cast("int"))["height"]
-    edge = at(k) * (1 - part) + at(k + 1) * part
-    lit = both.select("row", "col", (F.col("elevation") > edge).cast("double").alias("lit"), (F.col("elevation") < grazing).cast("double").alias("low"))
-    return lit.groupBy("row", "col").agg(F.avg("lit").alias("fraction"), F.stddev_pop("lit").alias("variability"), (F.max("lit") == 0).cast("int").alias("psr"), F.sum(F.col("lit") * F.col("low")).alias("grazing"))
-
-
-def viewshed(cells: DataFrame, row: int, col: int, height: float = 0.0, size: float = 1.0, z: str = "z") -> DataFrame:
-    """row, col, visible: 1 where no nearest cell between the observer and the cell rises above the line between them.
-
-    The observer's cell is one row; each target walks its own line, so work spreads over all cells.
-    """
-    eye = cells.where((F.col("row") == row) & (F.col("col") == col)).select((F.col(z) + height).alias("__eye"))
-    t = cells.where(F.col(z).isNotNull()).select("row", "col", F.col(z).alias("z1")).crossJoin(F.broadcast(eye))
-    n = F.greatest(F.abs(F.col("row") - row), F.abs(F.col("col") - col))
-    line = t.withColumn("n", n).where("n > 1").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n") - 1)))
-    part = F.col("k") / F.col("n")
-    line = line.withColumn("__r", F.round(row + (F.col("row") - row) * part).cast("int")).withColumn("__c", F.round(col + (F.col("col") - col) * part).cast("int")).withColumn("lift", F.col("__eye") + (F.col("z1") - F.col("__eye")) * part)
-    hidden = line.join(cells.select(F.col("row").alias("__r"), F.col("col").alias("__c"), F.col(z).alias("__z")), ["__r", "__c"]).where(F.col("__z") > F.col("lift")).select("row", "col").distinct()
-    return cells.where(F.col(z).isNotNull()).select("row", "col").join(hidden.withColumn("__h", F.lit(0)), ["row", "col"], "left").select("row", "col", F.coalesce("__h", F.lit(1)).alias("visible"))
-
-
-def any_visible(sheds: DataFrame) -> DataFrame:
-    """row, col, visible over the viewsheds of many observers."""
-    return sheds.groupBy("row", "col").agg(F.max("visible").alias("visible"))
-
-
-def largest_horizon(horizons: DataFrame) -> DataFrame:
-    return horizons.groupBy("row", "col").agg(F.max("height").alias("height"))

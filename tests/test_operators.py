@@ -340,3 +340,77 @@ def test_stream_equals_batch(spark, tmp_path):
         q.stop()
     key = lambda df: sorted((r.user_id, r.start, r.n) for r in df.collect())
     assert key(spark.table("out")) == key(sessions(batch))
+
+
+# --- rays over many tiles ----------------------------------------------------------------------------
+
+
+def test_rays_over_many_tiles_equal_one_tile(spark, monkeypatch):
+    """The same rays over tiles of 8 cells as over one tile, with holes and missing cells."""
+    from gridlore.operators import rays
+
+    rng = np.random.default_rng(5)
+    z = rng.uniform(0, 30, (37, 29))
+    z[5:9, 10:14] += 60
+    rows = [(r + 3, c - 4, None if (r * 29 + c) % 41 == 0 else float(z[r, c])) for r in range(37) for c in range(29) if (r * 29 + c) % 53]
+    g = spark.createDataFrame(rows, "row int, col int, z double")
+    track = spark.createDataFrame([(k, 40.0 * k, 20.0 - k) for k in range(9)], "step int, azimuth double, elevation double")
+    jobs = {
+        "horizon": lambda: rays.horizon(g, [0.0, 33.0, 90.0, 180.0, 291.0], 2.0, radius=5000.0).orderBy("row", "col", "azimuth"),
+        "short": lambda: rays.horizon(g, [10.0, 200.0], 2.0, 6).orderBy("row", "col", "azimuth"),
+        "shadow": lambda: rays.shadow(g, 211.0, 40.0).orderBy("row", "col"),
+        "sun": lambda: rays.sun_mask(g, 131.0, 35.0, 1.0, 2.0).orderBy("row", "col"),
+        "south": lambda: rays.sun_mask(g, 180.0, 35.0).orderBy("row", "col"),
+        "shed": lambda: rays.viewshed(g, 20, 9, 3.0).orderBy("row", "col"),
+        "light": lambda: rays.illumination(g, rays.horizon(g, [0.0, 90.0, 180.0, 270.0]), track).orderBy("row", "col"),
+        "earth": lambda: rays.visibility(rays.horizon_arrays(g, [0.0, 90.0, 180.0, 270.0]), track, 1.0).orderBy("row", "col"),
+    }
+    whole = {k: f().collect() for k, f in jobs.items()}
+    monkeypatch.setattr(rays, "TILE", 8)
+    for k, f in jobs.items():
+        got = f().collect()
+        assert [tuple(r)[:-1] for r in got] == [tuple(r)[:-1] for r in whole[k]] and len(got) >= sum(z is not None for _, _, z in rows)
+        assert all(a[-1] == b[-1] or a[-1] == pytest.approx(b[-1], abs=1e-9) for a, b in zip(got, whole[k])), k
+    assert len({r.mask for r in whole["sun"]}) == 3 and {r.lit for r in whole["shadow"]} == {0, 1} and {r.visible for r in whole["shed"]} == {0, 1}
+
+
+def plain_sun_mask(z, azimuth, elevation, ns, ew):
+    """Ray by ray, step by step."""
+    a = math.radians(azimuth)
+    dc, dr, tan = math.sin(a), -math.cos(a), math.tan(math.radians(elevation))
+    metres = math.hypot(dr * ns, dc * ew)
+    n, m = z.shape
+    out = np.ones(z.shape, int)
+    for r, c in np.ndindex(z.shape):
+        if np.isnan(z[r, c]):
+            out[r, c] = 255
+            continue
+        k = 1
+        while True:
+            d = 0.5 * k
+            y, x = r + d * dr, c + d * dc
+            if not (0 <= y < n and 0 <= x < m):
+                break
+            y0, x0 = int(y), int(x)
+            y1, x1, fy, fx = min(y0 + 1, n - 1), min(x0 + 1, m - 1), y - y0, x - x0
+            h = (1 - fy) * (1 - fx) * z[y0, x0] + (1 - fy) * fx * z[y0, x1] + fy * (1 - fx) * z[y1, x0] + fy * fx * z[y1, x1]
+            if np.isnan(h):
+                break
+            if h > z[r, c] + d * metres * tan:
+                out[r, c] = 0
+                break
+            k += 1
+    return out
+
+
+@pytest.mark.parametrize("azimuth", [0.0, 57.0, 90.0, 225.0])
+def test_sun_mask_equals_a_plain_march(spark, monkeypatch, azimuth):
+    from gridlore.operators import rays
+
+    monkeypatch.setattr(rays, "TILE", 8)
+    z = np.random.default_rng(6).uniform(0, 25, (21, 18))
+    z[z > 24.5] = np.nan
+    g = grid(spark, [[None if np.isnan(x) else x for x in line] for line in z])
+    got = {(r.row, r.col): r.mask for r in rays.sun_mask(g, azimuth, 50.0, 2.0, 1.0).collect()}
+    want = plain_sun_mask(z, azimuth, 50.0, 2.0, 1.0)
+    assert all(got[k] == want[k] for k in np.ndindex(z.shape))
