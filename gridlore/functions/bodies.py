@@ -32,6 +32,43 @@ CRATER_BODIES = [
     ("titan", 1.352, 2574.7, 1882.0, 920.0, 1, 0.150, 3.0),
     ("mimas", 0.0648, 198.2, 1148.0, 920.0, 1, 0.150, 0.0),
     ("enceladus", 0.113, 252.1, 1609.0, 920.0, 1, 0.150, 0.0),
+    ("tethys", 0.146, 531.0, 984.0, 920.0, 1, 0.150, 0.0),
+    ("dione", 0.232, 561.4, 1478.0, 920.0, 1, 0.150, 0.0),
+    ("rhea", 0.264, 763.8, 1236.0, 920.0, 1, 0.150, 0.0),
+    ("iapetus", 0.223, 734.5, 1088.0, 920.0, 1, 0.150, 0.0),
+    ("hyperion", 0.0179, 135.0, 544.0, 700.0, 1, 0.180, 0.0),
+    ("phoebe", 0.0394, 106.5, 1638.0, 920.0, 1, 0.150, 0.0),
+    ("miranda", 0.079, 235.8, 1200.0, 920.0, 1, 0.150, 0.0),
+    ("ariel", 0.249, 578.9, 1592.0, 920.0, 1, 0.150, 0.0),
+    ("umbriel", 0.230, 584.7, 1392.0, 920.0, 1, 0.150, 0.0),
+    ("titania", 0.371, 788.4, 1711.0, 920.0, 1, 0.150, 0.0),
+    ("oberon", 0.346, 761.4, 1630.0, 920.0, 1, 0.150, 0.0),
+    ("triton", 0.779, 1353.4, 2061.0, 920.0, 1, 0.150, 0.0),
+    ("phobos", 0.0057, 11.27, 1872.0, 1500.0, 2, 0.200, 0.0),
+    ("deimos", 0.0030, 6.20, 1471.0, 1500.0, 2, 0.200, 0.0),
+    ("pluto", 0.620, 1188.3, 1854.0, 920.0, 1, 0.150, 0.0),
+    ("charon", 0.288, 606.0, 1702.0, 920.0, 1, 0.150, 0.0),
+    ("ceres", 0.284, 469.7, 2161.0, 1600.0, 2, 0.170, 10.0),
+    ("eris", 0.824, 1163.0, 2430.0, 920.0, 1, 0.150, 0.0),
+    ("haumea", 0.401, 780.0, 1885.0, 920.0, 1, 0.150, 0.0),
+    ("makemake", 0.500, 715.0, 2100.0, 920.0, 1, 0.150, 0.0),
+    ("gonggong", 0.220, 615.0, 1740.0, 920.0, 1, 0.150, 0.0),
+    ("quaoar", 0.276, 555.0, 2000.0, 920.0, 1, 0.150, 0.0),
+    ("sedna", 0.330, 498.0, 2000.0, 920.0, 1, 0.150, 0.0),
+    ("orcus", 0.250, 458.0, 1530.0, 920.0, 1, 0.150, 0.0),
+    ("salacia", 0.250, 423.0, 1500.0, 920.0, 1, 0.150, 0.0),
+    ("vesta", 0.220, 262.7, 3456.0, 2900.0, 3, 0.180, 7.0),
+    ("pallas", 0.205, 256.0, 2890.0, 2700.0, 3, 0.200, 0.0),
+    ("hygiea", 0.143, 216.5, 1944.0, 2700.0, 3, 0.200, 0.0),
+    ("psyche", 0.144, 113.0, 3880.0, 3500.0, 3, 0.200, 0.0),
+    ("lutetia", 0.044, 49.0, 3400.0, 2700.0, 3, 0.200, 0.0),
+    ("mathilde", 0.010, 26.4, 1300.0, 1300.0, 2, 0.200, 0.0),
+    ("eros", 0.006, 8.42, 2670.0, 2700.0, 3, 0.200, 0.0),
+    ("itokawa", 0.00009, 0.165, 1900.0, 1900.0, 2, 0.200, 0.0),
+    ("bennu", 0.00006, 0.245, 1190.0, 1190.0, 2, 0.200, 0.0),
+    ("ryugu", 0.00012, 0.448, 1190.0, 1190.0, 2, 0.200, 0.0),
+    ("67p", 0.0001, 2.0, 533.0, 533.0, 2, 0.200, 0.0),
+    ("custom", 0.0, 0.0, 0.0, 0.0, 0, 0.196, 0.0),
 ]
 #: Fixed values of the lunar chronology N(>= 1 km) per km2 = a (exp(b t) - 1) + c t, t in Ga.
 CHRONOLOGY = (5.44e-14, 6.93, 8.38e-4)

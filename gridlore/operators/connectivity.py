@@ -4,18 +4,31 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of our own only where none is set and all is one machine."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if path:
+        return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: executors would not see a folder of the driver's")
+    path = tempfile.mkdtemp(prefix="shared-")
+    spark.conf.set("spark.checkpoint.dir", path)
+    return path
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df checkpointed in the folder that the session names; one of our own only where none is set."""
+    """df checkpointed in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
-#: Links up to which a graph is labelled on the driver; larger ones take distributed rounds.
+#: Links up to which a graph is labelled on the driver, as rounds would cost more than they do; larger ones take
+#: distributed rounds.  Both give the same rows.
 LOCAL_LINKS = 100_000
 
 

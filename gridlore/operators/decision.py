@@ -86,9 +86,10 @@ def rank1_probability(candidates: DataFrame, runs: int, seed: int = 7, criteria:
     """key and p1: the share of runs that each candidate wins.
 
     Criteria given: weights drawn uniformly and normalised, over min-max scaled criteria; else a
-    Gaussian about the mean.  Draws are hashes of (seed, run, item), so a rerun task draws the same.
+    Gaussian about the mean.  Draws are hashes of (seed, run, item), so a rerun task draws the same; md5, so that
+    any SQL engine can draw them too.
     """
-    u = lambda *parts: (F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    u = lambda *parts: (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts])), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     runs_of = F.explode(F.sequence(F.lit(1), F.lit(runs)))
     if criteria:
         scaled = rescale(candidates, *criteria).withColumn("run", runs_of)

@@ -104,11 +104,18 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str, stri
     return both.withColumn(value, F.last("__v", ignorenulls=True).over(w)).where("__mine = 1").drop("__v", "__s", "__mine")
 
 
-def segment_for(times: DataFrame, segments: DataFrame, object_: str = "object", t: str = "t") -> DataFrame:
-    """The best covering segment of each time: lowest rank, then shortest span, ends last.  segments: object, l, r, rank, name."""
+def segment_for(times: DataFrame, segments: DataFrame, object_: str = "object", t: str = "t", width: float | None = None) -> DataFrame:
+    """The best covering segment of each time: lowest rank, then shortest span, ends last.  segments: object, l, r, rank, name.
+
+    Segments are spread over bins of width (without one: their mean span), so a time meets the segments of its own bin
+    and not all of its object.
+    """
+    if width is None:
+        width = float(segments.agg(F.avg(F.col("r") - F.col("l"))).first()[0] or 0) or 1.0
     span = F.col("r") - F.col("l")
     edge = (F.col("r") - F.col(t) < 0.01 * span).cast("int")
-    found = times.join(segments, object_).where(F.col(t).between(F.col("l"), F.col("r")))
+    bins = segments.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("l") / width), F.floor(F.col("r") / width))))
+    found = times.withColumn("__bin", F.floor(F.col(t) / width)).join(bins, [object_, "__bin"]).where(F.col(t).between(F.col("l"), F.col("r")))
     best = F.min_by(F.struct("name", "l", "r"), F.struct("rank", edge.alias("edge"), span.alias("span"), "name"))
     return found.groupBy(object_, t).agg(best.alias("s")).select(object_, t, "s.name", "s.l", "s.r")
 

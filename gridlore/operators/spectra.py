@@ -32,6 +32,8 @@ INDICES = [
     ("r1180_1100", "venus", "RATIO", None, 1.18, 1.10),
     ("bd2300", "venus", "BD", 2.3, 2.0, 2.55),
 ]
+#: Entries of a spectral library that are broadcast.
+BROADCAST_ENTRIES = 10_000
 #: Centres of an integrated band depth over a range.
 IBD_POINTS = 10
 
@@ -145,8 +147,13 @@ def sam_classify(angle: Column, threshold: float) -> Column:
 
 
 def match_library(spectra: DataFrame, library: DataFrame, top: int, max_angle: float, key: str = "id", bands: str = "bands") -> DataFrame:
-    """The top library entries of each spectrum by angle (ties by name).  library: name, ref (array); it is broadcast, being a reference list."""
-    both = spectra.crossJoin(F.broadcast(library)).withColumn("angle", spectral_angle(F.col(bands), F.col("ref")))
+    """The top library entries of each spectrum by angle (ties by name).  library: name, ref (array).
+
+    Every spectrum meets every entry, as the operator asks; the library is broadcast up to BROADCAST_ENTRIES entries, a larger one is
+    left to the planner.
+    """
+    few = library.limit(BROADCAST_ENTRIES + 1).count() <= BROADCAST_ENTRIES
+    both = spectra.crossJoin(F.broadcast(library) if few else library).withColumn("angle", spectral_angle(F.col(bands), F.col("ref")))
     best = both.where(F.col("angle") <= max_angle).groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct("angle", "name"))), 1, top).alias("m"))
     return best.select(key, F.posexplode("m").alias("rank", "m")).select(key, (F.col("rank") + 1).alias("rank"), "m.name", "m.angle")
 
@@ -200,14 +207,22 @@ def thick_atmosphere(cells: DataFrame, window: str, reference: str, into: str) -
 
 
 def gram(rows: DataFrame, bands: str, n: int) -> DataFrame:
-    """i, j (i <= j), n, sxy, sx, sy over complete rows, ready for a covariance."""
-    full = rows.where((F.size(bands) == n) & ~F.exists(bands, lambda x: x.isNull()))
-    upper = [(i, j) for i in range(n) for j in range(i, n)]
-    x = lambda k: F.element_at(bands, k + 1).cast("double")
-    sums = [F.sum(x(i) * x(j)).alias(f"s{i}_{j}") for i, j in upper] + [F.sum(x(i)).alias(f"m{i}") for i in range(n)]
-    one = full.agg(F.count("*").alias("n"), *sums)
-    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col("n"), F.col(f"s{i}_{j}").alias("sxy"), F.col(f"m{i}").alias("sx"), F.col(f"m{j}").alias("sy")) for i, j in upper])
-    return one.select(F.inline(cells))
+    """i, j (i <= j), n, sxy, sx, sy over complete rows, ready for a covariance: each partition multiplies its own rows, and partial sums meet."""
+
+    def part(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        total, sums, count = np.zeros((n, n)), np.zeros(n), 0
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, n)
+            total, sums, count = total + x.T @ x, sums + x.sum(0), count + len(x)
+        i, j = np.triu_indices(n)
+        yield pa.RecordBatch.from_pydict({"i": i.astype(np.int32), "j": j.astype(np.int32), "n": np.full(len(i), count), "sxy": total[i, j], "sx": sums[i], "sy": sums[j]})
+
+    full = rows.where((F.size(bands) == n) & ~F.exists(bands, lambda x: x.isNull())).select(F.col(bands).cast("array<double>").alias("b"))
+    parts = full.mapInArrow(part, "i int, j int, n long, sxy double, sx double, sy double")
+    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sxy", "sx", "sy")])
 
 
 def pca(rows: DataFrame, bands: str, n: int, standardise: bool = False):

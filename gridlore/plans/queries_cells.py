@@ -95,7 +95,27 @@ _model(
 )
 
 
-@query("photom_hapke_rough")
+def _rough_hapke_sql(angles, theta, w, h, b0, b, c):
+    """Bidirectional reflectance of a rough surface, from the published relations (1984), for angles i, e, g."""
+    t = math.tan(math.radians(theta))
+    chi = 1 / math.sqrt(1 + math.pi * t * t)
+    e1, e2 = (lambda x: f"exp(least(-power(1 / ({t} * tan(greatest({x}, 1e-12))), 2) / pi(), 23.0))"), (lambda x: f"exp(least(-2 / (pi() * {t} * tan(greatest({x}, 1e-12))), 23.0))")
+    half = "power(sin(psi / 2), 2)"
+    base = f"SELECT *, {e1('i')} AS e1i, {e2('i')} AS e2i, {e1('e')} AS e1e, {e2('e')} AS e2e, CASE WHEN sin(i) * sin(e) = 0 THEN 0.0 ELSE acos(greatest(-1.0, least(1.0, (cos(g) - cos(i) * cos(e)) / (sin(i) * sin(e))))) END AS psi FROM (SELECT *, radians(i0) AS i, radians(e0) AS e, radians(g0) AS g FROM {angles})"
+    eta = lambda x, f1, f2: f"{chi} * (cos({x}) + sin({x}) * {t} * {f1} / (2 - {f2}))"
+    high, low = "2 - {0} - (psi / pi()) * {1}", "({0} * {1} {2} {3} * {4})"
+    mu = lambda x, y: f"{chi} * (cos({x}) + sin({x}) * {t} * {low.format('cos(psi)', f'e1{y}', '+', half, f'e1{x}')} / ({high.format(f'e2{y}', f'e2{x}')}))"  # noqa: E731  the shallower of the two
+    nu = lambda x, y: f"{chi} * (cos({x}) + sin({x}) * {t} * {low.format('1', f'e1{x}', '-', half, f'e1{y}')} / ({high.format(f'e2{x}', f'e2{y}')}))"  # noqa: E731  the steeper
+    step = f"SELECT *, {eta('i', 'e1i', 'e2i')} AS ni, {eta('e', 'e1e', 'e2e')} AS ne, CASE WHEN i <= e THEN {mu('i', 'e')} ELSE {nu('i', 'e')} END AS m0, CASE WHEN i <= e THEN {nu('e', 'i')} ELSE {mu('e', 'i')} END AS m, CASE WHEN psi >= pi() THEN 0.0 ELSE exp(-2 * tan(psi / 2)) END AS f FROM ({base})"
+    hh = lambda x: f"(1 + 2 * {x}) / (1 + 2 * {x} * {math.sqrt(1 - w)})"
+    phase = f"(1 + {b} * cos(g) + {c} * (1.5 * cos(g) * cos(g) - 0.5))"
+    return f"SELECT *, {w} / 4 * m0 / (m0 + m) * ((1 + {b0} / (1 + tan(g / 2) / {h})) * {phase} - 1 + ({hh('m0')}) * ({hh('m')})) * (m / ne) * (cos(i) / ni) * {chi} / (1 - f + f * {chi} * CASE WHEN i <= e THEN cos(i) / ni ELSE cos(e) / ne END) AS r FROM ({step})"
+
+
+_ANGLES0 = f"(SELECT *, CAST(i AS DOUBLE) AS i0, CAST(e AS DOUBLE) AS e0, CAST(g AS DOUBLE) AS g0 FROM ({ANGLES}))".replace("SELECT *, CAST(i", "SELECT * EXCLUDE (i, e, g), CAST(i")
+
+
+@query("photom_hapke_rough", f"SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN cos(i) <= 0 THEN 0.0 ELSE r END, 6) AS f FROM ({_rough_hapke_sql(_ANGLES0, 20.0, 0.3, 0.05, 1.0, 0.3, 0.1)})")
 def photom_hapke_rough(spark, sf):
     """Held against a numpy version in the tests."""
     return C.hapke_rough(_angles(spark, sf), "i", "e", "g", "f", 0.3, 0.05, 1.0, 20.0, bh=0.3, ch=0.1).select(*KEYS, F.round("f", 6).alias("f"))
@@ -249,7 +269,13 @@ def clump_2d(spark, sf):
     return connectivity.clump(_mask(spark, sf))
 
 
-@query("clump_min_area", None)
+@query("clump_min_area", f"""
+WITH RECURSIVE g AS MATERIALIZED (SELECT row, col, CAST(row AS BIGINT) * 4294967296 + col AS id FROM {MASK} WHERE z = 1),
+runs AS MATERIALIZED (SELECT row, min(col) AS f, max(col) AS l, CAST(row AS BIGINT) * 4294967296 + min(col) AS id FROM (SELECT *, col - row_number() OVER (PARTITION BY row ORDER BY col) AS k FROM g) GROUP BY row, k),
+e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM runs a JOIN runs b ON abs(a.row - b.row) = 1 AND a.f <= b.l + 1 AND b.f <= a.l + 1),
+reach(id, c) AS (SELECT id, id FROM runs UNION SELECT e.b, reach.c FROM reach JOIN e ON e.a = reach.id WHERE reach.c < e.b),
+comp AS (SELECT id, min(c) AS clump FROM reach GROUP BY id)
+SELECT clump, CAST(sum(l - f + 1) AS BIGINT) AS n FROM runs JOIN comp USING (id) GROUP BY clump HAVING sum(l - f + 1) >= 5""")
 def clump_min_area(spark, sf):
     c = connectivity.clump(_mask(spark, sf), diagonal=True).where("z = 1")
     return c.groupBy("clump").agg(F.count("*").alias("n")).where("n >= 5")
@@ -309,12 +335,27 @@ def ricochet_chain(spark, sf):
     return craters.ricochets(p).select("p_partkey", "bounce", F.round("size", 6).alias("size"), F.round("speed", 6).alias("speed"))
 
 
+CANDIDATES = "(SELECT s_suppkey AS id, CAST(s_suppkey % 37 * 10 AS DOUBLE) AS cx, CAST(s_suppkey % 23 * 10 AS DOUBLE) AS cy, CAST(10 + s_suppkey % 7 * 4 AS DOUBLE) AS radius, abs(s_acctbal) AS confidence, CASE WHEN s_suppkey % 2 = 0 THEN 'dem' ELSE 'image' END AS method FROM supplier)"
+_CLAMP = "greatest(-1.0, least(1.0, ({0} * {0} + {1} * {1} - {2} * {2}) / (2 * {0} * {1})))"
+_LENS = f"(r1 * r1 * acos({_CLAMP.format('d', 'r1', 'r2')}) + r2 * r2 * acos({_CLAMP.format('d', 'r2', 'r1')}) - 0.5 * sqrt(greatest(0.0, (-d + r1 + r2) * (d + r1 - r2) * (d - r1 + r2) * (d + r1 + r2))))"
+_COMMON = f"CASE WHEN d >= r1 + r2 THEN 0.0 WHEN d <= abs(r1 - r2) THEN pi() * least(r1, r2) * least(r1, r2) ELSE {_LENS} END"
+#: Pairs of different candidates whose disks overlap: a, b, their confidences and methods, iou.
+OVERLAPS = f"(SELECT *, i / (pi() * (r1 * r1 + r2 * r2) - i) AS iou FROM (SELECT *, {_COMMON} AS i FROM (SELECT a.id AS a, b.id AS b, a.confidence AS ca, b.confidence AS cb, a.method AS ma, b.method AS mb, CAST(a.radius AS DOUBLE) AS r1, CAST(b.radius AS DOUBLE) AS r2, sqrt(CAST((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) AS DOUBLE)) AS d FROM {CANDIDATES} a JOIN {CANDIDATES} b ON a.id <> b.id)) WHERE d < r1 + r2)"
+
+
 def _candidates(spark, sf):
     s = table(spark, sf, "supplier")
     return s.select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 37 * 10.0).alias("cx"), (F.col("s_suppkey") % 23 * 10.0).alias("cy"), (10.0 + F.col("s_suppkey") % 7 * 4).alias("radius"), F.abs(F.col("s_acctbal")).alias("confidence"), F.when(F.col("s_suppkey") % 2 == 0, "dem").otherwise("image").alias("method"))
 
 
-@query("crater_nms")
+@query("crater_nms", f"""
+WITH RECURSIVE c AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY confidence DESC, id) AS k FROM {CANDIDATES}),
+e AS MATERIALIZED (SELECT x.k AS a, y.k AS b, x.id AS over_id, y.id AS under_id, x.method AS m1, y.method AS m2 FROM {OVERLAPS} o JOIN c x ON x.id = o.a JOIN c y ON y.id = o.b WHERE o.iou >= 0.3 AND x.k < y.k),
+above AS MATERIALIZED (SELECT b, list(a) AS over FROM e GROUP BY b),
+greedy(k, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT g.k + 1, CASE WHEN len(list_intersect(g.kept, coalesce(above.over, []))) > 0 THEN g.kept ELSE list_append(g.kept, g.k + 1) END FROM greedy g LEFT JOIN above ON above.b = g.k + 1 WHERE g.k < (SELECT count(*) FROM c)),
+kept AS MATERIALIZED (SELECT unnest(kept) AS k FROM greedy WHERE k = (SELECT count(*) FROM c)),
+merged AS (SELECT over_id, count(*) AS n FROM (SELECT arg_min(e.over_id, e.over_id) AS over_id, arg_min(e.m1, e.over_id) AS m1, arg_min(e.m2, e.over_id) AS m2 FROM e JOIN kept ON kept.k = e.a GROUP BY e.b) WHERE m1 <> m2 GROUP BY over_id)
+SELECT c.id, c.cx, c.cy, c.radius, c.confidence, CASE WHEN merged.n IS NULL THEN c.method ELSE 'merged' END AS method, 1 + coalesce(merged.n, 0) AS n_methods FROM c JOIN kept USING (k) LEFT JOIN merged ON merged.over_id = c.id""")
 def crater_nms(spark, sf):
     return craters.suppress(_candidates(spark, sf))
 
@@ -324,7 +365,7 @@ def crater_multi_ring(spark, sf):
     return craters.multi_rings(_candidates(spark, sf))
 
 
-@query("crater_overlap_pairs")
+@query("crater_overlap_pairs", f"SELECT a AS a_id, b AS b_id, round(iou, 6) AS iou FROM {OVERLAPS} WHERE a < b AND iou > 0")
 def crater_overlap_pairs(spark, sf):
     c = _candidates(spark, sf)
     return craters.overlapping(c, c, 80.0).where("a_id < b_id").select("a_id", "b_id", F.round("iou", 6).alias("iou"))

@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from ..catalogue import query, table
 from ..operators import decision as D
 from ..operators.focal import rescale
-from .grid import cells_from_lineitem
+from .grid import CELLS_SQL, cells_from_lineitem
 
 MATRIX = [(0, 0, 1.0), (0, 1, 3.0), (0, 2, 5.0), (1, 0, 1 / 3), (1, 1, 1.0), (1, 2, 2.0), (2, 0, 0.2), (2, 1, 0.5), (2, 2, 1.0)]
 MATRIX_SQL = "(VALUES " + ", ".join(f"({i}, {j}, {a!r}::DOUBLE)" for i, j, a in MATRIX) + ") m(i, j, a)"
@@ -50,21 +50,33 @@ def borda_cross_rank(spark, sf):
     return D.cross_rank(c).select("region", "rank", F.round("composite", 6).alias("composite"), "cross_rank")
 
 
-@query("mc_rank1_prob")
+def _draw_sql(*parts):
+    """A number in (0, 1) from the first 52 bits of the md5 of seed 7 and the parts."""
+    return f"((('0x' || substr(md5(concat_ws(':', '7', {', '.join(parts)})), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)"
+
+
+@query("mc_rank1_prob", f"WITH d AS (SELECT s_suppkey AS id, r, s_acctbal + 800.0 * (sqrt(-2 * ln({_draw_sql('r', 's_suppkey', chr(39) + 'a' + chr(39))})) * cos(2 * pi() * {_draw_sql('r', 's_suppkey', chr(39) + 'b' + chr(39))})) AS v FROM supplier, range(1, 501) t(r)), w AS (SELECT r, arg_max(id, v) AS id FROM d GROUP BY r) SELECT s_suppkey AS id, (SELECT count(*) FROM w WHERE w.id = s_suppkey) / 500.0::DOUBLE AS p1 FROM supplier")
 def mc_rank1_prob(spark, sf):
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("mean"), F.lit(800.0).alias("std"))
     return D.rank1_probability(s, 500)
 
 
-@query("mc_rank1_weights")
+@query("mc_rank1_weights", f"WITH s AS (SELECT s_suppkey AS id, (s_acctbal - min(s_acctbal) OVER ()) / (max(s_acctbal) OVER () - min(s_acctbal) OVER ()) AS a, (s_suppkey % 31 - min(s_suppkey % 31) OVER ()) / (max(s_suppkey % 31) OVER () - min(s_suppkey % 31) OVER ())::DOUBLE AS b FROM supplier), u AS (SELECT r, {_draw_sql('r', chr(39) + 'a' + chr(39))} AS x, {_draw_sql('r', chr(39) + 'b' + chr(39))} AS y FROM range(1, 501) t(r)), w AS (SELECT r, arg_max(id, (x / (x + y) * a + y / (x + y) * b, id)) AS id FROM s, u GROUP BY r) SELECT s.id, (SELECT count(*) FROM w WHERE w.id = s.id) / 500.0::DOUBLE AS p1 FROM s")
 def mc_rank1_weights(spark, sf):
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("a"), (F.col("s_suppkey") % 31).cast("double").alias("b"))
     return D.rank1_probability(s, 500, criteria=("a", "b"))
 
 
-@query("rank_regions")
+@query("rank_regions", f"""
+WITH RECURSIVE good AS MATERIALIZED (SELECT row, col, z FROM ({CELLS_SQL}) WHERE z > 1e-4),
+g AS MATERIALIZED (SELECT *, CAST(row AS BIGINT) * 4294967296 + col AS id FROM good WHERE z >= (SELECT quantile_cont(z, 0.7) FROM good)),
+e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM g a JOIN g b ON abs(a.row - b.row) + abs(a.col - b.col) = 1),
+reach(id, c) AS (SELECT id, id FROM g UNION SELECT e.b, reach.c FROM reach JOIN e ON e.a = reach.id WHERE reach.c < e.b),
+comp AS (SELECT id, min(c) AS clump FROM reach GROUP BY id),
+zones AS (SELECT clump, count(*) AS n, avg(z) AS mean, stddev_pop(z) AS std FROM g JOIN comp USING (id) GROUP BY clump HAVING count(*) >= 3)
+SELECT clump, n, round(mean, 6) AS mean, round(std, 6) AS std, n * 1.0::DOUBLE AS area_km2, CAST(row_number() OVER (ORDER BY mean DESC, clump) AS INT) AS rank FROM zones""")
 def rank_regions(spark, sf):
-    return D.rank_regions(cells_from_lineitem(spark, sf), 0.7, 3.0, 1.0)
+    return D.rank_regions(cells_from_lineitem(spark, sf), 0.7, 3.0, 1.0).withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))
 
 
 @query("orbiter_contact", "SELECT t, round(degrees(asin(sin(radians(85)) * sin(u))), 6) AS lat FROM (SELECT range AS t, 2 * pi() * range / (2 * pi() * sqrt(power(1737.4 + 100, 3) / 4902.8)) AS u FROM range(0, 7200, 60))")

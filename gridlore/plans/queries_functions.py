@@ -153,7 +153,7 @@ def json_props(spark, sf):
     return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.size(F.json_object_keys("props")).cast("long").alias("n"))
 
 
-@query("json_report")
+@query("json_report", "SELECT s_nationkey, CAST(to_json({'schema': 'ranking', 'n_candidates': count(*), 'candidates': list({'suit_mean': s_acctbal, 'clump_cat': s_suppkey} ORDER BY s_acctbal DESC, s_suppkey DESC)[1:5]}) AS VARCHAR) AS report FROM supplier GROUP BY s_nationkey")
 def json_report(spark, sf):
     s = table(spark, sf, "supplier")
     top = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct(F.col("s_acctbal").alias("suit_mean"), F.col("s_suppkey").alias("clump_cat"))))), 1, 5)

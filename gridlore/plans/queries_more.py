@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..catalogue import query, table
+from ..functions.bodies import BODIES, CRATER_BODIES
 from ..operators import detect, ephemeris
+from ..operators.connectivity import shared_folder
 from . import ek_store, landing
 from .grid import CELLS_SQL, cells_from_lineitem
 
@@ -58,7 +59,7 @@ def grid_sample_points(spark, sf):
 
 @query("landing_pipeline")
 def landing_pipeline(spark, sf):
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="landing-")).rstrip("/")
+    shared = shared_folder(spark)
     sun = spark.range(12).select(F.col("id").alias("step"), (F.col("id") * 30.0).alias("azimuth"), (F.lit(20.0) + F.col("id") % 3 * 10).alias("elevation"))
     plan = landing.stages(landing.Mission(10.0, max_slope=60.0), [0.0, 90.0, 180.0, 270.0], None, sun)
     dem = cells_from_lineitem(spark, sf).select("row", "col", "z")
@@ -80,7 +81,10 @@ def crater_age(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.round(age_from_density(chronology(F.col("p_size") / 11.0)), 6).alias("age"))
 
 
-@query("target_info")
+_BODY_ROWS = ", ".join(f"('{n}', {a!r}::DOUBLE, {b!r}::DOUBLE, {c!r}::DOUBLE)" for n, _, a, b, c, *_rest in BODIES)
+
+
+@query("target_info", f"SELECT name, round((a + b + c) / 3, 4) AS mean_radius, round((a - c) / a, 6) AS flattening FROM (VALUES {_BODY_ROWS}) t(name, a, b, c)")
 def target_info(spark, sf):
     from ..functions.bodies import bodies
 
@@ -94,3 +98,30 @@ def atmosphere_apply(spark, sf):
     lit = F.lit
     p = apply_atmosphere(lit(0.02), lit(0.9), lit(0.7), lit(0.1), lit(0.3), lit(0.2), lit(0.25), F.col("l_tax"), F.cos(F.radians("l_quantity")))
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(p, 9).alias("p"))
+
+
+_CRATER_ROWS = ", ".join(f"('{r[0]}', {', '.join(f'{x!r}::DOUBLE' for x in r[1:])})" for r in CRATER_BODIES)
+
+
+@query("crater_target", f"SELECT p_partkey, name, round(CASE WHEN dsc > 0 THEN dsc * 1000 WHEN g > 0 THEN 18000.0 * 1.622 / g ELSE 18000.0 END, 3) AS transition FROM (SELECT *, row_number() OVER (ORDER BY name) - 1 AS k FROM (VALUES {_CRATER_ROWS}) t(name, g, radius, bulk, surface, kind, dd, dsc)) b JOIN part ON p_partkey % {len(CRATER_BODIES)} = k")
+def crater_target(spark, sf):
+    """Each part falls on a body of the table; the diameter at which craters turn complex there."""
+    from ..functions.bodies import crater_bodies
+    from ..operators.craters import transition_diameter
+
+    names = sorted(r[0] for r in CRATER_BODIES)
+    numbered = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("name")) - 1
+    p = table(spark, sf, "part").select("p_partkey", (F.col("p_partkey") % len(names)).alias("k"))
+    b = crater_bodies(spark).withColumn("k", numbered)  # a table of fixed values
+    return p.join(F.broadcast(b), "k").select("p_partkey", "name", F.round(transition_diameter(F.col("g"), F.col("dsc_km")), 3).alias("transition"))
+
+
+@query("dem_mosaic", "WITH t AS (SELECT CAST(l_linenumber AS INT) AS tile, CAST(l_suppkey % 40 AS INT) AS row, CAST(l_partkey % 50 AS INT) AS col, max(CASE WHEN l_linenumber % 2 = 0 THEN l_quantity / 1000.0 + 0.01 ELSE l_quantity * 10.0 END) AS z FROM lineitem GROUP BY 1, 2, 3), s AS (SELECT *, CASE WHEN abs(max(z) OVER (PARTITION BY tile)) < 50 THEN z * 1000 ELSE z END AS m FROM t) SELECT row, col, round(arg_min(m, tile), 6) AS z FROM s GROUP BY row, col")
+def dem_mosaic(spark, sf):
+    """Tiles in kilometres and in metres become one map in metres; of overlapping tiles the first counts."""
+    from ..sources.dem import mosaic
+
+    q = F.col("l_quantity")
+    t = table(spark, sf, "lineitem").groupBy(F.col("l_linenumber").cast("int").alias("tile"), F.expr("cast(l_suppkey % 40 as int)").alias("row"), F.expr("cast(l_partkey % 50 as int)").alias("col"))
+    t = t.agg(F.max(F.when(F.col("l_linenumber") % 2 == 0, q / 1000.0 + 0.01).otherwise(q * 10.0)).alias("z"))
+    return mosaic(t).withColumn("z", F.round("z", 6))

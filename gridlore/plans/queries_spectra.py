@@ -46,7 +46,17 @@ _row("index_slope", lambda b: S.mineral_index(b, WAVES, "spec_slope"), f"CASE WH
 _row("index_tio2", lambda b: S.mineral_index(b, WAVES, "tio2"), f"CASE WHEN {_at(0.75)} <> 0 THEN {_at(0.415)} / {_at(0.75)} END")
 
 
-@query("mineral_indices_moon")
+def _index_sql(name):
+    _, _, mode, centre, left, right = next(i for i in S.INDICES if i[0] == name)
+    if mode == "BD":
+        return _depth(centre, left, right)
+    if mode == "RATIO":
+        return f"CASE WHEN {_at(right)} <> 0 THEN {_at(left)} / {_at(right)} END"
+    centres = centre if name == "mafic" else [centre[0] + (centre[1] - centre[0]) * k / 9 for k in range(10)]
+    return f"list_avg([{', '.join(_depth(c, left, right) for c in centres)}])"
+
+
+@query("mineral_indices_moon", f"SELECT vec_id, {', '.join(f'round({_index_sql(n)}, 6) AS {n}' for n in S.indices_for('moon'))} FROM {SPEC}")
 def mineral_indices_moon(spark, sf):
     return _spec(spark, sf).select("vec_id", *[F.round(S.mineral_index(F.col("b"), WAVES, n), 6).alias(n) for n in S.indices_for("moon")])
 
@@ -97,10 +107,9 @@ def sam_topn(spark, sf):
     return S.match_library(e.where("vec_id >= 20").select("vec_id", "embedding"), lib, 3, 1.6, "vec_id", "embedding").withColumn("angle", F.round("angle", 6))
 
 
-@query("pca_gram", "SELECT i, j, count(*) AS n, round(sum(CAST(embedding[i + 1] AS DOUBLE) * CAST(embedding[j + 1] AS DOUBLE)), 6) AS sxy FROM embeddings, (SELECT CAST(range AS INT) AS i FROM range(8)) a, (SELECT CAST(range AS INT) AS j FROM range(8)) b WHERE i <= j GROUP BY i, j")
+@query("pca_gram", "SELECT i, j, count(*) AS n, round(sum(CAST(embedding[i + 1] AS DOUBLE) * CAST(embedding[j + 1] AS DOUBLE)), 6) AS sxy FROM embeddings, (SELECT CAST(range AS INT) AS i FROM range(64)) a, (SELECT CAST(range AS INT) AS j FROM range(64)) b WHERE i <= j GROUP BY i, j")
 def pca_gram(spark, sf):
-    e = table(spark, sf, "embeddings").select(F.slice("embedding", 1, 8).alias("b"))
-    return S.gram(e, "b", 8).select("i", "j", "n", F.round("sxy", 6).alias("sxy"))
+    return S.gram(table(spark, sf, "embeddings").select(F.col("embedding").alias("b")), "b", 64).select("i", "j", "n", F.round("sxy", 6).alias("sxy"))
 
 
 @query("pca_variance")
@@ -120,7 +129,14 @@ def iirs_smooth(spark, sf):
     return out.select("vec_id", (F.col("band") + 1).cast("long").alias("band"), F.round("v", 6).alias("v"))
 
 
-@query("thermal_temperature")
+def _temperature_sql(low, high):
+    """Mean inverse Planck temperature over the bands of that range with positive radiance."""
+    c1, c2 = 1.191042972e8, 14387.768775
+    some = ", ".join(f"CASE WHEN b[{k + 1}] > 0 THEN {c2 / w!r}::DOUBLE / ln(1 + {c1 / w**5!r}::DOUBLE / b[{k + 1}]) END" for k, w in enumerate(WAVES) if low <= w <= high)
+    return f"list_avg([{some}])"
+
+
+@query("thermal_temperature", f"SELECT vec_id, round({_temperature_sql(2.5, 2.9)}, 4) AS t FROM {SPEC}")
 def thermal_temperature(spark, sf):
     return _spec(spark, sf).select("vec_id", F.round(S.brightness_temperature(F.col("b"), WAVES, 2.5, 2.9), 4).alias("t"))
 

@@ -1,4 +1,4 @@
-"""Labelled planetary images: keyword labels, attached or detached, and raw sample planes.
+"""Images with keyword labels, attached or detached, and raw sample planes.
 
 Files are read with the binaryFile source and parsed where they lie, one task a file; a label is a
 map of dotted keys, an image becomes cells (row, col, band, value).
@@ -76,32 +76,112 @@ def samples(raw: bytes, label: dict[str, str], object_: str = "IMAGE") -> np.nda
     return x * float(get("SCALING_FACTOR", 1.0)) + float(get("OFFSET", 0.0))
 
 
+#: The statement that ends a label, on a line of its own.
+_END = re.compile(rb"(?:^|\n)[ \t]*END[ \t]*(?:\r|\n|$)")
+
+
+def label_of(raw: bytes) -> dict[str, str]:
+    """The label at the head of a file, whatever its length."""
+    end = _END.search(raw)
+    return parse_label(raw[: end.start()].decode("latin-1") if end else raw.decode("latin-1"))
+
+
+def data_file(label: dict[str, str], object_: str = "IMAGE") -> str | None:
+    """The file that a detached label points to; None where the data are attached."""
+    at = label.get(f"^{object_}", "")
+    named = re.search(r'"([^"]+)"|\(\s*([^,"\s]+\.[^,"\s]+)|^([^,"(\s]+\.[A-Za-z0-9]+)$', at)
+    return next((g for g in named.groups() if g), None) if named else None
+
+
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """path and label (map of dotted keys) of every file."""
 
     @F.pandas_udf("map<string,string>")
     def parse(raw: pd.Series) -> pd.Series:
-        return raw.map(lambda b: parse_label(bytes(b).split(b"\nEND\r", 1)[0].split(b"\nEND\n", 1)[0].decode("latin-1")))
+        return raw.map(lambda b: label_of(bytes(b)))
 
     return spark.read.format("binaryFile").load(path).select("path", parse("content").alias("label"))
 
 
-def read_images(spark: SparkSession, path: str, object_: str = "IMAGE") -> DataFrame:
-    """path, row, col, band (from 1), value of images with attached labels; null for special values."""
+def plane_rows(name: str, x: np.ndarray, scale: float = 1.0, strip: int = 256) -> Iterator[pd.DataFrame]:
+    """Cells (path, row, col, band, value) of bands x lines x samples, a strip at a time; NaN becomes null."""
+    for b, plane in enumerate(x, 1):
+        for start in range(0, plane.shape[0], strip):
+            part = plane[start : start + strip]
+            r, c = np.indices(part.shape)
+            v = part.ravel() * scale
+            yield pd.DataFrame({"path": name, "row": (r.ravel() + start).astype("int32"), "col": c.ravel().astype("int32"), "band": np.int32(b), "value": pd.array(np.where(np.isnan(v), None, v), dtype="Float64")})
+
+
+CELLS = "path string, row int, col int, band int, value double"
+
+
+def read_images(spark: SparkSession, path: str, object_: str = "IMAGE", scale: float = 1.0) -> DataFrame:
+    """path, row, col, band (from 1), value of images with attached or detached labels; null for special values.
+
+    A detached label names its data file, which is looked for in the label's own folder among the files of path; the
+    path is the label's.  Labels are read in whole.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    folder, name = F.regexp_extract("path", r"^(.*)/[^/]*$", 1), F.lower(F.regexp_extract("path", r"([^/]*)$", 1))
+
+    @F.pandas_udf("string")
+    def points_to(raw: pd.Series) -> pd.Series:
+        def find(b: bytes) -> str | None:
+            label = label_of(bytes(b)) if b"=" in bytes(b[:4096]) else {}
+            # a file without this object is data of another's label
+            return None if f"^{object_}" not in label else (data_file(label, object_) or "").lower()
+
+        return raw.map(find)
+
+    marked = files.withColumn("to", points_to("content"))
+    data = files.select(folder.alias("folder"), name.alias("to"), F.col("content").alias("data"))
+    apart = marked.where("to != ''").withColumn("folder", folder).join(data, ["folder", "to"]).select("path", "content", "data")
 
     def cells(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for name, raw in zip(part.path, part.content):
-                raw = bytes(raw)
-                x = samples(raw, parse_label(raw[: 1 << 20].split(b"\nEND\r", 1)[0].split(b"\nEND\n", 1)[0].decode("latin-1")), object_)
-                for b, plane in enumerate(x, 1):
-                    for start in range(0, plane.shape[0], 256):  # a strip at a time
-                        strip = plane[start : start + 256]
-                        r, c = np.indices(strip.shape)
-                        v = strip.ravel()
-                        yield pd.DataFrame({"path": name, "row": (r.ravel() + start).astype("int32"), "col": c.ravel().astype("int32"), "band": np.int32(b), "value": pd.array(np.where(np.isnan(v), None, v), dtype="Float64")})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(cells, "path string, row int, col int, band int, value double")
+            for label_path, head, raw in zip(part.path, part.content, part.data):
+                head = bytes(head)
+                label = label_of(head)
+                if raw is not None:  # counted from the start of the data file
+                    at = re.findall(r"\d+[^\d]*$", re.sub(r'"[^"]*"|[^,(\s]+\.[A-Za-z]\w*', "", label[f"^{object_}"]))
+                    label = {**label, f"^{object_}": at[0] if at else "1"}
+                yield from plane_rows(label_path, samples(bytes(raw) if raw is not None else head, label, object_), scale)
+
+    whole = marked.where("to = ''").select("path", "content", F.lit(None).cast("binary").alias("data"))
+    return whole.union(apart).mapInPandas(cells, CELLS)
+
+
+def kind_of(head: bytes) -> str:
+    """'label' (keyword), 'xml', 'cube' or 'unknown', by the first bytes of a file."""
+    text = head[:65536].lstrip(b"\xef\xbb\xbf \t\r\n")
+    if text.startswith(b"<?xml") or text.startswith(b"<Product"):
+        return "xml"
+    if re.match(rb"(?i)object\s*=\s*isiscube", text):
+        return "cube"
+    return "label" if re.match(rb"(?:/\*.*?\*/\s*)?[A-Za-z^][\w:]*\s*=", text, re.S) else "unknown"
+
+
+def read_any(spark: SparkSession, folder: str, scale: float = 1.0) -> DataFrame:
+    """Cells of all images of a folder, whatever their format: each file's first bytes decide which reader takes it."""
+    from .xml_images import read_cubes, read_xml_images
+
+    files = spark.read.format("binaryFile").load(folder)
+
+    @F.pandas_udf("string")
+    def kind(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda b: kind_of(bytes(b)))
+
+    found = files.select("path", kind("content").alias("kind")).groupBy("kind").agg(F.count("*").alias("n"), F.min("path").alias("path")).collect()  # one row a format
+    kinds = {r["kind"] for r in found}
+    out = spark.createDataFrame([], CELLS)
+    if "label" in kinds:
+        out = out.union(read_images(spark, folder))
+    if "cube" in kinds:
+        out = out.union(read_cubes(spark, folder))
+    if "xml" in kinds:
+        out = out.union(read_xml_images(spark, folder))
+    return out.withColumn("value", F.col("value") * scale)
 
 
 def write_label(values: dict[str, object]) -> str:

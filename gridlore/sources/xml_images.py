@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .pds import parse_label
+from .pds import CELLS, kind_of, parse_label, plane_rows
 
 #: Fixed sample types of XML labels and cubes as numpy types.
 XML_TYPES = {"UnsignedByte": "u1", "SignedByte": "i1", "UnsignedLSB2": "<u2", "UnsignedMSB2": ">u2", "SignedLSB2": "<i2", "SignedMSB2": ">i2", "SignedLSB4": "<i4", "SignedMSB4": ">i4", "UnsignedLSB4": "<u4", "UnsignedMSB4": ">u4", "IEEE754LSBSingle": "<f4", "IEEE754MSBSingle": ">f4", "IEEE754LSBDouble": "<f8", "IEEE754MSBDouble": ">f8"}
@@ -68,44 +68,40 @@ def cube_samples(raw: bytes) -> np.ndarray:
     return x * float(get("Pixels.Multiplier", 1)) + float(get("Pixels.Base", 0))
 
 
-def _cells(name: str, x: np.ndarray) -> Iterator[pd.DataFrame]:
-    for b, plane in enumerate(x, 1):
-        for start in range(0, plane.shape[0], 256):
-            strip = plane[start : start + 256]
-            r, c = np.indices(strip.shape)
-            v = strip.ravel()
-            yield pd.DataFrame({"path": name, "row": (r.ravel() + start).astype("int32"), "col": c.ravel().astype("int32"), "band": np.int32(b), "value": pd.array(np.where(np.isnan(v), None, v), dtype="Float64")})
-
-
-SCHEMA = "path string, row int, col int, band int, value double"
+SCHEMA = CELLS
+_cells = plane_rows
 
 
 def read_cubes(spark: SparkSession, path: str) -> DataFrame:
+    """Cells of the cubes among the files; others are passed over."""
+
     def cells(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for name, raw in zip(part.path, part.content):
-                yield from _cells(name, cube_samples(bytes(raw)))
+                if kind_of(bytes(raw[:65536])) == "cube":
+                    yield from _cells(name, cube_samples(bytes(raw)))
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(cells, SCHEMA)
 
 
 def read_xml_images(spark: SparkSession, folder: str) -> DataFrame:
-    """Images of a folder: each label is joined with the data file it names."""
-    files = spark.read.format("binaryFile").load(folder).select("path", "content", F.element_at(F.split("path", "/"), -1).alias("name"))
+    """Images of a folder: each label is joined with the data file that it names, in its own folder."""
+    where, name = F.regexp_extract("path", r"^(.*)/[^/]*$", 1), F.regexp_extract("path", r"([^/]*)$", 1)
+    files = spark.read.format("binaryFile").load(folder).select("path", "content", where.alias("folder"), name.alias("name"))
 
     @F.pandas_udf("string")
     def named(raw: pd.Series) -> pd.Series:
         return raw.map(lambda b: parse_xml_label(bytes(b).decode())["file"])
 
-    labels = files.where(F.lower("name").endswith(".xml")).select("path", F.col("content").alias("label"), named("content").alias("name"))
-    data = files.where(~F.lower("name").endswith(".xml")).select("name", "content")
+    labels = files.where(F.lower("name").endswith(".xml")).select("path", "folder", F.col("content").alias("label"), named("content").alias("name"))
+    data = files.where(~F.lower("name").endswith(".xml")).select("folder", "name", "content")
 
     def cells(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for name, label, raw in zip(part.path, part.label, part.content):
                 yield from _cells(name, xml_samples(bytes(raw), parse_xml_label(bytes(label).decode())))
 
-    return labels.join(data, "name").select("path", "label", "content").mapInPandas(cells, SCHEMA)
+    return labels.join(data, ["folder", "name"]).select("path", "label", "content").mapInPandas(cells, SCHEMA)
 
 
 def encode_cubes(cells: DataFrame, by: str = "tile", value: str = "value") -> DataFrame:

@@ -147,3 +147,59 @@ def test_wall_hides_what_lies_behind(spark):
     rows = [(r, c, 10.0 if c == 3 else 0.0) for r in range(3) for c in range(7)]
     got = {(r.row, r.col): r.visible for r in viewshed(spark.createDataFrame(rows, "row int, col int, z double"), 1, 0, 1.0).collect()}
     assert got[1, 2] == 1 and got[1, 3] == 1 and got[1, 5] == 0
+
+
+def test_labels_apart_from_their_data(spark, tmp_path):
+    """Attached and detached labels, a long label, data of one name in two folders, cubes beside them."""
+    import numpy as np
+
+    from gridlore.sources import pds, xml_images
+
+    x = np.arange(12, dtype="<i2")
+    image = {"IMAGE.LINES": 3, "IMAGE.LINE_SAMPLES": 4, "IMAGE.SAMPLE_BITS": 16, "IMAGE.SAMPLE_TYPE": "LSB_INTEGER"}
+    for folder, add in (("a", 0), ("b", 100)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "D.IMG").write_bytes(b"\0" * 8 + (x + add).astype("<i2").tobytes())
+        (tmp_path / folder / "d.lbl").write_text(pds.write_label({"RECORD_BYTES": 8, "^IMAGE": '("D.IMG", 2)', **image}))
+    note = "/* " + "long " * 300_000 + "*/"
+    head = pds.write_label({"RECORD_BYTES": 1, "NOTE": f'"{note}"', "^IMAGE": "2000000 <BYTES>", **image}).encode()
+    (tmp_path / "a" / "whole.img").write_bytes(head.ljust(1_999_999, b" ") + (x + 7).astype("<i2").tobytes())
+    got = {}
+    for r in pds.read_images(spark, f"{tmp_path}/*").collect():
+        got.setdefault("/".join(r.path.split("/")[-2:]), {})[r.row, r.col] = r.value
+    assert set(got) == {"a/d.lbl", "b/d.lbl", "a/whole.img"}
+    for name, add in (("a/d.lbl", 0), ("b/d.lbl", 100), ("a/whole.img", 7)):
+        assert got[name] == {(k // 4, k % 4): k + add for k in range(12)}
+    cells = spark.createDataFrame([(0, 0, 0, 1, 2.5)], "tile int, row int, col int, band int, value double")
+    (tmp_path / "a" / "c.cub").write_bytes(bytes(xml_images.encode_cubes(cells).first().content))
+    values = {r.path.rsplit("/", 1)[1]: r.value for r in pds.read_any(spark, f"{tmp_path}/a", 10.0).where("row = 0 and col = 0").collect()}
+    assert values == {"d.lbl": 0.0, "whole.img": 70.0, "c.cub": 25.0}
+
+
+def test_mosaic_takes_the_first_tile_with_data_and_fills(spark):
+    from gridlore.sources.dem import mosaic
+
+    rows = [(1, 0, 0, None), (1, 0, 1, 4.0), (2, 0, 0, 900.0), (2, 0, 1, 800.0), (2, 0, 2, None)]
+    t = spark.createDataFrame(rows, "tile int, row int, col int, z double")
+    assert {(r.row, r.col): r.z for r in mosaic(t).collect()} == {(0, 0): 900.0, (0, 1): 4000.0, (0, 2): None}
+    assert {(r.row, r.col): r.z for r in mosaic(t, fill=3).collect()}[0, 2] == 4000.0
+
+
+def test_clock_ticks_take_the_calibration_at_or_before(spark, monkeypatch):
+    from gridlore.functions import times
+
+    c = spark.createDataFrame([(0, 100.0, 1.0), (10, 200.0, 2.0), (20, 300.0, 0.5)], "tick0 long, et0 double, rate double")
+    t = spark.createDataFrame([(-1,), (0,), (9,), (10,), (15,), (20,), (1000,)], "tick long")
+    want = {0: 100.0, 9: 109.0, 10: 200.0, 15: 210.0, 20: 300.0, 1000: 790.0}
+    assert {r.tick: r.et for r in times.clock_to_et(t, c).collect()} == want
+    monkeypatch.setattr(times, "MOST_CALIBRATIONS", 1)
+    assert {r.tick: r.et for r in times.clock_to_et(t, c).collect()} == want
+
+
+def test_ages_at_fixed_densities(spark):
+    """Densities of craters of 1 km or more per km2 at known ages."""
+    from gridlore.functions.bodies import age_from_density
+
+    known = [(8.38e-4 + 5.44e-14 * (1022.49 - 1), 1.0), (2.933e-3 + 5.44e-14 * 3.4187e10, 3.5), (3.352e-3 + 5.44e-14 * 1.09299e12, 4.0)]
+    got = spark.createDataFrame(known, "n double, t double").select("t", age_from_density(F.col("n")).alias("age")).collect()
+    assert all(abs(r.age - r.t) < 1e-3 for r in got) and len(got) == 3
