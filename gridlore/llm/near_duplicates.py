@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import fresh, join_groups, release, ship, steady, stored, table
+from .common import fresh, join_groups, release, ship, steady, stored, table, trim
 from .components import components
 from .shingles import U, batches, mix, shingles, table_of, words
 
@@ -111,6 +111,7 @@ def document_frequencies(docs: DataFrame, text: str, width: int) -> tuple[np.nda
                 doc, ids, _, _ = weighted_sets(texts[a:b], width)
                 pair = np.unique((doc.astype(U) << U(18)) | (ids & U(BUCKETS - 1)))
                 seen += np.bincount((pair & U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+        trim()
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(seen[some], n))], ["bucket", "n"])
 
@@ -168,6 +169,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
                 flat = pa.array(keys.ravel().view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a) * BANDS + 1, BANDS, dtype=np.int32)), flat)
                 yield pa.RecordBatch.from_arrays([rows[a:b], part.column(1)[a:b], pa.array(digest, pa.binary()), lists, pa.array(sets, pa.binary())], ["row", "key", "node", "bands", "bag"])
+            trim()
 
     kind = docs.select(key).schema[0].dataType.simpleString()
     scan = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
@@ -221,6 +223,7 @@ def _confirm(pairs: DataFrame, bags: DataFrame, idf, similarity: float) -> DataF
                     last, left = a, unpacked(a, idf.value)
                 keep[i] = jaccard(left, unpacked(part.column(3)[i].as_buffer(), idf.value)) >= similarity
             yield part.filter(pa.array(keep)).select([0, 1])
+            trim()
 
     both = pairs.join(bags.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b").join(bags.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a")
     return both.select("a", "b", "bag_a", "bag_b").mapInArrow(check, "a binary, b binary")

@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import ship, stored, table
+from .common import ship, stored, table, trim
 
 TILE, STRIDE, WIDTH = 64, 4, 8
 PER_TILE = TILE // STRIDE
@@ -234,6 +234,7 @@ def score(docs: DataFrame, net: Net, text: str = "text", into: str = "score") ->
                     j += 1
                 out.append(probabilities(net, some))
                 i = j
+            trim()
             yield pd.Series(np.concatenate(out) if out else np.zeros(0))
 
     return docs.withColumn(into, probability(F.col(text)))
