@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -180,16 +181,16 @@ def suppress(candidates: DataFrame, threshold: float = 0.3) -> DataFrame:
     better = (F.col("a_confidence") > F.col("b_confidence")) | ((F.col("a_confidence") == F.col("b_confidence")) & (F.col("a_id") < F.col("b_id")))
     edges = overlapping(candidates, candidates, reach).where((F.col("a_id") != F.col("b_id")) & better & (F.col("iou") >= threshold))
     edges = stored(edges.select(F.col("a_id").alias("over"), F.col("b_id").alias("under"), F.col("a_method").alias("m1"), F.col("b_method").alias("m2")))
-    gone = edges.select("under").limit(0)
-    live = edges
+    gone, live = [], edges
     while True:  # each round beats one at least
         tops = live.select(F.col("over").alias("id")).distinct().join(live.select(F.col("under").alias("id")).distinct(), "id", "left_anti")
         beaten = stored(live.join(tops.withColumnRenamed("id", "over"), "over").select("under").distinct())
         if beaten.isEmpty():
             break
-        gone = stored(gone.union(beaten))
+        gone.append(beaten)
         live = stored(live.join(beaten, "under", "left_anti").join(beaten.withColumnRenamed("under", "over"), "over", "left_anti"))
-    kept = candidates.join(gone.select(F.col("under").alias("id")), "id", "left_anti")
+    lost = reduce(DataFrame.union, gone, edges.select("under").limit(0))
+    kept = candidates.join(lost.select(F.col("under").alias("id")), "id", "left_anti")
     first = edges.join(kept.select(F.col("id").alias("over")), "over").groupBy("under").agg(F.min_by(F.struct("over", "m1", "m2"), "over").alias("e")).select("e.*")
     extra = first.where("m1 != m2").groupBy(F.col("over").alias("id")).agg(F.count("*").alias("__n"))
     out = kept.join(extra, "id", "left")

@@ -7,6 +7,8 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from .connectivity import kept
+
 
 def radii(d_min: float, d_max: float, cell_m: float, rows: int, cols: int, scales: int = 8) -> list[float]:
     """Log-spaced radii in cells, at least 2 and at most what the grid holds."""
@@ -92,6 +94,98 @@ def pair_detections(dem: DataFrame, image: DataFrame, least: float = 0.3) -> Dat
     return both.join(groups, "a_id").groupBy("component").applyInPandas(settle, "dem_id long, image_id long, iou double")
 
 
+#: Fixed search of a refinement: positions on each axis, span of the centre and of the radius in radii.
+REFINE_STEPS, CENTRE_SPAN, RADIUS_SPAN = 7, 1 / 3, 0.15
+
+
+def refine(cells: DataFrame, candidates: DataFrame, azimuths: int = 16, z: str = "z", methods: tuple[str, ...] = ("dem", "merged")) -> DataFrame:
+    """candidates (id, cx, cy, radius in cells, method, ...) moved to the best rim near them.
+
+    A grid of centres and radii around each candidate is scored by the rim's height over the floor in units of the rim's deviation
+    plus a half; the best score wins, the place where it stands on a tie.  Other methods, radii below two cells, and candidates without
+    a rim stay.  Each candidate meets the tiles around it, whatever the size of the grid.
+    """
+    from .rays import BATCH_BYTES, extent, tiles
+
+    cells.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    box = extent(cells)
+    side = max(8, min(64, max(box[1] - box[0], box[3] - box[2]) + 1))
+    span = F.col("radius") * (1 + RADIUS_SPAN + CENTRE_SPAN) + 2
+    tiles_of = lambda c: F.sequence(F.floor((F.col(c) - span) / side).cast("int"), F.floor((F.col(c) + span) / side).cast("int"))
+    wanted = candidates.where(F.col("method").isin(*methods) & (F.col("radius") >= 2)).select("id", F.col("cx").alias("x0"), F.col("cy").alias("y0"), F.col("radius").alias("r0"), F.explode(tiles_of("cy")).alias("ty"), tiles_of("cx").alias("txs"))
+    near = wanted.withColumn("tx", F.explode("txs")).drop("txs").join(tiles(cells, side, z).select("ty", "tx", "z"), ["ty", "tx"])
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        first_y, first_x = pdf.ty.min(), pdf.tx.min()
+        grid = np.full(((pdf.ty.max() - first_y + 1) * side + 1, (pdf.tx.max() - first_x + 1) * side + 1), np.nan)
+        for ty, tx, raw in zip(pdf.ty, pdf.tx, pdf.z):
+            y, x = (ty - first_y) * side, (tx - first_x) * side
+            grid[y : y + side, x : x + side] = np.frombuffer(raw, float).reshape(side + 1, side + 1)[:side, :side]
+        x0, y0, r0 = (float(pdf[c].iloc[0]) for c in ("x0", "y0", "r0"))
+        step = np.linspace(-1, 1, REFINE_STEPS)
+        r, y, x = (g.ravel() for g in np.meshgrid(r0 * (1 + RADIUS_SPAN * step), y0 + r0 * CENTRE_SPAN * step, x0 + r0 * CENTRE_SPAN * step, indexing="ij"))
+        r, y, x = np.append(r0, r), np.append(y0, y), np.append(x0, x)  # where it stands comes first
+        around = 2 * np.pi * np.arange(azimuths) / azimuths
+
+        def ring(share: float):
+            py = y[:, None] + share * r[:, None] * np.sin(around) - first_y * side
+            px = x[:, None] + share * r[:, None] * np.cos(around) - first_x * side
+            iy, ix = np.floor(py).astype(int), np.floor(px).astype(int)
+            inside = (iy >= 0) & (ix >= 0) & (iy < grid.shape[0] - 1) & (ix < grid.shape[1] - 1)
+            iy, ix, fy, fx = np.where(inside, iy, 0), np.where(inside, ix, 0), py - iy, px - ix
+            v = (1 - fy) * ((1 - fx) * grid[iy, ix] + fx * grid[iy, ix + 1]) + fy * ((1 - fx) * grid[iy + 1, ix] + fx * grid[iy + 1, ix + 1])
+            return np.where(inside, v, np.nan)
+
+        rim, floor = ring(1.0), ring(0.5)
+        n_rim, n_floor = (~np.isnan(rim)).sum(1), (~np.isnan(floor)).sum(1)
+        total = lambda v: np.nansum(v, 1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            mean = total(rim) / n_rim
+            height = mean - total(floor) / n_floor
+            score = height / (np.sqrt(np.maximum(total(rim * rim) / n_rim - mean * mean, 0)) + 0.5)
+        score[(n_rim < azimuths // 2) | (n_floor < azimuths // 4) | (r < 2) | ~(height > 0)] = -np.inf
+        k = int(np.argmax(score))
+        return pd.DataFrame([(int(pdf.id.iloc[0]), x[k], y[k], r[k])], columns=["id", "__x", "__y", "__r"])
+
+    moved = near.groupBy("id").applyInPandas(search, "id long, __x double, __y double, __r double")
+    new = {"cx": "__x", "cy": "__y", "radius": "__r"}
+    return candidates.join(moved, "id", "left").select(*[F.coalesce(new[c], c).alias(c) if c in new else F.col(c) for c in candidates.columns])
+
+
+def draw(cells: DataFrame, rs: list[float], threshold: float = 0.3, image: DataFrame | None = None, sun_azimuth: float = 90.0, iou: float = 0.3, refined: bool = True, rings: bool = False, dd_map: DataFrame | None = None, dd_simple: float | None = None, body: str = "moon") -> DataFrame:
+    """id, cx, cy, radius (cells), confidence, method, n_methods, dD_simple, basin_id, ring_index: the chain of the detectors.
+
+    Candidates of the DEM (and of an image on the same grid) are suppressed by overlap, refined on the DEM, grouped into
+    concentric rings if asked for, and given a depth ratio: of dd_map (row, col, dd) at the centre if in (0, 0.5], else dd_simple,
+    else the body's.
+    """
+    from ..functions.bodies import CRATER_BODIES
+    from .craters import multi_rings, suppress
+
+    if dd_simple is not None and not 0 < dd_simple <= 0.5:
+        raise ValueError("a depth ratio lies in (0, 0.5]")
+    default = next((r[6] for r in CRATER_BODIES if r[0] == body.lower()), None)
+    if default is None:
+        raise ValueError(f"no body {body!r}")
+    found = dem_candidates(cells, rs, threshold=threshold).withColumn("method", F.lit("dem"))
+    if image is not None:
+        found = found.unionByName(image_candidates(image, rs, sun_azimuth, threshold).withColumn("method", F.lit("image")))
+    key = F.xxhash64("method", "row", "col", "r").bitwiseAND((1 << 62) - 1)
+    found = found.select(key.alias("id"), F.col("col").cast("double").alias("cx"), F.col("row").cast("double").alias("cy"), F.col("r").alias("radius"), "confidence", "method")
+    out = suppress(kept(found), iou)
+    if refined:
+        out = refine(cells, out)
+    out = multi_rings(kept(out)) if rings else out.withColumn("basin_id", F.lit(None).cast("long")).withColumn("ring_index", F.lit(None).cast("int"))
+    ratio = F.lit(dd_simple if dd_simple is not None else default)
+    if dd_map is not None:
+        at = dd_map.select(F.col("row").alias("__row"), F.col("col").alias("__col"), F.col("dd").alias("__dd"))
+        out = out.join(at, (F.floor(F.col("cy") + 0.5) == F.col("__row")) & (F.floor(F.col("cx") + 0.5) == F.col("__col")), "left")
+        ratio = F.when((F.col("__dd") > 0) & (F.col("__dd") <= 0.5), F.col("__dd")).otherwise(ratio)
+    return out.select("id", "cx", "cy", "radius", "confidence", "method", "n_methods", ratio.alias("dD_simple"), "basin_id", "ring_index")
+
+
 def shift_between(pair: DataFrame, by: str = "tile", a: str = "a", b: str = "b", window: bool = True) -> DataFrame:
     """by, drow, dcol, peak: the shift of b against a in each tile, by phase correlation with a parabola through the peak.
 

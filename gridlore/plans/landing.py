@@ -35,7 +35,7 @@ def stages(mission: Mission, azimuths: list[float], reach: int | None, sun: Data
 
     return [
         ("terrain", lambda g: focal.slope(g["dem"], m.cell_m, m.cell_m).select("row", "col", "slope").join(focal.roughness(g["dem"], 5).select("row", "col", "rms"), ["row", "col"])),
-        ("horizon", lambda g: focal.horizon(g["dem"], azimuths, m.cell_m, reach)),
+        ("horizon", lambda g: focal.horizon_arrays(g["dem"], azimuths, m.cell_m, reach)),
         ("illumination", lambda g: focal.illumination(g["dem"], g["horizon"], sun)),
         ("score", score),
         ("ranking", lambda g: decision.rank_regions(g["score"], m.quantile, m.min_km2, km2, "score").where(F.col("rank") <= m.top)),

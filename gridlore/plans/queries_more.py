@@ -26,6 +26,14 @@ def crater_detect_image(spark, sf):
     return detect.image_candidates(g, detect.radii(6, 16, 1.0, 40, 50, 4), 90.0, threshold=0.15)
 
 
+@query("crater_draw")
+def crater_draw(spark, sf):
+    """Both detectors, suppression, refinement and rings on one grid."""
+    g = cells_from_lineitem(spark, sf).select("row", "col", "z")
+    out = detect.draw(g, detect.radii(6, 16, 1.0, 40, 50, 4), 0.15, image=g, rings=True, dd_map=g.select("row", "col", (F.col("z") / 100).alias("dd")))
+    return out.select("id", *[F.round(c, 6).alias(c) for c in ("cx", "cy", "radius", "confidence", "dD_simple")], "method", "n_methods", "basin_id", "ring_index")
+
+
 @query("coregister_tiles")
 def coregister_tiles(spark, sf):
     """A grid against itself moved by two rows and three columns."""

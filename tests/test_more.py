@@ -203,3 +203,22 @@ def test_ages_at_fixed_densities(spark):
     known = [(8.38e-4 + 5.44e-14 * (1022.49 - 1), 1.0), (2.933e-3 + 5.44e-14 * 3.4187e10, 3.5), (3.352e-3 + 5.44e-14 * 1.09299e12, 4.0)]
     got = spark.createDataFrame(known, "n double, t double").select("t", age_from_density(F.col("n")).alias("age")).collect()
     assert all(abs(r.age - r.t) < 1e-3 for r in got) and len(got) == 3
+
+
+def test_refinement_finds_the_rim_and_the_chain_keeps_it(spark):
+    """A round wall off the detector's stride, over several tiles."""
+    from gridlore.operators import detect
+
+    r, c = np.indices((90, 80))
+    d = np.hypot(r - 45.0, c - 40.0)
+    z = 20.0 * np.exp(-((d - 20.0) ** 2) / 8)
+    g = spark.createDataFrame([(int(i), int(j), float(z[i, j])) for i, j in np.ndindex(z.shape)], "row int, col int, z double")
+    rows = [(1, 43.0, 42.0, 18.5, "dem"), (2, 43.0, 42.0, 18.5, "image"), (3, 5.0, 5.0, 1.5, "dem")]
+    got = {x.id: x for x in detect.refine(g, spark.createDataFrame(rows, "id long, cx double, cy double, radius double, method string")).collect()}
+    assert math.hypot(got[1].cx - 40, got[1].cy - 45) < 1.6 and abs(got[1].radius - 20) < 1.2
+    assert (got[2].cx, got[2].cy, got[2].radius) == (43.0, 42.0, 18.5) and got[3].radius == 1.5
+    dd = spark.createDataFrame([(int(k), int(j), 0.11) for k in range(30, 60) for j in range(25, 55)], "row int, col int, dd double")
+    best = detect.draw(g, [20.0], 0.3, dd_map=dd).orderBy("confidence", ascending=False).first()
+    assert math.hypot(best.cx - 40, best.cy - 45) < 2.5 and best.dD_simple == 0.11 and best.n_methods == 1
+    with pytest.raises(ValueError):
+        detect.draw(g, [17.0], body="nowhere")
