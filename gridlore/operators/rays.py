@@ -260,17 +260,23 @@ def sun_mask(cells: DataFrame, azimuth: float, elevation: float, ns_res: float =
         if 0 <= last_c - sx * side < side:
             src[:, last_c - sx * side + 1] = src[:, last_c - sx * side]
         row, col = np.arange(side) + ty * side - first_r, np.arange(side) + tx * side - first_c
+        holes, top, floor = bool(np.isnan(src[: max(0, last_r - sy * side + 1), : max(0, last_c - sx * side + 1)]).any()), np.nanmax(src, initial=-np.inf), np.nanmin(s["z0"], initial=np.inf)
         for d in steps:
+            if not holes and top <= floor + d * metres * tan:
+                continue  # neither stops a ray nor darkens a cell
             rc, cc = row + d * dr, col + d * dc
             r0, c0 = np.floor(rc).astype(int), np.floor(cc).astype(int)
             y, x = r0 + first_r - sy * side, c0 + first_c - sx * side
             # own cells whose sample lies in this tile
             here_r, here_c = np.flatnonzero((y >= 0) & (y < side)), np.flatnonzero((x >= 0) & (x < side))
-            if not len(here_r) or not len(here_c) or not s["on"].any():
+            if not len(here_r) or not len(here_c):
                 continue
             ta, tb = slice(here_r[0], here_r[-1] + 1), slice(here_c[0], here_c[-1] + 1)
             y, x, fr, fc = y[ta], x[tb], (rc - r0)[ta, None], (cc - c0)[None, tb]
-            pick = lambda i, j: src[np.ix_(y + i, x + j)]
+            if y[-1] - y[0] == len(y) - 1 and x[-1] - x[0] == len(x) - 1:
+                pick = lambda i, j: src[y[0] + i : y[-1] + i + 1, x[0] + j : x[-1] + j + 1]
+            else:  # rounding moved a line
+                pick = lambda i, j: src[np.ix_(y + i, x + j)]
             h = (1 - fr) * (1 - fc) * pick(0, 0) + (1 - fr) * fc * pick(0, 1) + fr * (1 - fc) * pick(1, 0) + fr * fc * pick(1, 1)
             beyond = (rc[ta, None] < 0) | (rc[ta, None] >= last_r - first_r + 1) | (cc[None, tb] < 0) | (cc[None, tb] >= last_c - first_c + 1)
             on = s["on"][ta, tb]
