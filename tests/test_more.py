@@ -222,3 +222,24 @@ def test_refinement_finds_the_rim_and_the_chain_keeps_it(spark):
     assert math.hypot(best.cx - 40, best.cy - 45) < 2.5 and best.dD_simple == 0.11 and best.n_methods == 1
     with pytest.raises(ValueError):
         detect.draw(g, [17.0], body="nowhere")
+
+
+def test_image_detector_finds_a_lit_ring(spark):
+    """Bright to the sun (east), dark on the other side, even within."""
+    from gridlore.operators import detect
+
+    r, c = np.indices((40, 40))
+    d, a = np.hypot(r - 21.0, c - 20.0), np.arctan2(-(r - 21.0), c - 20.0)
+    z = 100 + 50 * np.cos(a) * np.exp(-((d - 8.0) ** 2) / 3)
+    g = spark.createDataFrame([(int(i), int(j), float(z[i, j])) for i, j in np.ndindex(z.shape)], "row int, col int, z double")
+    best = detect.image_candidates(g, [8.0, 12.0], 90.0, 0.1).orderBy(F.desc("confidence")).first()
+    assert math.hypot(best.row - 21, best.col - 20) <= 2.5 and best.r == 8.0
+
+
+def test_kmeans_tells_groups_apart(spark):
+    from gridlore.operators import spectra
+
+    rng = np.random.default_rng(3)
+    rows = [(g * 20 + k, (np.eye(3)[g] * 50 + rng.normal(size=3)).tolist()) for g in range(3) for k in range(20)]
+    got = {r.id: r.label for r in spectra.kmeans(spark.createDataFrame(rows, "id int, b array<double>"), "b", 3).collect()}
+    assert [len({got[g * 20 + k] for k in range(20)}) for g in range(3)] == [1, 1, 1] and set(got.values()) == {1, 2, 3}
