@@ -139,7 +139,7 @@ def projection_equal_area(spark, sf):
     return back.select("p_partkey", F.round("c.lon", 6).alias("lon"), F.round("c.lat", 6).alias("lat"))
 
 
-@query("shape_ellipsoid_hit")
+@query("shape_ellipsoid_hit", f"SELECT p_partkey, round(acos(greatest(-1.0, least(1.0, nx / n))), 6) AS incidence, round(acos(greatest(-1.0, least(1.0, (nx * x + ny * y + nz * z) / n / v))), 6) AS emission, round(acos(greatest(-1.0, least(1.0, x / v))), 6) AS phase FROM (SELECT *, sqrt(nx * nx + ny * ny + nz * nz) AS n, sqrt(x * x + y * y + z * z) AS v FROM (SELECT *, x / 900.0 AS nx, y / 784.0 AS ny, z / 625.0 AS nz FROM (SELECT p_partkey, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z FROM {VEC})))")
 def shape_ellipsoid_hit(spark, sf):
     d = V.unit(V.sub(V.vec(0.0, 0.0, 0.0), F.col("v")))
     hit = V.ellipsoid_hit(V.scale(10.0, F.col("v")), d, 30.0, 28.0, 25.0)
