@@ -6,6 +6,7 @@ Vectors are arrays of three, matrices arrays of nine by rows, quaternions (w, x,
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -18,6 +19,11 @@ def _at(a: Column, i: int) -> Column:
     return F.element_at(a, i + 1)
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x computed once, however often f names it: expressions stay small where they build on each other."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -220,6 +226,122 @@ def equal_area_inverse(x: Column, y: Column, radius: float, lon0: float, lat0: f
     return F.struct(lon.alias("lon"), lat.alias("lat"))
 
 
-def ring_cylindrical(radius: Column, lon: Column, ring_radius: float, lon0: float) -> Column:
-    """struct<x, y> of a ring plane: x along longitude at ring_radius, y the radius beyond it."""
-    return F.struct((ring_radius * (lon - lon0)).alias("x"), (radius - ring_radius).alias("y"))
+def ring_cylindrical(radius: Column, lon: Column, ring_radius: float, lon0: float, clockwise: bool = False) -> Column:
+    """struct<x, y> of a ring plane: x along longitude at ring_radius, y the radius short of it; null for a radius of 0 or less."""
+    turn = -1.0 if clockwise else 1.0
+    return F.struct(F.when(radius > 0, turn * ring_radius * (lon - lon0)).alias("x"), F.when(radius > 0, ring_radius - radius).alias("y"))
+
+
+def ring_cylindrical_inverse(x: Column, y: Column, ring_radius: float, lon0_deg: float, clockwise: bool = False) -> Column:
+    """struct<radius, lon> (lon in degrees) of a position in a ring plane; null where the radius is 0 or less."""
+    turn = -1.0 if clockwise else 1.0
+    ahead = y < ring_radius
+    return F.struct(F.when(ahead, ring_radius - y).alias("radius"), F.when(ahead, lon0_deg + turn * F.degrees(x / ring_radius)).alias("lon"))
+
+
+# --- planes, lines, matrices ---------------------------------------------------------------------
+
+
+def plane(normal: Column, constant: Column | float) -> Column:
+    """struct<normal, constant> with a unit normal and a constant of 0 or more: the points x with normal . x = constant."""
+    k = constant if isinstance(constant, Column) else F.lit(float(constant))
+    given = F.struct(normal.alias("v"), k.alias("k"), norm(normal).alias("n"))
+    return once(given, lambda g: F.struct(scale(F.when(g["k"] < 0, -1.0).otherwise(1.0) / g["n"], g["v"]).alias("normal"), F.abs(g["k"] / g["n"]).alias("constant")))
+
+
+def plane_through(normal: Column, point: Column) -> Column:
+    return once(normal, lambda n: plane(n, dot(n, point)))
+
+
+def plane_spanned(point: Column, u: Column, v: Column) -> Column:
+    """The plane through a point along two directions."""
+    return plane_through(cross(u, v), point)
+
+
+def on_plane(p: Column, pl: Column) -> Column:
+    """The point of a plane nearest to p."""
+    return combine(1.0, p, pl["constant"] - dot(p, pl["normal"]), pl["normal"])
+
+
+def near_line(point: Column, direction: Column, p: Column) -> Column:
+    """struct<nearest, distance> of p and the line through a point."""
+    return once(add(point, project(sub(p, point), direction)), lambda foot: F.struct(foot.alias("nearest"), distance(foot, p).alias("distance")))
+
+
+def inverse(m: Column) -> Column:
+    """Inverse of a matrix by cofactors; null if it is singular."""
+
+    def by_cofactors(m: Column) -> Column:
+        r = [F.slice(m, k, 3) for k in (1, 4, 7)]
+        cofactors = F.concat(cross(r[1], r[2]), cross(r[2], r[0]), cross(r[0], r[1]))
+        return once(F.struct(cofactors.alias("c"), determinant(m).alias("d")), lambda x: F.when(x["d"] != 0, scale(1 / x["d"], transpose(x["c"]))))
+
+    return once(m, by_cofactors)
+
+
+def frame_of(a: Column, b: Column) -> Column:
+    """Matrix whose rows are a, the part of b across a, and their product: a right-handed frame."""
+    axes = F.struct(unit(a).alias("x"), unit(cross(a, b)).alias("z"))
+    return once(axes, lambda f: F.concat(f["x"], cross(f["z"], f["x"]), f["z"]))
+
+
+def _axis(m: Column) -> Column:
+    off = vec(_at(m, 7) - _at(m, 5), _at(m, 2) - _at(m, 6), _at(m, 3) - _at(m, 1))
+
+    def by(off: Column) -> Column:
+        # half a turn: the columns of (m + 1) / 2 are multiples of the axis, the longest is taken
+        spread = [vec(*[(_at(m, 3 * i + j) + float(i == j)) / 2 for i in range(3)]) for j in range(3)]
+        longest = F.when((_at(m, 0) >= _at(m, 4)) & (_at(m, 0) >= _at(m, 8)), spread[0]).when(_at(m, 4) >= _at(m, 8), spread[1]).otherwise(spread[2])
+        plain = F.when(norm(off) > 1e-12, off).when(trace(m) > 1, vec(0.0, 0.0, 1.0)).otherwise(longest)
+        return F.struct(once(plain, unit).alias("axis"), F.atan2(norm(off), trace(m) - 1).alias("angle"))
+
+    return once(off, by)
+
+
+def matrix_to_axis(m: Column) -> Column:
+    """struct<axis, angle> (0 to pi) of a rotation; the z axis for no rotation."""
+    return once(m, _axis)
+
+
+def axis_to_matrix(axis: Column, angle: Column) -> Column:
+    """Matrix that turns vectors about an axis by the right hand."""
+    columns = lambda u: F.concat(*[rotate_about(vec(*[float(i == j) for i in range(3)]), u, angle) for j in range(3)])
+    return once(once(axis, columns), transpose)
+
+
+def matrix_to_quaternion(m: Column) -> Column:
+    return once(matrix_to_axis(m), lambda r: F.concat(F.array(F.cos(r["angle"] / 2)), scale(F.sin(r["angle"] / 2), r["axis"])))
+
+
+# --- Jacobians: nine numbers by rows ------------------------------------------------------------
+
+
+def jacobian_lat(radius: Column, lon: Column, lat: Column) -> Column:
+    """Of rectangular by (radius, lon, lat)."""
+    cn, sn, ct, st = F.cos(lon), F.sin(lon), F.cos(lat), F.sin(lat)
+    return vec(cn * ct, -radius * sn * ct, -radius * cn * st, sn * ct, radius * cn * ct, -radius * sn * st, st, 0.0, radius * ct)
+
+
+def jacobian_cyl(r: Column, lon: Column, z: Column) -> Column:
+    """Of rectangular by (r, lon, z)."""
+    return vec(F.cos(lon), -r * F.sin(lon), 0.0, F.sin(lon), r * F.cos(lon), 0.0, 0.0, 0.0, 1.0)
+
+
+def jacobian_sph(r: Column, colat: Column, lon: Column) -> Column:
+    """Of rectangular by (r, colat, lon)."""
+    cn, sn, ct, st = F.cos(lon), F.sin(lon), F.cos(colat), F.sin(colat)
+    return vec(st * cn, r * ct * cn, -r * st * sn, st * sn, r * ct * sn, r * st * cn, ct, -r * st, 0.0)
+
+
+def jacobian_geo(lon: Column, lat: Column, alt: Column, re: float, f: float) -> Column:
+    """Of rectangular by geodetic (lon, lat, alt): both radii of curvature of the spheroid."""
+    e2 = f * (2 - f)
+    w = F.sqrt(1 - e2 * F.sin(lat) * F.sin(lat))
+    across, along = re / w + alt, re * (1 - e2) / (w * w * w) + alt
+    cn, sn, ct, st = F.cos(lon), F.sin(lon), F.cos(lat), F.sin(lat)
+    return vec(-across * ct * sn, -along * st * cn, ct * cn, across * ct * cn, -along * st * sn, ct * sn, 0.0, along * ct, st)
+
+
+def jacobian_from_rec(of_rec: Column) -> Column:
+    """Of the coordinates by rectangular: the inverse of a Jacobian above; null on the axis, where there is none."""
+    return inverse(of_rec)

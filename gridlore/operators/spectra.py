@@ -203,6 +203,32 @@ def thick_atmosphere(cells: DataFrame, window: str, reference: str, into: str) -
     return cells.crossJoin(F.broadcast(med)).withColumn(into, F.when(r != 0, F.col(window) * F.col("__med") / r)).drop("__med")
 
 
+def match_window(wavelength: float, windows: list[tuple[float, float]], tolerance: float) -> tuple[float, float] | None:
+    """Of windows (centre, reference wavelength) the nearest centre, the first of equals; None beyond the tolerance."""
+    best = min(windows, key=lambda w: abs(w[0] - wavelength), default=None)
+    return best if best and abs(best[0] - wavelength) <= tolerance else None
+
+
+def thick_windows(cells: DataFrame, wavelengths: dict[str, float], windows: list[tuple[float, float]], tolerance: float, suffix: str = "_cor") -> DataFrame:
+    """cells with each band column (name -> wavelength) corrected as by thick_atmosphere against the band nearest to its window's reference.
+
+    A band that is no window, or whose reference no band has within the tolerance, becomes null.  All medians are one aggregate.
+    """
+    names = list(wavelengths)
+    ratios = {}
+    for b in names:
+        w = match_window(wavelengths[b], windows, tolerance)
+        near = w and match_window(w[1], [(wavelengths[x], i) for i, x in enumerate(names)], tolerance)
+        if near:
+            ref = names[near[1]]
+            ratios[b] = F.when(F.col(ref) != 0, F.col(b) / F.col(ref))
+    out = cells
+    if ratios:
+        out = cells.crossJoin(F.broadcast(cells.agg(*[F.percentile(r, F.lit(0.5)).alias(f"__med_{b}") for b, r in ratios.items()])))  # one row
+    cols = [F.when(ratios[b] != 0, F.col(b) * F.col(f"__med_{b}") / ratios[b]) if b in ratios else F.lit(None).cast("double") for b in names]
+    return out.select(*cells.columns, *[c.alias(b + suffix) for b, c in zip(names, cols)])
+
+
 # --- components and clusters --------------------------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import functions as F
@@ -14,6 +15,11 @@ from . import ek_store, landing
 from .grid import CELLS_SQL, cells_from_lineitem
 
 
+#: The chronology, written out once more for the SQL: craters of 1 km or more per square km by the middle of an interval, and of one Ga.
+_DENSITY = "(5.44e-14 * (exp(6.93 * (lo + hi) / 2) - 1) + 8.38e-4 * (lo + hi) / 2)"
+_ONE_GA = 5.44e-14 * (math.exp(6.93) - 1) + 8.38e-4
+
+
 @query("crater_detect_dem")
 def crater_detect_dem(spark, sf):
     g = cells_from_lineitem(spark, sf).select("row", "col", "z")
@@ -81,12 +87,13 @@ def viewshed(spark, sf):
     return see(cells_from_lineitem(spark, sf), 10, 12, 2.0)
 
 
-@query("crater_age", "SELECT p_partkey, round(p_size / 11.0, 6) AS age FROM part")
+@query("crater_age", f"WITH RECURSIVE h AS (SELECT p_partkey, p_retailprice * 1e-5 AS n, 0.0::DOUBLE AS lo, 4.6::DOUBLE AS hi, 0 AS k FROM part UNION ALL SELECT p_partkey, n, CASE WHEN {_DENSITY} > n THEN lo ELSE (lo + hi) / 2 END, CASE WHEN {_DENSITY} > n THEN (lo + hi) / 2 ELSE hi END, k + 1 FROM h WHERE k < 50) SELECT p_partkey, round((lo + hi) / 2, 6) AS age, round(n / {_ONE_GA!r}, 6) AS linear FROM h WHERE k = 50")
 def crater_age(spark, sf):
-    """The chronology and back."""
-    from ..functions.bodies import age_from_density, chronology
+    """Ages of crater densities, by the chronology and by the linear ratio."""
+    from ..functions.bodies import age_from_density, age_from_ratio
 
-    return table(spark, sf, "part").select("p_partkey", F.round(age_from_density(chronology(F.col("p_size") / 11.0)), 6).alias("age"))
+    n = F.col("p_retailprice") * 1e-5
+    return table(spark, sf, "part").select("p_partkey", F.round(age_from_density(n), 6).alias("age"), F.round(age_from_ratio(n), 6).alias("linear"))
 
 
 _BODY_ROWS = ", ".join(f"('{n}', {a!r}::DOUBLE, {b!r}::DOUBLE, {c!r}::DOUBLE)" for n, _, a, b, c, *_rest in BODIES)

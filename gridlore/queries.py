@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .catalogue import ORACLES, QUERIES
-from .plans import queries_cells, queries_decision, queries_ek, queries_focal, queries_functions, queries_intervals, queries_more, queries_spectra  # noqa: F401
+from .plans import queries_cells, queries_decision, queries_ek, queries_focal, queries_functions, queries_intervals, queries_more, queries_shapes, queries_spectra  # noqa: F401
 
 FLAGSHIP = "ek_equi_join"
 
