@@ -49,13 +49,12 @@ def cross(a: Column, b: Column) -> Column:
 
 
 def norm(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
+    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
 
 
 def unit(a: Column) -> Column:
     """Unit vector; the zero vector stays."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, x / n).otherwise(0.0))
+    return once(F.struct(a.alias("v"), norm(a).alias("n")), lambda s: F.transform(s["v"], lambda x: F.when(s["n"] > 0, x / s["n"]).otherwise(0.0)))
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -63,11 +62,16 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def separation(a: Column, b: Column) -> Column:
-    """Angle between two vectors, exact near 0 and pi; 0 if either is zero."""
-    u, v = unit(a), unit(b)
-    same = 2 * F.asin(F.least(F.lit(1.0), norm(sub(u, v)) / 2))
-    other = math.pi - 2 * F.asin(F.least(F.lit(1.0), norm(add(u, v)) / 2))
-    return F.when((norm(a) == 0) | (norm(b) == 0), 0.0).when(dot(u, v) > 0, same).when(dot(u, v) < 0, other).otherwise(math.pi / 2)
+    """Angle between two vectors, exact near 0 and pi; 0 if either is zero, null if either is null."""
+
+    def between(s: Column) -> Column:
+        u, v = s["u"], s["v"]
+        same = 2 * F.asin(F.least(F.lit(1.0), norm(sub(u, v)) / 2))
+        other = math.pi - 2 * F.asin(F.least(F.lit(1.0), norm(add(u, v)) / 2))
+        angle = F.when((norm(u) == 0) | (norm(v) == 0), 0.0).when(dot(u, v) > 0, same).when(dot(u, v) < 0, other).otherwise(math.pi / 2)
+        return F.when(u.isNotNull() & v.isNotNull(), angle)
+
+    return once(F.struct(unit(a).alias("u"), unit(b).alias("v")), between)
 
 
 def project(a: Column, b: Column) -> Column:
@@ -191,12 +195,19 @@ def az_el_to_rec(r: Column, az: Column, el: Column) -> Column:
 def ellipsoid_hit(p: Column, d: Column, a: float, b: float, c: float) -> Column:
     """Nearest point ahead where the ray p + t d meets the ellipsoid, or null."""
     k = vec(1 / a, 1 / b, 1 / c)
-    ps, ds = F.zip_with(p, k, lambda x, y: x * y), F.zip_with(d, k, lambda x, y: x * y)
-    qa, qb, qc = dot(ds, ds), 2 * dot(ps, ds), dot(ps, ps) - 1
-    disc = qb * qb - 4 * qa * qc
-    near, far = (-qb - F.sqrt(disc)) / (2 * qa), (-qb + F.sqrt(disc)) / (2 * qa)
-    t = F.when(near > 1e-10, near).when(far > 1e-10, far)
-    return F.when((disc >= 0) & t.isNotNull(), add(p, scale(t, d)))
+    scaled = lambda x: F.zip_with(x, k, lambda u, v: u * v)
+
+    def terms(r: Column) -> Column:
+        sphere = F.struct(scaled(r["p"]).alias("p"), scaled(r["d"]).alias("d"))
+        return once(sphere, lambda s: F.struct(dot(s["d"], s["d"]).alias("a"), (2 * dot(s["p"], s["d"])).alias("b"), (dot(s["p"], s["p"]) - 1).alias("c")))
+
+    def roots(q: Column) -> Column:
+        disc = q["b"] * q["b"] - 4 * q["a"] * q["c"]
+        return once(F.when(disc >= 0, F.sqrt(disc)), lambda w: F.struct(((-q["b"] - w) / (2 * q["a"])).alias("near"), ((-q["b"] + w) / (2 * q["a"])).alias("far")))
+
+    first = lambda t: F.when(t["near"] > 1e-10, t["near"]).when(t["far"] > 1e-10, t["far"])
+    along = lambda r: once(once(once(terms(r), roots), first), lambda t: F.when(t.isNotNull(), add(r["p"], scale(t, r["d"]))))
+    return once(F.struct(p.alias("p"), d.alias("d")), along)
 
 
 def ellipsoid_normal(p: Column, a: float, b: float, c: float) -> Column:
@@ -226,6 +237,27 @@ def equal_area_inverse(x: Column, y: Column, radius: float, lon0: float, lat0: f
     return F.struct(lon.alias("lon"), lat.alias("lat"))
 
 
+def libration_equal_area(lon: Column, lat: Column, radius: float, libration: float) -> Column:
+    """struct<x, y>: the disk seen from the body's near side, widened so that its rim lies the libration beyond the limb.
+
+    The distance from the middle is radius * sin(E / p) for an angle E from the sub-observer point, with p = 1 + libration / (pi / 2).
+    """
+    p = 1 + libration / (math.pi / 2)
+    y, z = F.cos(lat) * F.sin(lon), F.sin(lat)
+    across = F.sqrt(y * y + z * z)
+    k = F.when(across > 0, radius * F.sin(F.atan2(across, F.cos(lat) * F.cos(lon)) / p) / across).otherwise(0.0)
+    return F.struct((k * y).alias("x"), (k * z).alias("y"))
+
+
+def libration_equal_area_inverse(x: Column, y: Column, radius: float, libration: float) -> Column:
+    """struct<lon, lat>; null beyond the rim."""
+    p = 1 + libration / (math.pi / 2)
+    rho = F.sqrt(x * x + y * y)
+    e = p * F.asin(rho / radius)
+    k = F.when(rho > 0, F.sin(e) / rho).otherwise(0.0)
+    return F.when(rho <= radius, F.struct(F.atan2(k * x, F.cos(e)).alias("lon"), F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), k * y))).alias("lat")))
+
+
 def ring_cylindrical(radius: Column, lon: Column, ring_radius: float, lon0: float, clockwise: bool = False) -> Column:
     """struct<x, y> of a ring plane: x along longitude at ring_radius, y the radius short of it; null for a radius of 0 or less."""
     turn = -1.0 if clockwise else 1.0

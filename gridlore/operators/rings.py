@@ -65,21 +65,28 @@ def pixel_at(radius: Column, lon: Column, g: Geometry) -> Column:
     return F.when(inside, x)
 
 
+def resample(at: DataFrame, image: DataFrame, lines: int, samples: int, z: str = "z") -> DataFrame:
+    """row, col, z of cells (row, col, x: struct<s, l> or null): the weighted mean of the four pixels around that hold data, null where none does.
+
+    Edges repeat.  One equality join on pixels (image: row = line, col = sample), partial sums back.
+    """
+    fs, fl = F.col("x.s") - F.floor("x.s"), F.col("x.l") - F.floor("x.l")
+    clip = lambda v, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor(v).cast("int")))
+    four = [F.struct(clip(F.col("x.l") + dl, lines).alias("l"), clip(F.col("x.s") + ds, samples).alias("s"), ((fs if ds else 1 - fs) * (fl if dl else 1 - fl)).alias("w")) for dl in (0, 1) for ds in (0, 1)]
+    asked = at.select("row", "col", F.explode_outer(F.when(F.col("x").isNotNull(), F.array(*four))).alias("q")).select("row", "col", "q.*")
+    pixels = image.where(F.col(z).isNotNull()).select(F.col("row").alias("l"), F.col("col").alias("s"), F.col(z).alias("__z"))
+    got = asked.join(pixels, ["l", "s"], "left").groupBy("row", "col").agg(F.sum(F.col("w") * F.col("__z")).alias("__v"), F.sum(F.when(F.col("__z").isNotNull(), F.col("w"))).alias("__w"))
+    return got.select("row", "col", F.when(F.col("__w") > 0, F.col("__v") / F.col("__w")).alias(z))
+
+
 def to_ring_map(spark: SparkSession, image: DataFrame, g: Geometry, region: Region, z: str = "z") -> DataFrame:
     """row, col, z of a map whose east is longitude and north is radius, from an image (row = line, col = sample).
 
-    Every map cell finds its pixel by the inverted geometry and takes the weighted mean of the four around it that
-    hold data; edges repeat.  Cells outside the image or without data are null.  One equality join on pixels.
+    Every map cell finds its pixel by the inverted geometry; cells outside the image or without data are null.
     """
     cells = spark.range(region.rows * region.cols).select(F.floor(F.col("id") / region.cols).cast("int").alias("row"), (F.col("id") % region.cols).cast("int").alias("col"))
     at = cells.select("row", "col", pixel_at(region.northing(F.col("row")), region.east(F.col("col")), g).alias("x"))
-    fs, fl = F.col("x.s") - F.floor("x.s"), F.col("x.l") - F.floor("x.l")
-    clip = lambda v, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor(v).cast("int")))
-    four = [F.struct(clip(F.col("x.l") + dl, g.lines).alias("l"), clip(F.col("x.s") + ds, g.samples).alias("s"), ((fs if ds else 1 - fs) * (fl if dl else 1 - fl)).alias("w")) for dl in (0, 1) for ds in (0, 1)]
-    asked = at.where(F.col("x").isNotNull()).select("row", "col", F.explode(F.array(*four)).alias("q"))
-    pixels = image.where(F.col(z).isNotNull()).select(F.col("row").alias("l"), F.col("col").alias("s"), F.col(z).alias("__z"))
-    got = asked.select("row", "col", "q.*").join(pixels, ["l", "s"]).groupBy("row", "col").agg(F.sum(F.col("w") * F.col("__z")).alias("__v"), F.sum("w").alias("__w"))
-    return cells.join(got, ["row", "col"], "left").select("row", "col", F.when(F.col("__w") > 0, F.col("__v") / F.col("__w")).alias(z))
+    return resample(at, image, g.lines, g.samples, z)
 
 
 def project(cells: DataFrame, region: Region, centre_radius: float, centre_lon: float = 0.0, clockwise: bool = False, inverse: bool = False, z: str = "z") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalogue import query, table
 from ..functions import vectors as V
-from ..operators import rings, shape, spectra as S
+from ..operators import cameras, rings, shape, spectra as S
 from .ek import ek_elements, ek_rows, ek_sql
 from .grid import CELLS_SQL, Region, cells_from_lineitem
 
@@ -69,6 +69,48 @@ def rings_project(spark, sf):
     return out.select("row", "col", "z", F.round("u", 6).alias("u"), "v")
 
 
+MAP = Region(40, 50, 38.1, 8.3, 1.5, 1.5)
+SUN, EYE = (0.8, 0.5, 0.2), (90.0, 55.0, 20.0)
+CAMERA = cameras.Camera(EYE, cameras.looking_at(EYE), 60.0, 0.4, 40, 50, k1=2e-4)
+#: x, y, z of the map's cells on the ellipsoid, and its normal times the squared axes' product left out.
+_POINTS = f"SELECT row, col, z AS value, lat, lon, r, r * cx AS x, r * cy AS y, r * cz AS z, r * cx / 676 AS nx, r * cy / 625 AS ny, r * cz / 576 AS nz FROM (SELECT *, 1 / sqrt(cx * cx / 676 + cy * cy / 625 + cz * cz / 576) AS r FROM (SELECT *, cos(radians(lat)) * cos(radians(lon)) AS cx, cos(radians(lat)) * sin(radians(lon)) AS cy, sin(radians(lat)) AS cz FROM (SELECT *, 38.1::DOUBLE - (row + 0.5::DOUBLE) * 1.5 AS lat, 8.3::DOUBLE + (col + 0.5::DOUBLE) * 1.5 AS lon FROM (CELLS))))"
+
+
+@query("camera_planes_map", f"SELECT row, col, round(lat, 6) AS lat, round(lon, 6) AS lon, round(r, 6) AS radius, round(degrees(acos((nx * 0.8 + ny * 0.5 + nz * 0.2) / n / sqrt(0.93))), 6) AS incidence, round(degrees(acos((nx * ex + ny * ey + nz * ez) / n / e)), 6) AS emission, round(degrees(acos((ex * 0.8 + ey * 0.5 + ez * 0.2) / e / sqrt(0.93))), 6) AS phase, round(e * 0.001, 6) AS resolution FROM (SELECT *, sqrt(nx * nx + ny * ny + nz * nz) AS n, sqrt(ex * ex + ey * ey + ez * ez) AS e FROM (SELECT *, 90 - x AS ex, 55 - y AS ey, 20 - z AS ez FROM ({_POINTS.replace('CELLS', CELLS_SQL)})))")
+def camera_planes_map(spark, sf):
+    """Latitude, longitude, radius, angles and resolution of a map's cells under one sun and one eye."""
+    out = cameras.map_planes(cells_from_lineitem(spark, sf).select("row", "col"), MAP, SUN, EYE, AXES, 0.001)
+    return out.select("row", "col", *[F.round(c, 6).alias(c) for c in out.columns[2:]])
+
+
+def _camera_sql() -> str:
+    r = CAMERA.rotation
+    u = [f"({r[k]!r} * (x - 90) + {r[3 + k]!r} * (y - 55) + {r[6 + k]!r} * (z - 20))" for k in range(3)]
+    grid = _POINTS.replace("CELLS", "SELECT r.range::INT AS row, c.range::INT AS col, 0.0 AS z FROM range(40) r, range(50) c")
+    x = f"SELECT row, col, ux, uy, ux AS dx, uy AS dy FROM (SELECT row, col, 60.0 * {u[0]} / {u[2]} AS ux, 60.0 * {u[1]} / {u[2]} AS uy FROM ({grid}) WHERE {u[2]} > 0 AND nx * (90 - x) + ny * (55 - y) + nz * (20 - z) > 0)"
+    for _ in range(cameras.STEPS):
+        x = f"SELECT row, col, ux, uy, ux / (1 + 2e-4 * (dx * dx + dy * dy)) AS dx, uy / (1 + 2e-4 * (dx * dx + dy * dy)) AS dy FROM ({x})"
+    x = f"SELECT row, col, 24.5 + dx / 0.4 AS s, 19.5 + dy / 0.4 AS l FROM ({x})"
+    four = f"SELECT row, col, least(39, greatest(0, floor(l) + dl))::INT AS pl, least(49, greatest(0, floor(s) + ds))::INT AS ps, abs(1 - ds - (s - floor(s))) * abs(1 - dl - (l - floor(l))) AS w FROM ({x}), (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(dl, ds) WHERE s BETWEEN -0.5 AND 49.5 AND l BETWEEN -0.5 AND 39.5"
+    return f"WITH v AS (SELECT q.row, q.col, sum(q.w * z) / nullif(sum(q.w), 0) AS z FROM ({four}) q JOIN ({CELLS_SQL}) g ON g.row = pl AND g.col = ps GROUP BY 1, 2) SELECT r.range::INT AS row, c.range::INT AS col, round(v.z, 6) AS z FROM range(40) r CROSS JOIN range(50) c LEFT JOIN v ON v.row = r.range AND v.col = c.range"
+
+
+@query("camera_to_map", _camera_sql())
+def camera_to_map(spark, sf):
+    """A distorted frame image brought to latitude and longitude."""
+    image = cells_from_lineitem(spark, sf).select("row", "col", "z")
+    return cameras.to_map(spark, image, CAMERA, MAP, AXES).select("row", "col", F.round("z", 6).alias("z"))
+
+
+@query("projection_libration", "SELECT c_custkey, round(1737.4 * sin(e / (1 + radians(8) / (pi() / 2))) * sin(lon) * cos(lat) / sin(e), 6) AS x, round(1737.4 * sin(e / (1 + radians(8) / (pi() / 2))) * sin(lat) / sin(e), 6) AS y, round(degrees(lon), 6) AS lon, round(degrees(lat), 6) AS lat FROM (SELECT *, acos(cos(lat) * cos(lon)) AS e FROM (SELECT c_custkey, radians(c_custkey % 190 - 95.3) AS lon, radians(c_custkey % 140 - 70.2) AS lat FROM customer))")
+def projection_libration(spark, sf):
+    """Positions on the widened near side, and back."""
+    c = table(spark, sf, "customer").select("c_custkey", F.radians(F.col("c_custkey") % 190 - 95.3).alias("lon"), F.radians(F.col("c_custkey") % 140 - 70.2).alias("lat"))
+    p = c.select("c_custkey", V.libration_equal_area(F.col("lon"), F.col("lat"), 1737.4, 8 * 3.141592653589793 / 180).alias("p"))
+    back = p.select("c_custkey", "p", V.libration_equal_area_inverse(F.col("p.x"), F.col("p.y"), 1737.4, 8 * 3.141592653589793 / 180).alias("g"))
+    return back.select("c_custkey", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"), F.round(F.degrees("g.lon"), 6).alias("lon"), F.round(F.degrees("g.lat"), 6).alias("lat"))
+
+
 _VEC = "(SELECT p_partkey, p_size + 0.0::DOUBLE AS x, p_retailprice / 100 AS y, CAST(p_partkey % 17 AS DOUBLE) - 8.0 AS z FROM part)"
 
 

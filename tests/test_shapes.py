@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridlore.functions import vectors as V
-from gridlore.operators import rings, shape, spectra
+from gridlore.operators import cameras, rings, shape, spectra
 from gridlore.plans.ek import ek_fetch, ek_rows, ek_sql
 from gridlore.plans.grid import Region
 from gridlore.sources import library
@@ -132,3 +132,39 @@ def test_entries_by_row_and_element(spark):
     assert ek_fetch(rows, "B", 0, 1) == (-19, False, True)
     assert ek_fetch(rows, "b", 1) == (None, True, True) and ek_fetch(rows, "A", 20) == (None, False, False)
     assert ek_rows(ek_sql(spark, "SELECT A FROM T WHERE A > 99", {"T": t})).count() == 0
+
+
+BALL = (10.0, 10.0, 10.0)
+CAMERA = cameras.Camera((100.0, 0.0, 0.0), cameras.looking_at((100.0, 0.0, 0.0)), 50.0, 0.5, 31, 41, k1=1e-4)
+
+
+def test_pixels_look_at_the_points_they_are_found_by(spark):
+    planes = cameras.camera_planes(spark, CAMERA, (1.0, 0.0, 0.0), BALL)
+    assert planes.count() == 31 * 41
+    middle = planes.where("row = 15 and col = 20").first()
+    assert (middle.lat, middle.radius, middle.emission, middle.incidence, middle.phase) == pytest.approx((0, 10, 0, 0, 0), abs=1e-6)
+    assert middle.resolution == pytest.approx(0.9)
+    assert planes.where("row = 0 and col = 0").first().lat is None
+    hit = planes.where("lat is not null")
+    back = hit.select("row", "col", cameras.pixel_of(shape.on_sphere(F.col("lat"), F.col("lon"), F.col("radius")), CAMERA).alias("x"))
+    assert back.where("x is null or abs(x.s - col) > 1e-6 or abs(x.l - row) > 1e-6").count() == 0
+    # north is up, east to the right
+    up, right = planes.where("row = 12 and col = 20").first(), planes.where("row = 15 and col = 23").first()
+    assert up.lat > 1 and 0 < right.lon < 90
+    s = cameras.camera_summary(planes).first()
+    assert s.pixels == 31 * 41 and s.on_body == hit.count() and s.least_lat == pytest.approx(-s.most_lat) and s.most_emission < 90
+
+
+def test_maps_show_what_the_camera_sees(spark):
+    image = spark.createDataFrame([(r, c, 7.0) for r in range(31) for c in range(41) if (r, c) != (15, 20)], "row int, col int, z double")
+    got = {(r.row, r.col): r.z for r in cameras.to_map(spark, image, CAMERA, Region(2, 4, 60.0, -180.0, 60.0, 90.0), BALL).collect()}
+    # columns are centred on longitudes -135, -45, 45 and 135: the far side is hidden
+    assert [got[0, c] for c in range(4)] == [None, pytest.approx(7.0), pytest.approx(7.0), None]
+    assert len(got) == 8
+    assert cameras.to_map(spark, image.limit(0), CAMERA, Region(2, 4, 60.0, -180.0, 60.0, 90.0), BALL).where("z is not null").count() == 0
+
+
+def test_the_widened_near_side(spark):
+    e = math.radians(8)
+    r = one(spark, V.libration_equal_area(F.lit(0.0), F.lit(0.0), 2.0, e), V.libration_equal_area(F.lit(math.pi / 2 + e), F.lit(0.0), 2.0, e), V.libration_equal_area_inverse(F.lit(2.1), F.lit(0.0), 2.0, e), V.libration_equal_area_inverse(F.lit(0.0), F.lit(0.0), 2.0, e))
+    assert (r.c0.x, r.c0.y) == (0, 0) and r.c1.x == pytest.approx(2.0) and r.c2 is None and (r.c3.lon, r.c3.lat) == (0, 0)
