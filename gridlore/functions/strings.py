@@ -29,18 +29,45 @@ def pos(s: Column, sub: str, start: int = 0) -> Column:
     return F.locate(sub, s, start + 1) - 1
 
 
-def pos_reverse(s: Column, sub: str) -> Column:
-    at = F.locate(sub[::-1], F.reverse(s))
-    return F.when(at > 0, F.length(s) - at - len(sub) + 1).otherwise(-1)
+def _until(s: Column, start: int | None) -> Column:
+    """s up to and with a place, as searches backward see it."""
+    return s if start is None else F.substring(s, 1, max(0, start + 1))
 
 
-def char_pos(s: Column, chars: str) -> Column:
-    """First place of any of chars."""
-    return F.regexp_instr(s, F.lit(f"[{re.escape(chars)}]")) - 1
+def pos_reverse(s: Column, sub: str, start: int | None = None) -> Column:
+    """Last place where sub begins, at start or before it."""
+    part = s if start is None else F.substring(s, 1, max(0, start + len(sub)))
+    at = F.locate(sub[::-1], F.reverse(part))
+    return F.when(at > 0, F.length(part) - at - len(sub) + 1).otherwise(-1)
 
 
-def not_char_pos(s: Column, chars: str) -> Column:
-    return F.regexp_instr(s, F.lit(f"[^{re.escape(chars)}]")) - 1
+def _first(s: Column, regex: str, start: int) -> Column:
+    at = F.regexp_instr(F.substring(s, F.lit(start + 1), F.length(s)), F.lit(regex))
+    return F.when(at > 0, at + start - 1).otherwise(F.when(s.isNotNull(), -1))
+
+
+def _last(s: Column, regex: str, start: int | None) -> Column:
+    part = _until(s, start)
+    at = F.regexp_instr(F.reverse(part), F.lit(regex))
+    return F.when(at > 0, F.length(part) - at).otherwise(F.when(s.isNotNull(), -1))
+
+
+def char_pos(s: Column, chars: str, start: int = 0) -> Column:
+    """First place of any of chars from start on."""
+    return _first(s, f"[{re.escape(chars)}]", start)
+
+
+def not_char_pos(s: Column, chars: str, start: int = 0) -> Column:
+    return _first(s, f"[^{re.escape(chars)}]", start)
+
+
+def char_pos_reverse(s: Column, chars: str, start: int | None = None) -> Column:
+    """Last place of any of chars, at start or before it."""
+    return _last(s, f"[{re.escape(chars)}]", start)
+
+
+def not_char_pos_reverse(s: Column, chars: str, start: int | None = None) -> Column:
+    return _last(s, f"[^{re.escape(chars)}]", start)
 
 
 def last_nonblank(s: Column) -> Column:
@@ -93,3 +120,76 @@ def number_at(s: Column) -> Column:
 
 def quoted_at(s: Column) -> Column:
     return F.regexp_extract(s, "^(\"(?:[^\"]|\"\")*\")", 1)
+
+
+def unsigned_at(s: Column) -> Column:
+    return F.regexp_extract(s, r"^\d+", 0)
+
+
+def integer_at(s: Column) -> Column:
+    return F.regexp_extract(s, r"^[-+]?\d+", 0)
+
+
+def decimal_at(s: Column) -> Column:
+    """The signed number without an exponent that the string starts with."""
+    return F.regexp_extract(s, r"^[-+]?(?:\d+\.?\d*|\.\d+)", 0)
+
+
+def next_word(s: Column) -> Column:
+    """struct<next, rest>: the first blank-separated word and what follows it, left-justified."""
+    return F.struct(F.regexp_extract(s, r"^\s*(\S*)", 1).alias("next"), F.regexp_extract(s, r"(?s)^\s*\S*\s*(.*)$", 1).alias("rest"))
+
+
+# Fixed words of numbers.
+ONES = "ZERO ONE TWO THREE FOUR FIVE SIX SEVEN EIGHT NINE TEN ELEVEN TWELVE THIRTEEN FOURTEEN FIFTEEN SIXTEEN SEVENTEEN EIGHTEEN NINETEEN".split()
+TENS = "ZERO TEN TWENTY THIRTY FORTY FIFTY SIXTY SEVENTY EIGHTY NINETY".split()
+POWERS = [(10**9, "BILLION"), (10**6, "MILLION"), (10**3, "THOUSAND"), (1, None)]
+ORDINALS = {"ONE": "FIRST", "TWO": "SECOND", "THREE": "THIRD", "FIVE": "FIFTH", "EIGHT": "EIGHTH", "NINE": "NINTH", "TWELVE": "TWELFTH"}
+
+
+def cardinal(n: Column) -> Column:
+    """A whole number below 10^12 in size in English words."""
+    ones, tens = (F.array(*[F.lit(w) for w in words]) for words in (ONES, TENS))
+
+    def hundreds(k: Column) -> Column:
+        r = k % 100
+        pair = F.when(r < 20, F.get(ones, r.cast("int"))).otherwise(F.concat_ws("-", F.get(tens, F.floor(r / 10).cast("int")), F.when(r % 10 > 0, F.get(ones, (r % 10).cast("int")))))
+        return F.concat_ws(" ", F.when(k >= 100, F.concat(F.get(ones, F.floor(k / 100).cast("int")), F.lit(" HUNDRED"))), F.when(r > 0, pair))
+
+    size = F.abs(n.cast("long"))
+    part = lambda p: F.floor(size / p) % 1000
+    groups = [F.when(part(p) > 0, F.concat_ws(" ", hundreds(part(p)), F.lit(word))) for p, word in POWERS]
+    return F.when(n == 0, ONES[0]).when(n.isNotNull(), F.concat_ws(" ", F.when(n < 0, F.lit("NEGATIVE")), *groups))
+
+
+def ordinal_text(n: Column) -> Column:
+    """The ordinal of a whole number: its last word changes."""
+    words = cardinal(n)
+    last = F.regexp_extract(words, "([A-Z]+)$", 1)
+    odd = F.lit(None).cast("string")
+    for plain, changed in ORDINALS.items():
+        odd = F.when(last == plain, changed).otherwise(odd)
+    ending = F.coalesce(odd, F.when(last.endswith("TY"), F.regexp_replace(last, "TY$", "TIETH")).otherwise(F.concat(last, F.lit("TH"))))
+    return F.concat(F.regexp_replace(words, "[A-Z]+$", ""), ending)
+
+
+def in_case(s: Column, case: str) -> Column:
+    """U: upper, L: lower, C: a capital first."""
+    return {"U": F.upper(s), "L": F.lower(s), "C": F.concat(F.upper(F.substring(s, 1, 1)), F.lower(F.substring(s, F.lit(2), F.length(s))))}[case]
+
+
+def replace_cardinal(s: Column, marker: str, n: Column, case: str = "U") -> Column:
+    return replace_marker(s, marker, in_case(cardinal(n), case))
+
+
+def replace_ordinal(s: Column, marker: str, n: Column, case: str = "U") -> Column:
+    return replace_marker(s, marker, in_case(ordinal_text(n), case))
+
+
+def replace_number(s: Column, marker: str, x: Column, digits: int, form: str = "E") -> Column:
+    """The marker replaced by a number with so many significant digits (E) or so many after the point (F)."""
+    return replace_marker(s, marker, F.format_string(f"%.{digits - 1}E" if form == "E" else f"%.{digits}f", x.cast("double")))
+
+
+def replace_logical(s: Column, marker: str, b: Column, case: str = "U") -> Column:
+    return replace_marker(s, marker, in_case(b.cast("string"), case))

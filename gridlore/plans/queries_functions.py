@@ -78,6 +78,31 @@ def str_parse_numbers(spark, sf):
     return table(spark, sf, "part").select("p_partkey", S.parse_double(F.col("p_brand")).alias("bad"), S.parse_int(F.col("p_size").cast("string")).alias("good"))
 
 
+def _words_sql(n: str) -> str:
+    ones, tens = (str(w) for w in (S.ONES, S.TENS))
+    groups = []
+    for p, word in S.POWERS:
+        k = f"(({n}) // {p} % 1000)"
+        pair = f"CASE WHEN {k} % 100 = 0 THEN NULL WHEN {k} % 100 < 20 THEN {ones}[{k} % 100 + 1] WHEN {k} % 10 = 0 THEN {tens}[{k} % 100 // 10 + 1] ELSE {tens}[{k} % 100 // 10 + 1] || '-' || {ones}[{k} % 10 + 1] END"
+        groups.append(f"CASE WHEN {k} > 0 THEN concat_ws(' ', CASE WHEN {k} >= 100 THEN {ones}[{k} // 100 + 1] || ' HUNDRED' END, {pair}, {f"'{word}'" if word else 'NULL'}) END")
+    return f"CASE WHEN ({n}) = 0 THEN 'ZERO' ELSE concat_ws(' ', {', '.join(groups)}) END"
+
+
+_ORDINAL_SQL = "CASE " + " ".join(f"WHEN last = '{a}' THEN '{b}'" for a, b in S.ORDINALS.items()) + " WHEN last LIKE '%TY' THEN left(last, length(last) - 1) || 'IETH' ELSE last || 'TH' END"
+
+
+@query("str_number_words", f"SELECT o_orderkey, 'order ' || lower(w) || '!' AS cardinal, regexp_replace(w, '[A-Z]+$', '') || {_ORDINAL_SQL} AS ordinal FROM (SELECT *, regexp_extract(w, '([A-Z]+)$', 1) AS last FROM (SELECT o_orderkey, {_words_sql('o_orderkey * 7919')} AS w FROM orders))")
+def str_number_words(spark, sf):
+    n = F.col("o_orderkey") * 7919
+    return table(spark, sf, "orders").select("o_orderkey", S.replace_cardinal(F.lit("order #!"), "#", n, "L").alias("cardinal"), S.ordinal_text(n).alias("ordinal"))
+
+
+@query("str_scan", "SELECT page_id, CAST(coalesce(nullif(instr(substring(url, 4), '/'), 0) + 2, -1) AS INT) AS slash, CASE WHEN regexp_matches(url, '[.:]') THEN CAST(length(url) - length(regexp_extract(url, '[^.:]*$')) - 1 AS INT) ELSE -1 END AS mark, regexp_extract(reverse(url), '^[0-9]+') AS digits, regexp_extract(replace(url, '/', ' '), '^ *([^ ]*) *(.*)$', 2) AS rest FROM pages")
+def str_scan(spark, sf):
+    u = F.col("url")
+    return table(spark, sf, "pages").select("page_id", S.char_pos(u, "/", 3).alias("slash"), S.char_pos_reverse(u, ".:").alias("mark"), S.unsigned_at(F.reverse(u)).alias("digits"), S.next_word(F.replace(u, F.lit("/"), F.lit(" ")))["rest"].alias("rest"))
+
+
 @query("time_et", "SELECT event_id, round(epoch(ts) - 946728000, 3) AS utc, round(epoch(ts) - 946728000 + 37 + 32.184, 2) AS et, round((epoch(ts) - 946728000) / 86400 + 2451545.0, 4) AS jd FROM events WHERE ts >= TIMESTAMP '2017-01-01'")
 def time_et(spark, sf):
     ts = F.col("ts").cast("timestamp")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridlore.functions import vectors as V
+from gridlore.functions import strings as S, vectors as V
 from gridlore.operators import cameras, rings, shape, spectra
 from gridlore.plans.ek import ek_fetch, ek_rows, ek_sql
 from gridlore.plans.grid import Region
@@ -168,3 +168,15 @@ def test_the_widened_near_side(spark):
     e = math.radians(8)
     r = one(spark, V.libration_equal_area(F.lit(0.0), F.lit(0.0), 2.0, e), V.libration_equal_area(F.lit(math.pi / 2 + e), F.lit(0.0), 2.0, e), V.libration_equal_area_inverse(F.lit(2.1), F.lit(0.0), 2.0, e), V.libration_equal_area_inverse(F.lit(0.0), F.lit(0.0), 2.0, e))
     assert (r.c0.x, r.c0.y) == (0, 0) and r.c1.x == pytest.approx(2.0) and r.c2 is None and (r.c3.lon, r.c3.lat) == (0, 0)
+
+
+def test_numbers_in_words_and_places_from_the_end(spark):
+    cases = {0: ("ZERO", "ZEROTH"), 12: ("TWELVE", "TWELFTH"), -21: ("NEGATIVE TWENTY-ONE", "NEGATIVE TWENTY-FIRST"), 340: ("THREE HUNDRED FORTY", "THREE HUNDRED FORTIETH"), 1000: ("ONE THOUSAND", "ONE THOUSANDTH"), 7000100005: ("SEVEN BILLION ONE HUNDRED THOUSAND FIVE", "SEVEN BILLION ONE HUNDRED THOUSAND FIFTH")}
+    for n, want in cases.items():
+        r = one(spark, S.cardinal(F.lit(n)), S.ordinal_text(F.lit(n)))
+        assert (r.c0, r.c1) == want
+    t = F.lit("BOB, JOHN")
+    r = one(spark, S.char_pos(t, "BO", 1), S.char_pos(t, "X"), S.char_pos_reverse(t, "O", 5), S.not_char_pos_reverse(t, "JOHN "), S.pos_reverse(t, "OB", 0), S.pos_reverse(t, "O"), S.not_char_pos(t, "BO"))
+    assert list(r) == [1, -1, 1, 3, -1, 6, 3]
+    r = one(spark, S.replace_number(F.lit("x=#"), "#", F.lit(1234.5), 3), S.replace_number(F.lit("x=#"), "#", F.lit(1234.5), 2, "F"), S.replace_logical(F.lit("#"), "#", F.lit(True), "C"), S.next_word(F.lit("  now is  it ")), S.decimal_at(F.lit("-1.5E3")), S.integer_at(F.lit("+7.1")), S.cardinal(F.lit(None).cast("long")))
+    assert (r.c0, r.c1, r.c2, tuple(r.c3), r.c4, r.c5, r.c6) == ("x=1.23E+03", "x=1234.50", "True", ("now", "is  it "), "-1.5", "+7", None)
