@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, functions as F
 
 from ..plans.ek import template
+from .vectors import once
 
 
 def match(s: Column, pattern: str, any_string: str = "*", one_char: str = "%", ignore_case: bool = True) -> Column:
@@ -158,24 +159,26 @@ def cardinal(n: Column) -> Column:
 
     size = F.abs(n.cast("long"))
     part = lambda p: F.floor(size / p) % 1000
-    groups = [F.when(part(p) > 0, F.concat_ws(" ", hundreds(part(p)), F.lit(word))) for p, word in POWERS]
+    named = lambda word: lambda k: F.when(k > 0, F.concat_ws(" ", hundreds(k), F.lit(word)))
+    groups = [once(part(p), named(word)) for p, word in POWERS]
     return F.when(n == 0, ONES[0]).when(n.isNotNull(), F.concat_ws(" ", F.when(n < 0, F.lit("NEGATIVE")), *groups))
 
 
 def ordinal_text(n: Column) -> Column:
     """The ordinal of a whole number: its last word changes."""
-    words = cardinal(n)
-    last = F.regexp_extract(words, "([A-Z]+)$", 1)
-    odd = F.lit(None).cast("string")
+    return once(cardinal(n), lambda words: F.concat(F.regexp_replace(words, "[A-Z]+$", ""), once(F.regexp_extract(words, "([A-Z]+)$", 1), _ordinal)))
+
+
+def _ordinal(last: Column) -> Column:
+    out = F.when(last.endswith("TY"), F.regexp_replace(last, "TY$", "TIETH")).otherwise(F.concat(last, F.lit("TH")))
     for plain, changed in ORDINALS.items():
-        odd = F.when(last == plain, changed).otherwise(odd)
-    ending = F.coalesce(odd, F.when(last.endswith("TY"), F.regexp_replace(last, "TY$", "TIETH")).otherwise(F.concat(last, F.lit("TH"))))
-    return F.concat(F.regexp_replace(words, "[A-Z]+$", ""), ending)
+        out = F.when(last == plain, changed).otherwise(out)
+    return out
 
 
 def in_case(s: Column, case: str) -> Column:
     """U: upper, L: lower, C: a capital first."""
-    return {"U": F.upper(s), "L": F.lower(s), "C": F.concat(F.upper(F.substring(s, 1, 1)), F.lower(F.substring(s, F.lit(2), F.length(s))))}[case]
+    return {"U": F.upper(s), "L": F.lower(s), "C": once(s, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, F.lit(2), F.length(x)))))}[case]
 
 
 def replace_cardinal(s: Column, marker: str, n: Column, case: str = "U") -> Column:
