@@ -154,19 +154,60 @@ def disk_overlap(d: Column, r1: Column, r2: Column) -> Column:
     return inter / (math.pi * (r1 * r1 + r2 * r2) - inter)
 
 
-def overlapping(a: DataFrame, b: DataFrame, reach: float) -> DataFrame:
-    """Pairs (a_, b_ columns) of disks whose IoU is positive.  reach: at least twice the largest radius.
+#: Equal disks travel as blocks of so many rows at most.
+BLOCK = 256
+
+
+def _disk() -> Column:
+    """Whether a row is a disk that can overlap anything: a centre, and a radius above nothing."""
+    finite = reduce(lambda x, y: x & y, [F.abs(F.col(c)) < math.inf for c in ("cx", "cy", "radius")])
+    return F.coalesce(finite & (F.col("radius") > 0), F.lit(False))
+
+
+def _meeting(a: DataFrame, b: DataFrame, reach: float) -> DataFrame:
+    """Pairs (a_, b_ columns) with the distance d of their centres; none at reach or nearer is missing.
 
     Both sides are binned by reach; a looks into the nine bins around its own, so the join is an
     equality on bins, not a product.
     """
-    bin_of = lambda c: F.floor(F.col(c) / reach).cast("int")
+    bin_of = lambda c: F.floor(F.col(c) / reach)
     around = F.sequence(F.lit(-1), F.lit(1))
     left = a.select(*[F.col(c).alias(f"a_{c}") for c in a.columns], bin_of("cx").alias("__x"), bin_of("cy").alias("__y"))
     left = left.withColumn("__dx", F.explode(around)).withColumn("__dy", F.explode(around)).withColumn("__x", F.col("__x") + F.col("__dx")).withColumn("__y", F.col("__y") + F.col("__dy"))
     right = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns], bin_of("cx").alias("__x"), bin_of("cy").alias("__y"))
     d = F.sqrt((F.col("a_cx") - F.col("b_cx")) ** 2 + (F.col("a_cy") - F.col("b_cy")) ** 2)
-    return left.join(right, ["__x", "__y"]).withColumn("iou", disk_overlap(d, F.col("a_radius"), F.col("b_radius"))).where("iou > 0").drop("__x", "__y", "__dx", "__dy")
+    # as a generated column d is worked out once; else each of the many places that name it would hold its expression, too much code to compile
+    return left.join(right, ["__x", "__y"]).withColumn("d", F.explode(F.array(d))).drop("__x", "__y", "__dx", "__dy")
+
+
+def _blocks(disks: DataFrame) -> DataFrame:
+    """cx, cy, radius, rows: the other columns of up to BLOCK rows with that very disk."""
+    at = ["cx", "cy", "radius"]
+    rest = [c for c in disks.columns if c not in at]
+    number = F.row_number().over(Window.partitionBy(*at).orderBy(*rest)) if rest else F.lit(0)
+    numbered = disks.where(_disk()).withColumn("__block", F.floor((number - 1) / BLOCK))
+    return numbered.groupBy(*at, "__block").agg(F.collect_list(F.struct(*rest)).alias("rows")).drop("__block")
+
+
+def overlapping_blocks(a: DataFrame, b: DataFrame, reach: float) -> DataFrame:
+    """Pairs (a_, b_: cx, cy, radius, rows) of blocks of equal disks whose IoU is positive, with iou.  reach: at least twice the largest radius."""
+    touching = _meeting(_blocks(a), _blocks(b), reach).where(F.col("d") < F.col("a_radius") + F.col("b_radius"))  # a cheap test before a dear one
+    return touching.withColumn("iou", disk_overlap(F.col("d"), F.col("a_radius"), F.col("b_radius"))).where("iou > 0").drop("d")
+
+
+def block_rows(pairs: DataFrame) -> DataFrame:
+    """All pairs of rows of the pairs of blocks."""
+    each = pairs.withColumn("a_rows", F.explode("a_rows")).withColumn("b_rows", F.explode("b_rows"))
+    fields = [F.col(f"{side}_rows.{f.name}").alias(f"{side}_{f.name}") for side in "ab" for f in each.schema[f"{side}_rows"].dataType.fields]
+    return each.select(*[c for c in each.columns if c not in ("a_rows", "b_rows")], *fields)
+
+
+def overlapping(a: DataFrame, b: DataFrame, reach: float) -> DataFrame:
+    """Pairs (a_, b_ columns) of disks whose IoU is positive.  reach: at least twice the largest radius.
+
+    Equal disks overlap alike, so overlaps are worked out between blocks of them and then told to all their rows.
+    """
+    return block_rows(overlapping_blocks(a, b, reach)).select(*[f"a_{c}" for c in a.columns], *[f"b_{c}" for c in b.columns], "iou")
 
 
 def suppress(candidates: DataFrame, threshold: float = 0.3) -> DataFrame:

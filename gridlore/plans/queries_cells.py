@@ -367,5 +367,6 @@ def crater_multi_ring(spark, sf):
 
 @query("crater_overlap_pairs", f"SELECT a AS a_id, b AS b_id, round(iou, 6) AS iou FROM {OVERLAPS} WHERE a < b AND iou > 0")
 def crater_overlap_pairs(spark, sf):
-    c = _candidates(spark, sf)
-    return craters.overlapping(c, c, 80.0).where("a_id < b_id").select("a_id", "b_id", F.round("iou", 6).alias("iou"))
+    c = _candidates(spark, sf).select("id", "cx", "cy", "radius")
+    pairs = craters.overlapping_blocks(c, c, 80.0).withColumn("iou", F.round("iou", 6))  # once for all rows of two blocks
+    return craters.block_rows(pairs).where("a_id < b_id").select("a_id", "b_id", "iou")

@@ -205,6 +205,19 @@ def test_multi_rings(spark):
     assert got == {1: (1, 1), 2: (1, 2), 3: (None, None), 4: (None, None)}
 
 
+def test_overlaps_of_equal_disks_are_worked_out_once(spark):
+    at = [(0.0, 0.0, 10.0), (5.0, 0.0, 8.0), (30.0, 0.0, 2.0)]
+    rows = [(k, *at[k % 2]) for k in range(600)] + [(600, *at[2]), (601, None, 0.0, 5.0), (602, 0.0, 0.0, 0.0)]
+    c = spark.createDataFrame(rows, "id long, cx double, cy double, radius double")
+    blocks = craters.overlapping_blocks(c, c, 20.0)
+    assert blocks.count() == 4 * 4 + 1  # 300 rows of a disk are two blocks
+    got = craters.overlapping(c, c, 20.0)
+    assert got.columns == [f"{s}_{x}" for s in "ab" for x in c.columns] + ["iou"]
+    want = {(a, b): 1.0 if a % 2 == b % 2 else 0.455391 for a in range(600) for b in range(600)} | {(600, 600): 1.0}
+    assert {(r.a_id, r.b_id): round(r.iou, 6) for r in got.collect()} == want
+    assert [tuple(r) for r in got.where("a_id = 3 and b_id = 4").select("a_cx", "a_radius", "b_cx", "b_radius").collect()] == [(5.0, 8.0, 0.0, 10.0)]
+
+
 def test_polygon_area(spark):
     ring = spark.sql("select array(named_struct('x',0.0D,'y',0.0D),named_struct('x',2.0D,'y',0.0D),named_struct('x',2.0D,'y',1.0D),named_struct('x',0.0D,'y',1.0D)) r")
     assert ring.select(craters.polygon_area(F.col("r"))).first()[0] == 2.0
