@@ -211,17 +211,23 @@ def overlapping(a: DataFrame, b: DataFrame, reach: float) -> DataFrame:
 
 
 def suppress(candidates: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """Non-maximum suppression: by falling confidence (ties by id), a candidate goes if a kept one overlaps it by threshold or more.
+    """Non-maximum suppression: by falling confidence (ties by id, null last), a candidate goes if a kept one overlaps it by threshold or more.
 
     candidates: id, cx, cy, radius, confidence, method.  Adds n_methods; a kept candidate whose
-    suppressed ones came by another method becomes ``merged``.  A candidate is decided once all
-    stronger overlapping ones are, so each round settles all local maxima at once; the loop works
-    on the overlap edges only.
+    suppressed ones came by another method becomes ``merged``.  Of equal disks only the strongest
+    can stay, and what beats it beats them all, so the strongest alone are held against each other.
+    One is decided once all stronger overlapping ones are, so each round settles all local maxima
+    at once; the loop works on the overlap edges only.
     """
-    reach = 2 * (candidates.agg(F.max("radius")).first()[0] or 1.0)
-    better = (F.col("a_confidence") > F.col("b_confidence")) | ((F.col("a_confidence") == F.col("b_confidence")) & (F.col("a_id") < F.col("b_id")))
-    edges = overlapping(candidates, candidates, reach).where((F.col("a_id") != F.col("b_id")) & better & (F.col("iou") >= threshold))
-    edges = stored(edges.select(F.col("a_id").alias("over"), F.col("b_id").alias("under"), F.col("a_method").alias("m1"), F.col("b_method").alias("m2")))
+    weak = F.coalesce(F.when(F.isnan("confidence"), -math.inf).otherwise(-F.col("confidence").cast("double")), F.lit(math.inf))
+    # a disk that by rounding doesn't overlap its equals by threshold stands for itself
+    alone = F.when(~(disk_overlap(F.lit(0.0), F.col("radius"), F.col("radius")) >= threshold), F.col("id"))
+    each = candidates.where(_disk()).select("cx", "cy", "radius", "id", "method", weak.alias("weak"), alone.alias("alone"))
+    best = stored(each.groupBy("cx", "cy", "radius", "alone").agg(F.min(F.struct("weak", "id", "method")).alias("best")).select("cx", "cy", "radius", "best.*"))
+    reach = 2 * (best.agg(F.max("radius")).first()[0] or 1.0)
+    better = (F.col("iou") >= threshold) & (F.struct("a_weak", "a_id") < F.struct("b_weak", "b_id"))
+    ranked = best.drop("method")
+    edges = stored(overlapping(ranked, ranked, reach).where(better).select(F.col("a_id").alias("over"), F.col("b_id").alias("under")))
     gone, live = [], edges
     while True:  # each round beats one at least
         tops = live.select(F.col("over").alias("id")).distinct().join(live.select(F.col("under").alias("id")).distinct(), "id", "left_anti")
@@ -231,8 +237,11 @@ def suppress(candidates: DataFrame, threshold: float = 0.3) -> DataFrame:
         gone.append(beaten)
         live = stored(live.join(beaten, "under", "left_anti").join(beaten.withColumnRenamed("under", "over"), "over", "left_anti"))
     lost = reduce(DataFrame.union, gone, edges.select("under").limit(0))
-    kept = candidates.join(lost.select(F.col("under").alias("id")), "id", "left_anti")
-    first = edges.join(kept.select(F.col("id").alias("over")), "over").groupBy("under").agg(F.min_by(F.struct("over", "m1", "m2"), "over").alias("e")).select("e.*")
+    top = stored(best.join(lost.select(F.col("under").alias("id")), "id", "left_anti"))
+    kept = candidates.join(top.select("id"), "id", "left_semi").unionByName(candidates.where(~_disk()))
+    # kept ones overlap little, so a candidate meets few of them
+    over = overlapping(top, each.drop("alone"), reach).where(better).select(F.col("a_id").alias("over"), F.col("b_id").alias("under"), F.col("a_method").alias("m1"), F.col("b_method").alias("m2"))
+    first = over.groupBy("under").agg(F.min_by(F.struct("over", "m1", "m2"), "over").alias("e")).select("e.*")
     extra = first.where("m1 != m2").groupBy(F.col("over").alias("id")).agg(F.count("*").alias("__n"))
     out = kept.join(extra, "id", "left")
     return out.withColumn("n_methods", 1 + F.coalesce("__n", F.lit(0))).withColumn("method", F.when(F.col("__n").isNotNull(), "merged").otherwise(F.col("method"))).drop("__n")

@@ -199,6 +199,33 @@ def test_nms_decides_a_chain_of_any_length(spark, monkeypatch):
     assert {r.id for r in craters.suppress(c).collect()} == {0, 2, 4}
 
 
+def test_nms_holds_the_strongest_of_equal_disks_against_each_other(spark, monkeypatch):
+    kinds = "id long, cx double, cy double, radius double, confidence double, method string"
+    rows = [(k, 10.0 * (k % 7), 10.0 * (k % 3), 10.0 + 4 * (k % 5), None if k % 97 == 0 else (k * 7919 % 211) / 211, "dem" if k % 2 else "image") for k in range(1500)] + [(1500, None, 0.0, 9.0, 0.5, "dem")]
+
+    def iou(p, q):
+        d, r, s = math.hypot(p[1] - q[1], p[2] - q[2]), p[3], q[3]
+        if d >= r + s:
+            return 0.0
+        lens = lambda r, s: r * r * math.acos((d * d + r * r - s * s) / (2 * d * r))
+        kite = 0.5 * math.sqrt(max(0.0, (-d + r + s) * (d + r - s) * (d - r + s) * (d + r + s)))
+        common = math.pi * min(r, s) ** 2 if d <= abs(r - s) else lens(r, s) + lens(s, r) - kite
+        return common / (math.pi * (r * r + s * s) - common)
+
+    kept, first = [], {}
+    for c in sorted(rows[:-1], key=lambda c: (math.inf if c[4] is None else -c[4], c[0])):
+        over = [k for k in kept if iou(k, c) >= 0.3]
+        first[c] = min(over, key=lambda k: k[0], default=None)
+        kept += [] if over else [c]
+    more = {k[0]: sum(o is k and c[5] != k[5] for c, o in first.items()) for k in kept}
+    want = {k[0]: ("merged" if more[k[0]] else k[5], 1 + more[k[0]]) for k in kept} | {1500: ("dem", 1)}
+    met, plain = [], craters.overlapping
+    monkeypatch.setattr(craters, "overlapping", lambda a, b, reach: met.append((a.count(), b.count())) or plain(a, b, reach))
+    got = {r.id: (r.method, r.n_methods) for r in craters.suppress(spark.createDataFrame(rows, kinds)).collect()}
+    assert got == want
+    assert met == [(105, 105), (len(kept), 1500)]  # 1,500 candidates are 105 disks
+
+
 def test_multi_rings(spark):
     c = spark.createDataFrame([(1, 0.0, 0.0, 10.0), (2, 0.5, 0.0, 20.0), (3, 0.0, 0.5, 21.0), (4, 200.0, 0.0, 10.0)], "id long, cx double, cy double, radius double")
     got = {r.id: (r.basin_id, r.ring_index) for r in craters.multi_rings(c).collect()}
