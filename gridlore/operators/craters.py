@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import deque
 from functools import reduce
 
 import pandas as pd
@@ -250,34 +251,51 @@ def suppress(candidates: DataFrame, threshold: float = 0.3) -> DataFrame:
 def multi_rings(candidates: DataFrame, tolerance: float = 0.3, ratio: float = 1.3) -> DataFrame:
     """basin_id and ring_index: concentric candidates whose radii differ by ratio at least, two rings or more.
 
-    Centres lie within tolerance of the smaller radius.  Ids give the order of seeds; each
-    neighbourhood of touching candidates is settled on its own.
+    Centres lie within tolerance of the smaller radius.  Ids give the order of seeds; only candidates
+    that can share a basin meet, and each neighbourhood of such is settled on its own.  Equal disks
+    can share basins with the same disks, so links are formed between different disks.
     """
     from .connectivity import label
 
-    reach = 2 * (candidates.agg(F.max("radius")).first()[0] or 1.0)
-    near = overlapping(candidates, candidates, reach).where("a_id <= b_id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    groups = label(near).withColumnRenamed("node", "id").join(candidates, "id")
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, taken, out = pdf.sort_values("id").to_dict("records"), set(), []
-        for seed in rows:
-            if seed["id"] in taken:
+    at = ["cx", "cy", "radius"]
+    each = candidates.where(_disk()).select("id", *at)
+    disks = stored(each.groupBy(*at).agg(F.min("id").alias("disk")))
+    reach = tolerance * (disks.agg(F.max("radius")).first()[0] or 1.0) or 1.0
+    small, large = F.least("a_radius", "b_radius"), F.greatest("a_radius", "b_radius")
+    # the least bit wider than the rule, which settle() then applies
+    close = (F.col("a_disk") <= F.col("b_disk")) & (large / small >= ratio) & (F.col("d") <= tolerance * small * (1 + 1e-9))
+    links = stored(_meeting(disks, disks, reach * (1 + 1e-6)).where(close).select(F.col("a_disk").alias("a"), F.col("b_disk").alias("b")))
+    groups = label(links).withColumnRenamed("node", "disk")
+    members = each.join(disks.join(groups, "disk"), at)
+    linked = links.join(groups.withColumnRenamed("disk", "a"), "a").select("a", "b", F.col("component").alias("group"))
+
+    def settle(pdf: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        place = {m.disk: (m.cx, m.cy, m.radius) for m in pdf.drop_duplicates("disk").itertuples()}
+        near: dict = {x: set() for x in place}
+        for a, b in zip(pairs["a"], pairs["b"], strict=True):
+            (x, y, r), (u, v, s) = place[a], place[b]
+            if math.hypot(u - x, v - y) <= tolerance * min(r, s):
+                near[a].add(b)
+                near[b].add(a)
+        free = {x: deque(g) for x, g in pdf.groupby("disk", sort=False)["id"]}
+        taken, out = set(), []
+        for seed, disk in zip(pdf["id"], pdf["disk"], strict=True):
+            if seed in taken:
                 continue
-            ring = [seed]
-            for other in rows:
-                if other["id"] in taken or other["id"] == seed["id"]:
-                    continue
-                d = math.hypot(other["cx"] - seed["cx"], other["cy"] - seed["cy"])
-                apart = all(max(other["radius"], m["radius"]) / min(other["radius"], m["radius"]) >= ratio for m in ring)
-                if d <= tolerance * min(other["radius"], seed["radius"]) and apart:
-                    ring.append(other)
+            free[disk].popleft()  # the seed: of equal disks the least id goes first, as seed or as ring
+            ring, fits = [(place[disk][2], seed)], near[disk]
+            while fits := [x for x in fits if free[x]]:
+                other = min(fits, key=lambda x: free[x][0])
+                r = place[other][2]
+                ring.append((r, free[other].popleft()))
+                fits = [x for x in fits if max(r, place[x][2]) / min(r, place[x][2]) >= ratio]
             if len(ring) > 1:
-                taken |= {m["id"] for m in ring}
-                out += [(m["id"], seed["id"], k) for k, m in enumerate(sorted(ring, key=lambda m: m["radius"]), 1)]
+                taken |= {m for _, m in ring}
+                out += [(m, seed, k) for k, (_, m) in enumerate(sorted(ring, key=lambda m: m[0]), 1)]
         return pd.DataFrame(out, columns=["id", "basin_id", "ring_index"])
 
-    found = groups.groupBy("component").applyInPandas(settle, "id long, basin_id long, ring_index int")
+    found = members.groupBy("component").cogroup(linked.groupBy("group")).applyInPandas(settle, "id long, basin_id long, ring_index int")
     return candidates.join(found, "id", "left")
 
 

@@ -245,6 +245,36 @@ def test_overlaps_of_equal_disks_are_worked_out_once(spark):
     assert [tuple(r) for r in got.where("a_id = 3 and b_id = 4").select("a_cx", "a_radius", "b_cx", "b_radius").collect()] == [(5.0, 8.0, 0.0, 10.0)]
 
 
+@pytest.mark.parametrize("ratio", [1.3, 1.0])
+def test_rings_link_only_disks_that_can_share_a_basin(spark, monkeypatch, ratio):
+    draw = np.random.default_rng(5)
+    rows = [(k, 12.0 * (k % 5), 12.0 * (k % 3), 10.0 + 4 * (k % 7)) for k in range(800)]  # each disk many times over
+    rows += [(800 + k, float(x), float(y), float(r)) for k, (x, y, r) in enumerate(zip(draw.uniform(300, 340, 150), draw.uniform(0, 40, 150), draw.uniform(5, 40, 150)))]
+    place = {r[0]: r[1:] for r in rows}
+
+    def fit(a, b):
+        (x, y, r), (u, v, s) = place[a], place[b]
+        return math.hypot(u - x, v - y) <= 0.3 * min(r, s)
+
+    apart = lambda a, b: max(place[a][2], place[b][2]) / min(place[a][2], place[b][2]) >= ratio
+    want = {}
+    for seed in place:
+        if seed not in want:
+            ring = [seed]
+            for other in place:
+                if other not in want and other != seed and fit(seed, other) and all(apart(other, m) for m in ring):
+                    ring.append(other)
+            if len(ring) > 1:
+                want |= {m: (seed, k) for k, m in enumerate(sorted(ring, key=lambda m: place[m][2]), 1)}
+    seen, plain = [], connectivity.label
+    monkeypatch.setattr(connectivity, "label", lambda links: seen.append(links.count()) or plain(links))
+    c = spark.createDataFrame([*rows, (999, None, 0.0, 5.0)], "id long, cx double, cy double, radius double")
+    got = {r.id: (r.basin_id, r.ring_index) for r in craters.multi_rings(c, ratio=ratio).collect()}
+    assert got == {k: want.get(k, (None, None)) for k in [*place, 999]}
+    first = {at: k for k, at in reversed(place.items())}.values()
+    assert seen == [sum(a <= b and fit(a, b) and apart(a, b) for a in first for b in first)]
+
+
 def test_polygon_area(spark):
     ring = spark.sql("select array(named_struct('x',0.0D,'y',0.0D),named_struct('x',2.0D,'y',0.0D),named_struct('x',2.0D,'y',1.0D),named_struct('x',0.0D,'y',1.0D)) r")
     assert ring.select(craters.polygon_area(F.col("r"))).first()[0] == 2.0
