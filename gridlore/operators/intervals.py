@@ -68,10 +68,19 @@ def complement(rows: DataFrame, low: float, high: float, key: str = "key", l: st
 
 
 def difference(a: DataFrame, b: DataFrame, low: float, high: float, key: str = "key", l: str = "l", r: str = "r") -> DataFrame:
-    """a without b, closed, within [low, high]; keys that b lacks keep all of a."""
+    """a without b, closed, within [low, high]; keys that b lacks keep all of a.
+
+    Points of a (l = r) stay where they lie inside of what b leaves; what a and b only touch in doesn't.
+    """
     outside = complement(b, low, high, key, l, r)
     bare = a.select(key).distinct().join(b.select(key).distinct(), key, "left_anti").select(key, F.lit(low).alias(l), F.lit(high).alias(r))
-    return intersect(a, outside.union(bare), key, l, r).where(F.col(l) < F.col(r))
+    # at one place what b leaves ends before ends of a count, and begins after them, so that ends in common make no points
+    ends = lambda df, who, opens, shuts: df.select(key, F.explode(F.array(F.struct(F.col(l).alias("x"), F.lit(opens).alias("turn"), F.lit(1).alias("step")), F.struct(F.col(r).alias("x"), F.lit(shuts).alias("turn"), F.lit(-1).alias("step")))).alias("e"), F.lit(who).alias("who")).select(key, "e.*", "who")
+    seq = Window.partitionBy(key).orderBy("x", "turn")
+    count = lambda who: F.sum(F.when(F.col("who") == who, F.col("step")).otherwise(0)).over(seq.rowsBetween(Window.unboundedPreceding, 0))
+    swept = ends(a, 0, 1, 2).union(ends(outside.union(bare), 1, 3, 0)).withColumn("na", count(0)).withColumn("nb", count(1)).withColumn("to", F.lead("x").over(seq))
+    both = (F.col("na") > 0) & (F.col("nb") > 0)
+    return swept.where(both & ((F.col("x") < F.col("to")) | (F.col("na") == 1))).select(key, F.col("x").alias(l), F.col("to").alias(r))
 
 
 def summary(rows: DataFrame, key: str = "key", l: str = "l", r: str = "r") -> DataFrame:

@@ -18,7 +18,8 @@ def _raw(spark, sf):
 
 
 def _rounded(df):
-    return df.select(*[F.round(c, 3).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """To thousandths as the SQL rounds: the double times 1000 is rounded, not the decimal digits."""
+    return df.select(*[(F.round(F.col(c) * 1000) / 1000).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def _sql(body):

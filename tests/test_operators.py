@@ -2,12 +2,14 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gridlore.functions import strings, vectors
 from gridlore.operators import cells, connectivity, craters, decision, focal, intervals, spectra
+from gridlore.plans import queries_intervals
 from gridlore.plans.ek import EkError, ek_find, ek_select_items, ek_sql
 from gridlore.plans.grid import Region, sample_at, to_bands, to_long
 from gridlore.queries import QUERIES
@@ -296,6 +298,21 @@ def test_interval_rules(spark):
     assert (s.n, s.measure, s.shortest, s.longest) == (2, 4.0, 1.0, 3.0)
 
 
+def test_difference_keeps_points(spark):
+    kind = "key string, l double, r double"
+    a = spark.createDataFrame([("k", 1.0, 1.0), ("k", 2.0, 2.0), ("k", 2.5, 2.5), ("k", 4.0, 4.0), ("k", 4.5, 6.0), ("k", 7.0, 7.0), ("k", 8.0, 9.0), ("o", 3.0, 3.0), ("o", 5.0, 6.0), ("t", 1.0, 2.0), ("t", 2.0, 3.0)], kind)
+    b = spark.createDataFrame([("k", 2.0, 4.0), ("k", 5.0, 5.0), ("k", 6.0, 6.5), ("k", 7.0, 7.0), ("k", 9.0, 9.5), ("t", 20.0, 30.0)], kind)
+    got = sorted((r.key, r.l, r.r) for r in intervals.difference(a, b, 0.0, 10.0).collect())
+    # points at the ends of b's, in them or equal to one of its points go; where intervals touch there is no point
+    assert got == [("k", 1.0, 1.0), ("k", 4.5, 5.0), ("k", 5.0, 6.0), ("k", 8.0, 9.0), ("o", 3.0, 3.0), ("o", 5.0, 6.0), ("t", 1.0, 2.0), ("t", 2.0, 3.0)]
+
+
+def test_intervals_are_rounded_as_in_sql(spark):
+    near = [1706618684.7385 + k * 2.0**-22 for k in range(-3, 4)] + [1705570876.5905, 0.0005, 2.5, -1.0005]
+    got = [r.x for r in queries_intervals._rounded(spark.createDataFrame([(x,) for x in near], "x double")).collect()]
+    assert got == [duckdb.execute("select round(?::double, 3)", [x]).fetchone()[0] for x in near]
+
+
 def test_segment_choice(spark):
     seg = spark.createDataFrame([("o", 0.0, 100.0, 1, "long"), ("o", 40.0, 60.0, 1, "short"), ("o", 45.0, 55.0, 2, "predicted")], "object string, l double, r double, rank int, name string")
     t = spark.createDataFrame([("o", 50.0), ("o", 59.9)], "object string, t double")
